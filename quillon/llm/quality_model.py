@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by FTRL-proximal.
 
 Words are runs of letters and digits and runs of other visible characters, with
-their case; a text's features are its words and word pairs, hashed into
-2^``bits`` buckets and weighted by their share of the text. Training follows the
+their case; a text's features are its words and word pairs (and, for a word said
+again, the pair "same word"), hashed into 2^``bits`` buckets and weighted by
+their share of the text. Training follows the
 regularised leader per coordinate on a bounded sample of labelled rows (the
 ``train_rows`` least by a hash of doc_id) on the driver; scoring is a sparse dot
 product in one pass over the documents with the weights, whose size is fixed.
@@ -28,13 +29,16 @@ BITS = 18
 #: Bound of the training sample; each row sends about 10 KB of features to the driver.
 TRAIN_ROWS = 4000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
 #: Features are shares of a text; this brings them near 1.
-SCALE = 10.0
+SCALE = 100.0
 FOLDS, THRESHOLD = 5, 0.3
 _WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
+_AGAIN = np.uint64(0x2545F4914F6CDD1D)
+
+
 class _Hashes(dict):
     """Hash of a word, kept for a bounded number of words."""
 
@@ -54,7 +58,9 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
     h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     single = h * np.uint64(0xFF51AFD7ED558CCD)
-    return (np.concatenate([single, pairs]) >> np.uint64(64 - bits)).astype(np.int64)
+    # a word said again at once, or after one other, is one and the same word pair whatever the word
+    again = [np.full(np.count_nonzero(h[d:] == h[:-d]), _AGAIN * np.uint64(d), np.uint64) for d in (1, 2)]
+    return (np.concatenate([single, pairs, *again]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class FTRL:
