@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, packing, quality_model, sharding, simhash, url_filter
+from quillon.llm import line_spread, mixing, packing, quality_model, robust_outliers, sharding, simhash, url_filter
 from quillon.llm.common import table
 
 
@@ -16,10 +16,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge(table(spark, sf_dir, "documents")).drop("lang", "source", "d2")
+
+
 def op3_shard_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.octet_length(text).cast("long").alias("kept_bytes"), F.md5(text).alias("kept_md5"))
+
+
 def op5_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql()}
+    return {"op4_line_spread": line_spread.oracle_sql(), "op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql()}
