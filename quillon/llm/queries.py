@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_spread, mixing, packing, quality_model, robust_outliers, sharding, simhash, url_filter
+from quillon.llm import line_spread, mixing, packing, progressive_jpeg, quality_model, robust_outliers, sharding, simhash, url_filter
 from quillon.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.describe(progressive_jpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.judge(table(spark, sf_dir, "documents")).drop("lang", "source", "d2")
 
