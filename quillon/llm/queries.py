@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_spread, mixing, packing, progressive_jpeg, quality_model, robust_outliers, sharding, simhash, url_filter
+from quillon.llm import line_spread, mixing, packing, progressive_jpeg, quality_model, robust_outliers, sharding, simhash, suffix_dedup, url_filter
 from quillon.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_mix_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("target", F.round("target", 3))
 
 
+def op7_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op8_pack_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
