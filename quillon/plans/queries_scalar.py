@@ -109,7 +109,7 @@ def selection_index(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END AS conf, event_id % 4 = 0 AS has_precision FROM events""")
+SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END AS DOUBLE) AS conf, event_id % 4 = 0 AS has_precision FROM events""")
 def strict_confidence(spark, sf_dir):
     """Numbers and booleans count as confidences, their spellings as text do not."""
     bodies = ['{"c": 0.5, "judge_metrics": {"metrics": {"precision": 1}}}', '{"c": true, "judge_metrics": {"metrics": {"recall": 1}}}', '{"c": "0.5", "judge_metrics": 3}', '{"x": 1}']

@@ -1 +1,139 @@
-"""To come."""
+"""Pipeline stages over the driver tables: judges, cascades, and the stream that resumes."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from quillon.functions import labels, text
+from quillon.operators.sampling import uniform
+from quillon.plans import claims
+from quillon.plans.queries_metrics import u_sql
+from quillon.plans.registry import query, table
+from quillon.sources.clients import EchoModel
+from quillon.sources.config import RunConfig
+from quillon.streaming import resume
+
+_SIGNALS = f"""
+WITH s AS (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'partial' END AS al, round({u_sql("r", "doc_id")}, 2) AS rc,
+         CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ai, round({u_sql("v", "doc_id")}, 2) AS vc FROM documents),
+x AS (SELECT *, round(0.7 * CASE al WHEN 'true' THEN -rc WHEN 'false' THEN rc WHEN 'partial' THEN -0.4 * rc ELSE 0 END + 0.3 * CASE WHEN ai THEN 0.5 * vc WHEN NOT ai THEN -0.25 * vc ELSE 0 END, 9) AS sc FROM s)"""
+
+
+def _signals(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(d % 4 == 0, "true").when(d % 4 == 1, "false").when(d % 4 == 2, "partial").alias("al"),
+        F.round(uniform("r", d), 2).alias("rc"),
+        F.when(d % 3 == 0, True).when(d % 3 == 1, False).alias("ai"),
+        F.round(uniform("v", d), 2).alias("vc"),
+    )
+
+
+@query(_SIGNALS + """
+SELECT doc_id, CASE WHEN sc >= 0.3 THEN 'Misinformation' WHEN sc <= -0.3 THEN 'Not Misinformation' ELSE 'Uncertain' END AS label, abs(0.3 + least(0.6, abs(sc)) - confidence) < 0.006 AS confidence_fits, factors
+FROM (SELECT *, round(0.3 + least(0.6, abs(sc)), 2) AS confidence, CAST((al IS NOT NULL)::INT + (ai IS NOT NULL)::INT AS INTEGER) AS factors FROM x)""")
+def heuristic_judge(spark, sf_dir):
+    rows = _signals(spark, sf_dir).withColumn("j", labels.heuristic_judgement(F.col("al"), F.col("rc"), F.col("ai"), F.col("vc")))
+    rel = F.when(F.col("al") == "true", -F.col("rc")).when(F.col("al") == "false", F.col("rc")).when(F.col("al") == "partial", -0.4 * F.col("rc")).otherwise(0.0)
+    ver = F.when(F.col("ai"), 0.5 * F.col("vc")).when(~F.col("ai"), -0.25 * F.col("vc")).otherwise(0.0)
+    expected = 0.3 + F.least(F.lit(0.6), F.abs(0.7 * rel + 0.3 * ver))
+    return rows.select("doc_id", F.col("j.label").alias("label"), (F.abs(expected - F.col("j.confidence")) < 0.006).alias("confidence_fits"), F.size("j.key_factors").alias("factors"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Misinformation' WHEN 1 THEN 'Not Misinformation' ELSE 'Uncertain' END AS label,
+       CAST(CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 ELSE 0.5 END AS DOUBLE) AS confidence, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS factors FROM documents""")
+def judge_normalize(spark, sf_dir):
+    d = F.col("doc_id")
+    raw = (
+        F.when(d % 4 == 0, 'So: {"label": "misinformation", "confidence": 3, "key_factors": ["a", "b"]}')
+        .when(d % 4 == 1, '{"label": "NOT misinformation", "confidence": "0.25", "key_factors": "one"}')
+        .when(d % 4 == 2, '{"label": "?", "confidence": "high"}')
+        .otherwise("I cannot tell")
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", claims.judgement(raw).alias("j"))
+    return rows.select("doc_id", F.col("j.label").alias("label"), F.col("j.confidence").alias("confidence"), F.size("j.key_factors").alias("factors"))
+
+
+_RAW = {"text": ["Finish[TEXT REFUTES].", "so Finish[TEXT SUPPORTS]", "?"], "image": ["Observation: odd hands Action: x Finish[IMAGE REFUTES]", "Finish[IMAGE SUPPORTS]", "?", "Observation: none"], "cross": ["Finish[MATCH]", "Finish[MISMATCH]", "?", "Finish[MISMATCH]", "Finish[MATCH]"]}
+
+
+def _stages(spark, sf_dir):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[pick(v).alias(f"raw_{k}") for k, v in _RAW.items()])
+    return rows.select("*", *[labels.stage_verdict(F.col(f"raw_{k}"), k).alias(k) for k in _RAW])
+
+
+_VERDICTS = """
+WITH v AS (
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'REFUTES' WHEN 1 THEN 'SUPPORTS' ELSE 'INSUFFICIENT' END AS t, CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 0.8 END AS tc,
+         CASE doc_id % 4 WHEN 0 THEN 'REFUTES' ELSE 'SUPPORTS' END AS i, CASE doc_id % 4 WHEN 0 THEN 0.8 ELSE 0.7 END AS ic,
+         CASE doc_id % 5 WHEN 0 THEN 'CONSISTENT' WHEN 4 THEN 'CONSISTENT' WHEN 2 THEN 'PARTIAL' ELSE 'MISMATCH' END AS c, CASE doc_id % 5 WHEN 2 THEN 0.5 ELSE 0.8 END AS cc,
+         CASE doc_id % 4 WHEN 0 THEN 'odd hands' WHEN 3 THEN 'none' END AS observation FROM documents)"""
+
+
+@query(_VERDICTS + " SELECT doc_id, t AS text_verdict, i AS image_verdict, c AS cross_verdict, observation FROM v")
+def stage_verdict_parse(spark, sf_dir):
+    rows = _stages(spark, sf_dir)
+    return rows.select("doc_id", F.col("text.verdict").alias("text_verdict"), F.col("image.verdict").alias("image_verdict"), F.col("cross.verdict").alias("cross_verdict"), text.observation(F.col("raw_image")).alias("observation"))
+
+
+@query(_VERDICTS + """
+SELECT doc_id, CASE WHEN t = 'REFUTES' OR i = 'REFUTES' OR c = 'MISMATCH' THEN 'Misinformation' ELSE 'Not Misinformation' END AS label,
+  CASE WHEN t = 'REFUTES' THEN 'textual_veracity_distortion' WHEN i = 'REFUTES' THEN 'visual_veracity_distortion' WHEN c = 'MISMATCH' THEN 'mismatch' ELSE 'original' END AS fake_cls,
+  round(CAST(CASE WHEN t = 'REFUTES' THEN tc WHEN i = 'REFUTES' THEN ic WHEN c = 'MISMATCH' THEN cc ELSE (tc + ic + cc) / 3.0 END AS DOUBLE), 6) AS confidence FROM v""")
+def three_stage_cascade(spark, sf_dir):
+    rows = _stages(spark, sf_dir).select("doc_id", labels.cascade(F.col("text"), F.col("image"), F.col("cross")).alias("d"))
+    return rows.select("doc_id", F.col("d.label").alias("label"), F.col("d.fake_cls").alias("fake_cls"), F.round("d.confidence", 6).alias("confidence"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'false' END AS aligned, CAST(CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 END AS DOUBLE) AS confidence,
+       CASE doc_id % 3 WHEN 1 THEN true END AS ai_generated, CAST(CASE doc_id % 3 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS anomalies,
+       CASE doc_id % 3 WHEN 0 THEN 'because' WHEN 1 THEN 'Answer {"aligned": "NO", "confidence": "0.9", "ai_generated": " Likely", "anomalies": "hands"}' ELSE 'no idea' END AS explanation FROM documents""")
+def signals_parse(spark, sf_dir):
+    """Relevancy and veracity answers brought into their common form."""
+    d = F.col("doc_id")
+    raw = F.when(d % 3 == 0, '{"aligned": "Partially", "confidence": 0.5, "explanation": "because"}').when(d % 3 == 1, 'Answer {"aligned": "NO", "confidence": "0.9", "ai_generated": " Likely", "anomalies": "hands"}').otherwise("no idea")
+    rows = table(spark, sf_dir, "documents").select("doc_id", claims.relevancy(raw).alias("r"), claims.veracity(raw).alias("v"))
+    return rows.select("doc_id", F.col("r.aligned").alias("aligned"), F.col("r.confidence").alias("confidence"), F.col("v.ai_generated").alias("ai_generated"), F.size("v.anomalies").alias("anomalies"), F.col("r.explanation").alias("explanation"))
+
+
+@query("""
+SELECT conv_id, CAST(turn % 2 AS BIGINT) AS chain, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id, turn % 2""")
+def question_chains(spark, sf_dir):
+    """The first question of each chain; a conversation's even and odd turns are two chains."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").orderBy("conv_id", "turn")
+    quoted = F.concat(F.lit('q ["turn '), F.lpad(F.col("turn").cast("string"), 3, "0"), F.lit('"] end'))
+    raw = turns.groupBy(F.col("conv_id").alias("sample"), (F.col("turn") % 2).alias("chain")).agg(F.min(quoted).alias("raw"))
+    asked = claims.questions(raw, 1)
+    return asked.select(F.col("sample").alias("conv_id"), "chain", F.regexp_extract("question", r"(\d+)", 1).cast("long").alias("turn"))
+
+
+@query(None)
+def pipeline_offline(spark, sf_dir):
+    """The claim pipeline with an offline model over all documents' first lines as headlines."""
+    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_index"), F.lit("none.png").alias("image_path"), F.split("text", "\n")[0].alias("headline"))
+    out = claims.run_offline(samples, RunConfig(), EchoModel)
+    return out.select("sample_index", "relevancy.aligned", "visual_veracity.ai_generated", "judgement.label", F.col("judgement.confidence").alias("confidence"), F.col("token_usage.total").alias("tokens"))
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_append_resume(spark, sf_dir):
+    """Events through a stream that is started twice; the second start finds nothing new."""
+    configured = spark.sparkContext.getCheckpointDir()
+    folder = f"{configured}/stream-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix="quillon-stream-")
+    if not configured:
+        atexit.register(shutil.rmtree, folder, True)
+    schema = table(spark, sf_dir, "events").schema
+    keep = lambda df: df.select("event_id", "event_type", "value")
+    for _ in range(2):
+        resume.process_new(spark, sf_dir, schema, keep, f"{folder}/out", f"{folder}/checkpoint", fmt="parquet", glob="events.parquet")
+    return spark.read.schema("event_id long, event_type string, value double").json(f"{folder}/out")
