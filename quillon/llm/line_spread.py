@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, materialize
+from quillon.llm.common import SPACE, fresh_name, materialize
 
 MIN_SITES = 8
 #: Relative error of the sketches; at these counts far smaller in practice.
@@ -56,18 +56,36 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return likely.filter(F.col("_about") > min_sites * BAND).select("line", "first").union(near.join(exact, "line"))
 
 
-def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``df`` with ``text`` cleaned, and ``_n_lines`` and ``_n_removed`` of it."""
+def _removed(df: DataFrame, min_sites: int) -> DataFrame:
+    """(doc, drop): the numbers of the lines to remove, for documents that have any."""
     lines = materialize(line_table(df), "lines")
     spread = materialize(boilerplate(lines, min_sites), "boilerplate")
     later = lines.join(spread, "line").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    drop = later.groupBy("doc_id").agg(F.collect_set("pos").alias("_drop"))  # at most a document's lines
-    visible = F.size(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda line: line.rlike(rf"[^{SPACE}]"))).cast("long")
-    joined = df.join(drop, "doc_id", "left").withColumn("_n_lines", visible)
-    kept = F.array_join(F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    touched = F.col("_drop").isNotNull()
-    result = joined.withColumn("_n_removed", F.when(touched, F.size("_drop")).otherwise(0).cast("long"))
-    return result.withColumn("text", F.when(touched, kept).otherwise(F.col("text"))).select(*df.columns, "_n_lines", "_n_removed")
+    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))  # at most a document's lines
+
+
+def _without(text, drop):
+    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains(drop, i)), "\n")
+    return F.when(drop.isNotNull(), kept).otherwise(text)
+
+
+def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``df`` with ``text`` cleaned; if it has n_chars, that follows."""
+    doc, drop = fresh_name(df, "doc"), fresh_name(df, "drop")
+    joined = df.join(_removed(df, min_sites).toDF(doc, drop), F.col("doc_id") == F.col(doc), "left")
+    cleaned = joined.withColumn("text", _without(F.col("text"), F.col(drop)))
+    if "n_chars" in df.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(drop).isNotNull(), F.char_length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*df.columns)
+
+
+def line_report(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """doc_id, text (cleaned), n_lines, n_removed of ``df(doc_id, source, text)``."""
+    df = df.select("doc_id", "source", "text")
+    joined = df.join(_removed(df, min_sites), "doc_id", "left")
+    visible = F.size(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda line: line.rlike(rf"[^{SPACE}]")))
+    removed = F.when(F.col("drop").isNotNull(), F.size("drop")).otherwise(0)
+    return joined.select("doc_id", _without(F.col("text"), F.col("drop")).alias("text"), visible.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def oracle_sql() -> str:

@@ -13,8 +13,9 @@ which the sum is reached is ordered row by row.
 
 Cases: null or empty texts have size 0 and take 0 words; a null source is a
 source of its own, after all others; a source without words has target 0; an
-empty table gives no rows; further columns are ignored by ``mix`` and kept by
-``repeat_documents``.
+empty table gives no rows; rows that repeat a doc_id are drawn each for itself
+by ``mix``, and alike (as often as the luckiest) by ``repeat_documents``; further
+columns are ignored by ``mix`` and kept by ``repeat_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD
+from quillon.llm.common import WORD, fresh_name
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -83,9 +84,12 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX
 
 
 def repeat_documents(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``df``'s rows as often as the mix takes them; documents without words stay once."""
-    repeats = mix(df, weights, max_epochs, seed).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("repeats")).alias("_repeats"))
-    return df.join(repeats, "doc_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_repeats")))).drop("_repeats", "_copy")
+    """``df``'s rows as often as the mix takes them; documents without words stay once, rows without doc_id go."""
+    doc, times = fresh_name(df, "doc"), fresh_name(df, "times")
+    repeats = mix(df, weights, max_epochs, seed).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("repeats")).alias("n"))
+    per_doc = repeats.groupBy("doc_id").agg(F.max("n")).toDF(doc, times)
+    joined = df.join(per_doc, F.col("doc_id") == F.col(doc)).withColumn(doc, F.explode(F.array_repeat(F.lit(1), F.col(times))))
+    return joined.select(*df.columns)
 
 
 def oracle_sql() -> str:

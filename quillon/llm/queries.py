@@ -29,9 +29,9 @@ def op3_shard_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"))
+    cleaned = line_spread.line_report(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.octet_length(text).cast("long").alias("kept_bytes"), F.md5(text).alias("kept_md5"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("kept_bytes"), F.md5(text).alias("kept_md5"))
 
 
 def op5_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,6 @@ def judge(df: DataFrame) -> DataFrame:
 
 
 def keep_inliers(df: DataFrame) -> DataFrame:
-    """``df``'s rows without the rejected documents."""
+    """``df``'s rows without the rejected documents; rows without doc_id cannot be named and stay."""
     rejected = judge(df).filter("NOT kept").select("doc_id").distinct()
     return df.join(rejected, "doc_id", "left_anti")

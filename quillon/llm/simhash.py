@@ -182,6 +182,6 @@ def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dista
 
 
 def keep_one(df: DataFrame, shingle_words: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``df``'s rows without all but the least doc_id of each near-duplicate group."""
+    """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id go."""
     kept = near_duplicates(df, shingle_words, max_distance).filter("doc_id = component_id").select("doc_id").distinct()
     return df.join(kept, "doc_id", "left_semi")
