@@ -6,8 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parse(text: Column) -> Column:
+    """The JSON value that the whole text is; null if anything follows it.
+
+    The parser stops behind the first value. Inside brackets and inside braces
+    what follows is in its way, and no text can close both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull(), F.try_variant_get(named, "$.v", "variant"))
+
+
 def _of_kind(text: Column, prefix: str) -> Column:
-    parsed = F.try_parse_json(text)
+    parsed = parse(text)
     return F.when(F.schema_of_variant(parsed).startswith(prefix), parsed)
 
 
