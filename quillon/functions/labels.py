@@ -80,6 +80,11 @@ def class_key(value: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("unknown"))
 
 
+def class_bucket(value: Column) -> Column:
+    """Class of a VARIANT answer for balancing: text as it is, anything else as JSON with sorted keys."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
 def penalised(pred: Column, truth: Column) -> Column:
     """A missing prediction counts as the wrong one."""
     return F.coalesce(pred, 1 - truth)

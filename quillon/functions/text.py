@@ -131,6 +131,18 @@ def reset_time(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd HH:mm:ss 'UTC'")
 
 
+def run_name(started: Column) -> Column:
+    return F.date_format(started, "yyyyMMdd-HHmmss")
+
+
+def utc_text(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def seconds_between(start: Column, stop: Column) -> Column:
+    return F.round((F.unix_micros(stop) - F.unix_micros(start)) / 1e6, 3)
+
+
 def key_values(mapping: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(mapping), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
 

@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import jsonx, labels, text
-from quillon.operators import qa
+from quillon.functions import jsonx, labels, messages, text
+from quillon.operators import lookup, qa
 from quillon.sources.clients import ask_model
 from quillon.sources.config import RunConfig
 
 _SIGNAL_PROMPT = "Answer with one JSON object with aligned, ai_generated and confidence."
 
+_QUESTION_PROMPT = "You ask questions that help to verify a claim."
+_ANSWER_PROMPT = "You answer questions from the sources that are given."
+
 
 def relevancy(raw: Column) -> Column:
     """struct(aligned, confidence, explanation, raw) of a model's answer."""
@@ -85,6 +88,34 @@ def select_best(pairs: DataFrame, choice: DataFrame | None = None) -> DataFrame:
     return picked.unionByName(best.join(chosen, ["sample", "chain"], "left_anti"))
 
 
+def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None) -> DataFrame:
+    """Question chains of ``samples(sample, headline)``: asked, answered, and the best of each chain.
+
+    Returns sample, chain, pos, question and the answer struct. Chains are rows:
+    the model is asked once for each (sample, chain), its questions are deduplicated
+    over the whole sample, and equal questions of all samples are answered once.
+    ``search(question, sources)`` gives results found before.
+    """
+    chains = samples.select("sample", "headline", F.explode(F.sequence(F.lit(0), F.lit(config.q_chains - 1))).alias("chain"))
+    nothing = F.array().cast("array<string>")
+    known = F.array().cast("array<struct<question: string, answer: string>>")
+    prompt = F.concat(messages.question_prompt(F.col("headline"), config.q_per_chain, nothing, known), F.lit(" Chain "), F.col("chain").cast("string"))
+    asked = ask_model(chains.withColumn("_user", prompt), factory, _QUESTION_PROMPT, "_user", "_q").select("sample", "chain", F.col("_q_raw").alias("raw"))
+    found = questions(asked, config.q_per_chain)
+    if not config.modules["question_answering"]:
+        return found
+
+    def evaluate(distinct: DataFrame) -> DataFrame:
+        none = F.array().cast("array<struct<title: string, url: string, description: string, source: string>>")
+        with_sources = distinct.select("question").join(search, "question", "left") if search is not None else distinct.select("question").withColumn("sources", none)
+        with_sources = with_sources.withColumn("_user", messages.answer_prompt(F.col("question"), F.coalesce("sources", none), config.answer_max_sources))
+        return ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a").select("question", answer(F.col("_a_raw")).alias("found"))
+
+    answered = lookup.dedup_eval(found.withColumn("_order", F.struct("sample", "chain", "pos")), "question", "_order", evaluate)
+    flat = answered.select("sample", "chain", "pos", "question", "found", F.col("found.confidence").alias("confidence"))
+    return select_best(flat).drop("confidence")
+
+
 def run_offline(samples: DataFrame, config: RunConfig, factory=None) -> DataFrame:
     """Output records of ``samples(sample_index, image_path, headline)`` with signals and a judgement.
 

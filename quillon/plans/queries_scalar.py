@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import jsonx, labels, text
+from quillon.functions import jsonx, labels, messages, text
 from quillon.plans.registry import query, table
 
 # Spellings that rows get by turns.
@@ -226,3 +226,57 @@ _NAMES = ["a/b.png", "/etc/x", "a/../b", "..", "c..d/e", "x/.."]
 @query(f"SELECT page_id, n LIKE '/%' OR list_contains(string_split(n, '/'), '..') AS unsafe FROM (SELECT page_id, {_turn_sql(_NAMES, 'page_id')} AS n FROM pages)")
 def archive_guard(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.unsafe_member(_turn(_NAMES, "page_id")).alias("unsafe"))
+
+
+# ---- messages, prompts, clocks ------------------------------------------------
+
+
+@query("""
+SELECT conv_id, turn, turn % 2 = 0 AS text_only, CASE WHEN turn % 3 = 0 THEN 'be brief' END AS system, md5(text || CASE WHEN turn % 2 = 1 THEN chr(10) || 'see' ELSE '' END) AS joined, CAST(1 AS INTEGER) AS n FROM conversations""")
+def message_parts(spark, sf_dir):
+    """Messages with and without an image and a system prompt."""
+    turns = table(spark, sf_dir, "conversations")
+    plain = messages.message("user", messages.text_part(F.col("text")))
+    user = F.when(F.col("turn") % 2 == 1, messages.message("user", messages.text_part(F.col("text")), messages.text_part(F.lit("see")), messages.image_part(F.lit("data:x")))).otherwise(plain)
+    thread = F.when(F.col("turn") % 3 == 0, F.array(messages.message("system", messages.text_part(F.lit("be brief"))), user)).otherwise(F.array(user))
+    rest = messages.without_system(thread)
+    return turns.select("conv_id", "turn", messages.text_only(thread).alias("text_only"), messages.system_prompt(thread).alias("system"), F.md5(messages.joined_text(rest[0]["content"])).alias("joined"), F.size(rest).alias("n"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'a' ELSE '' END AS text, CASE event_id % 3 WHEN 1 THEN 'u' WHEN 2 THEN 'v' END AS url FROM events""")
+def message_content(spark, sf_dir):
+    """Contents that are text or JSON parts, the image's url nested or not."""
+    raw = _turn(["plain", '[{"type": "text", "text": "a"}, {"type": "image_url", "image_url": {"url": "u"}}]', '[{"type": "image_url", "image_url": "v"}]'], "event_id")
+    content = messages.parse_content(raw)
+    url = F.try_element_at(F.filter(F.transform(content, lambda p: p["image_url"]), lambda u: u.isNotNull()), F.lit(1))
+    return table(spark, sf_dir, "events").select("event_id", messages.joined_text(content).alias("text"), url.alias("url"))
+
+
+@query("""
+SELECT page_id, md5('Headline: ' || url || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'Already asked:' || chr(10) || '- who' || chr(10) || '- {k}' || chr(10) ELSE '' END ||
+  'Ask 3 short questions that would help to verify it. Answer with a JSON array of strings.') AS question,
+  md5('Question: ' || url || chr(10) || 'Sources:' || chr(10) || 't | u | d' || chr(10) || 'Answer with one JSON object with answer, confidence, citations and rationale.') AS answer,
+  md5('Headline: ' || url || chr(10) || '1. a -> b' || chr(10) || '2. c -> no answer' || chr(10) || 'Answer with one JSON object with index and reason.') AS selection FROM pages""")
+def prompt_render(spark, sf_dir):
+    url, none = F.col("url"), F.array().cast("array<struct<question: string, answer: string>>")
+    prior = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("who"), F.lit("{k}"))).otherwise(F.array().cast("array<string>"))
+    source = F.struct(F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("d").alias("description"))
+    items = F.array(F.struct(F.lit("a").alias("question"), F.lit("b").alias("answer")), F.struct(F.lit("c").alias("question"), F.lit(None).cast("string").alias("answer")))
+    prompts = (messages.question_prompt(url, 3, prior, none), messages.answer_prompt(url, F.array(source, source), 1), messages.selection_prompt(url, items))
+    return table(spark, sf_dir, "pages").select("page_id", *[F.md5(p).alias(n) for p, n in zip(prompts, ("question", "answer", "selection"), strict=True)])
+
+
+@query("""
+SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS run, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, round(value, 3) AS seconds FROM events""")
+def run_clock(spark, sf_dir):
+    """Run names, UTC times and durations."""
+    start = F.col("ts").cast("timestamp")
+    stop = F.timestamp_micros(F.unix_micros(start) + F.round(F.col("value") * 1e6).cast("long"))
+    return table(spark, sf_dir, "events").select("event_id", text.run_name(start).alias("run"), text.utc_text(start).alias("iso"), F.round(text.seconds_between(start, stop), 3).alias("seconds"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Fake' WHEN 1 THEN '{\"a\":1,\"b\":2}' WHEN 2 THEN '[2,1]' ELSE 'true' END AS bucket FROM events")
+def class_bucket(spark, sf_dir):
+    answers = ['"Fake"', '{"b": 2, "a": 1}', "[2, 1]", "true"]
+    return table(spark, sf_dir, "events").select("event_id", labels.class_bucket(F.parse_json(_turn(answers, "event_id"))).alias("bucket"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.plans import cli
-from quillon.plans.claims import run_offline
+from quillon.plans.claims import investigate, run_offline
 from quillon.plans.evaluation import evaluate
 from quillon.sources import archive, clients, records, sinks
 from quillon.sources.config import RunConfig, dataset_path
@@ -180,3 +180,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "new")).count() == 6
     cli.main(["pipeline", "--image", "a.png", "--headline", "h", "--save-jsonl", str(tmp_path / "one")])
     assert spark.read.json(str(tmp_path / "one")).first().judgement.label == "Uncertain"
+
+
+def test_investigate(spark):
+    class Scripted:
+        def ask(self, system, user, image_url=None):
+            if "Sources:" in user:
+                return '{"answer": "a", "confidence": %s, "citations": ["u"]}' % (0.9 if "two" in user else 0.4), 1, 1
+            return '["one?", "two?", "ONE?"]' if "Chain 0" in user else '["one?", "three?"]', 1, 1
+
+    samples = spark.createDataFrame([(1, "h"), (2, "g")], "sample long, headline string")
+    rows = investigate(samples, RunConfig(q_chains=2), Scripted).collect()
+    assert sorted((r.sample, r.chain, r.question, r.found.confidence) for r in rows) == [(1, 0, "two?", 0.9), (1, 1, "three?", 0.4), (2, 0, "two?", 0.9), (2, 1, "three?", 0.4)]
+    only = investigate(samples, RunConfig(q_chains=1, disable_answers=True), Scripted)
+    assert only.count() == 4 and "found" not in only.columns
