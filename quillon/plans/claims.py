@@ -88,20 +88,54 @@ def select_best(pairs: DataFrame, choice: DataFrame | None = None) -> DataFrame:
     return picked.unionByName(best.join(chosen, ["sample", "chain"], "left_anti"))
 
 
-def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None) -> DataFrame:
+#: What the three stages of the baseline are asked; each ends in a marker that labels.stage_verdict knows.
+_STAGE_PROMPTS = {
+    "text": "Do the facts support this headline? {knowledge} Headline: {headline} End with Finish[TEXT SUPPORTS] or Finish[TEXT REFUTES].",
+    "image": "Is the image of this claim authentic? Say what you see after Observation:. Headline: {headline} End with Finish[IMAGE SUPPORTS] or Finish[IMAGE REFUTES].",
+    "cross": "Does the image show what the headline says? Headline: {headline} End with Finish[MATCH] or Finish[MISMATCH].",
+}
+
+
+def run_baseline(samples: DataFrame, factory, keep=DataFrame.cache) -> DataFrame:
+    """``samples(sample_index, headline[, knowledge])`` with three stage verdicts and the cascade's judgement.
+
+    A stage that objects decides, so later stages are asked only about what is
+    left: the plan splits after each stage instead of asking all of them. ``keep``
+    holds a stage's answers, so that no branch asks again; where answers are
+    dear, give a function that writes and rereads them.
+    """
+    columns, out = samples.columns, None
+    knowledge = F.col("knowledge") if "knowledge" in columns else F.lit("")
+    left = samples
+    passed = {k: F.struct(F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence")) for k in _STAGE_PROMPTS}
+    for kind, objection in (("text", "REFUTES"), ("image", "REFUTES"), ("cross", "MISMATCH")):
+        prompt = messages.fill(_STAGE_PROMPTS[kind], headline=F.col("headline"), knowledge=knowledge)
+        asked = ask_model(left.withColumn("_user", prompt), factory, "You check claims.", "_user", "_s").withColumn(kind, labels.stage_verdict(F.coalesce("_s_raw", F.lit("")), kind))
+        asked = keep(asked.drop("_user", "_s_raw", "_s_prompt", "_s_completion", "_s_error"))
+        stopped = asked.filter(F.col(f"{kind}.verdict") == objection)
+        for later in list(_STAGE_PROMPTS)[list(_STAGE_PROMPTS).index(kind) + 1 :]:
+            stopped = stopped.withColumn(later, passed[later])
+        out = stopped if out is None else out.unionByName(stopped)
+        left = asked.filter(F.col(f"{kind}.verdict") != objection)
+    everyone = out.unionByName(left)
+    return everyone.withColumn("judgement", labels.cascade(F.col("text"), F.col("image"), F.col("cross")))
+
+
+def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=DataFrame.cache) -> DataFrame:
     """Question chains of ``samples(sample, headline)``: asked, answered, and the best of each chain.
 
     Returns sample, chain, pos, question and the answer struct. Chains are rows:
     the model is asked once for each (sample, chain), its questions are deduplicated
     over the whole sample, and equal questions of all samples are answered once.
-    ``search(question, sources)`` gives results found before.
+    ``search(question, sources)`` gives results found before; ``keep`` holds the
+    model's questions and answers, see run_baseline.
     """
     chains = samples.select("sample", "headline", F.explode(F.sequence(F.lit(0), F.lit(config.q_chains - 1))).alias("chain"))
     nothing = F.array().cast("array<string>")
     known = F.array().cast("array<struct<question: string, answer: string>>")
     prompt = F.concat(messages.question_prompt(F.col("headline"), config.q_per_chain, nothing, known), F.lit(" Chain "), F.col("chain").cast("string"))
     asked = ask_model(chains.withColumn("_user", prompt), factory, _QUESTION_PROMPT, "_user", "_q").select("sample", "chain", F.col("_q_raw").alias("raw"))
-    found = questions(asked, config.q_per_chain)
+    found = keep(questions(asked, config.q_per_chain))
     if not config.modules["question_answering"]:
         return found
 
@@ -109,7 +143,7 @@ def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFram
         none = F.array().cast("array<struct<title: string, url: string, description: string, source: string>>")
         with_sources = distinct.select("question").join(search, "question", "left") if search is not None else distinct.select("question").withColumn("sources", none)
         with_sources = with_sources.withColumn("_user", messages.answer_prompt(F.col("question"), F.coalesce("sources", none), config.answer_max_sources))
-        return ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a").select("question", answer(F.col("_a_raw")).alias("found"))
+        return keep(ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a").select("question", answer(F.col("_a_raw")).alias("found")))
 
     answered = lookup.dedup_eval(found.withColumn("_order", F.struct("sample", "chain", "pos")), "question", "_order", evaluate)
     flat = answered.select("sample", "chain", "pos", "question", "found", F.col("found.confidence").alias("confidence"))

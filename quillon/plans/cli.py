@@ -1,4 +1,4 @@
-"""Command line: evaluate, curves, repair, report, pipeline, backfill, unpack."""
+"""Command line: evaluate, curves, repair, report, pipeline, baseline, backfill, unpack."""
 
 from __future__ import annotations
 
@@ -89,6 +89,40 @@ def _pipeline(args) -> None:
     sinks.append_jsonl(run_offline(samples, config, EchoModel if args.echo else None), args.save_jsonl)
 
 
+def _baseline(args) -> None:
+    from quillon.plans.claims import run_baseline
+    from quillon.sources import records, sinks
+    from quillon.sources.clients import EchoModel
+
+    spark = session()
+    data = records.project_records(records.scan_dataset(spark, args.dataset_json))
+    samples = data.select(F.col("dataset_index").alias("sample_index"), "image_path", F.col("text").alias("headline"))
+    try:
+        done = spark.read.schema("sample_index long").json(args.save_jsonl)
+        samples = samples.join(done, "sample_index", "left_anti")
+    except Exception as error:  # nothing was written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    sinks.append_jsonl(run_baseline(samples, EchoModel), args.save_jsonl)
+
+
+def _backfill(args) -> None:
+    from pathlib import Path
+
+    from quillon.functions.jsonx import has_precision
+    from quillon.plans.evaluation import evaluate
+
+    spark = session()
+    for run in sorted(Path(args.results_dir).glob("*.jsonl")):
+        report = run.with_suffix(".metrics.json")
+        if report.exists() and not args.force:
+            known = spark.createDataFrame([(report.read_text(encoding="utf-8"),)], "t string").select(has_precision(F.try_parse_json("t"))).first()[0]
+            if known or args.skip_existing:
+                continue
+        evaluate(spark, str(run), args.dataset_json, args.image_root, report=str(report))
+        print(report)
+
+
 def _unpack(args) -> None:
     from quillon.sources.archive import unpack
 
@@ -112,6 +146,8 @@ def main(argv: list[str] | None = None) -> None:
     command("repair", _repair, "outputs", "dataset-json", "image-root", flags=("dry-run",), needed=("outputs", "dataset-json"))
     command("report", _report, "outputs", "html", "title", "tokens-csv", needed=("outputs", "html"))
     command("pipeline", _pipeline, "dataset-json", "image", "headline", "save-jsonl", flags=("echo",), needed=("save-jsonl",))
+    command("baseline", _baseline, "dataset-json", "save-jsonl", needed=("dataset-json", "save-jsonl"))
+    command("backfill", _backfill, "results-dir", "dataset-json", "image-root", flags=("force", "skip-existing"), needed=("results-dir", "dataset-json", "image-root"))
     command("unpack", _unpack, "zip", "dest", needed=("zip", "dest"))
     args = parser.parse_args(argv)
     args.run(args)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.plans import cli
-from quillon.plans.claims import investigate, run_offline
+from quillon.plans.claims import investigate, run_baseline, run_offline
 from quillon.plans.evaluation import evaluate
 from quillon.sources import archive, clients, records, sinks
 from quillon.sources.config import RunConfig, dataset_path
@@ -194,3 +194,36 @@ def test_investigate(spark):
     assert sorted((r.sample, r.chain, r.question, r.found.confidence) for r in rows) == [(1, 0, "two?", 0.9), (1, 1, "three?", 0.4), (2, 0, "two?", 0.9), (2, 1, "three?", 0.4)]
     only = investigate(samples, RunConfig(q_chains=1, disable_answers=True), Scripted)
     assert only.count() == 4 and "found" not in only.columns
+
+
+def test_baseline_asks_no_more_than_needed(spark):
+    class Staged:
+        def ask(self, system, user, image_url=None):
+            if "TEXT" in user:
+                return ("Finish[TEXT REFUTES]" if "lie" in user else "Finish[TEXT SUPPORTS]"), 1, 1
+            assert "lie" not in user
+            if "IMAGE" in user:
+                return ("Finish[IMAGE REFUTES]" if "fake" in user else "?"), 1, 1
+            assert "fake" not in user
+            return ("Finish[MISMATCH]" if "other" in user else "Finish[MATCH]"), 1, 1
+
+    samples = spark.createDataFrame([(1, "lie"), (2, "fake"), (3, "other"), (4, "fine")], "sample_index long, headline string")
+    rows = {r.sample_index: (r.judgement.label, r.judgement.fake_cls) for r in run_baseline(samples, Staged).collect()}
+    assert rows == {1: ("Misinformation", "textual_veracity_distortion"), 2: ("Misinformation", "visual_veracity_distortion"), 3: ("Misinformation", "mismatch"), 4: ("Not Misinformation", "original")}
+
+
+def test_backfill_and_baseline_commands(spark, tmp_path):
+    _run_files(tmp_path)
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "run.jsonl").rename(tmp_path / "runs/run.jsonl")
+    arguments = ["backfill", "--results-dir", str(tmp_path / "runs"), "--dataset-json", str(tmp_path / "d.json"), "--image-root", "/data"]
+    cli.main(arguments)
+    report = tmp_path / "runs/run.metrics.json"
+    assert json.loads(report.read_text())["judge_by_class"]
+    report.write_text('{"judge_metrics": {"metrics": {"precision": 1}}}')
+    cli.main(arguments)
+    assert "judge_metrics" in report.read_text()
+    out = str(tmp_path / "base")
+    for _ in range(2):  # the second start finds nothing left
+        cli.main(["baseline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out])
+    assert spark.read.json(out).count() == 6
