@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_spread": line_spread.oracle_sql(), "op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql()}
+    return {"op2_robust_outliers": robust_outliers.oracle_sql(), "op7_suffix_intervals": suffix_dedup.oracle_sql(), "op4_line_spread": line_spread.oracle_sql(), "op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql()}

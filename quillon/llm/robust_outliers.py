@@ -171,3 +171,57 @@ def keep_inliers(df: DataFrame) -> DataFrame:
     """``df``'s rows without the rejected documents; rows without doc_id cannot be named and stay."""
     rejected = judge(df).filter("NOT kept").select("doc_id").distinct()
     return df.join(rejected, "doc_id", "left_anti")
+
+
+def oracle_sql() -> str:
+    """The same statistics and concentration steps, unrolled, for DuckDB."""
+    p = range(len(DIMENSIONS))
+    moments = lambda k: ", ".join([f"avg(x{i}) AS m{i}" for i in p] + [f"{k} * (avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})) AS c{i}{j}" for i in p for j in range(i + 1)])
+
+    def factor(source: str) -> str:
+        parts = []
+        for i in p:
+            for j in range(i + 1):
+                rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+                floor = f" + {(FLOORS[i] * GRAIN) ** 2!r}" if i == j else ""
+                parts.append(f"sqrt(greatest(c{i}{j}{floor}{rest}, 1.0)) AS l{i}{j}" if i == j else f"(c{i}{j}{rest}) / l{j}{j} AS l{i}{j}")
+        return f"SELECT g, {', '.join(f'm{i}' for i in p)}, {', '.join(parts)} FROM {source}"
+
+    solved = ", ".join(f"(x{i} - m{i}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}" for i in p)
+    d2 = " + ".join(f"z{i} * z{i}" for i in p)
+    middle = ", ".join(f"list_sort(list(x{i}))[(count(*) - 1) // 2 + 1] AS m{i}" for i in p)
+    zero = ", ".join(f"0.0 AS c{i}{j}" for i in p for j in range(i + 1))
+    steps = [f"e0 AS (SELECT g, {middle}, {zero} FROM fit GROUP BY g), f0 AS ({factor('e0')})"]
+    for k in range(1, STEPS + 1):
+        steps.append(
+            f"d{k} AS (SELECT g, x0, x1, x2, x3, floor(ln(1 + d2) * {BIN_GRAIN}) AS bin FROM (SELECT *, {solved}, {d2} AS d2 FROM fit JOIN f{k - 1} USING (g))), "
+            f"r{k} AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY bin) - 1 AS below, count(*) OVER (PARTITION BY g) AS n FROM d{k}), "
+            f"e{k} AS (SELECT g, {moments(CONSISTENCY if k == STEPS else 1.0)} FROM r{k} WHERE below < ceil({CORE} * n) GROUP BY g), f{k} AS ({factor(f'e{k}')})"
+        )
+    word = f"[^{SPACE}]"
+    return f"""
+WITH b AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{word}')) AS ls FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i + 1, i + {WINDOW_WORDS}) AS w FROM (SELECT doc_id, ws, unnest(range(0, greatest(0, len(ws) - {WINDOW_WORDS - 1}))) AS i FROM b)),
+cov AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {WINDOW_WORDS})) AS q FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+s AS (
+  SELECT b.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM b LEFT JOIN cov USING (doc_id)),
+t AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         round({GRAIN} * ln(greatest(word_chars, 1) / CAST(greatest(n_words, 1) AS DOUBLE))) AS x0, round({GRAIN} * ln(1 + 10 * n_symbols / CAST(greatest(n_words, 1) AS DOUBLE))) AS x1,
+         round({GRAIN} * n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE)) AS x2, round({GRAIN} * ln(1 + CAST(n_dup_lines AS DOUBLE))) AS x3 FROM s),
+z0 AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n FROM t GROUP BY lang, source),
+z1 AS (SELECT *, sum(CASE WHEN n < {MIN_GROUP} THEN n ELSE 0 END) OVER (PARTITION BY lang) AS pool FROM z0),
+z2 AS (SELECT *, sum(CASE WHEN n < {MIN_GROUP} AND pool < {MIN_GROUP} THEN n ELSE 0 END) OVER () AS rest FROM z1),
+z AS (
+  SELECT lang, source, CASE WHEN n >= {MIN_GROUP} THEN 's' || coalesce('=' || lang, '') || '/' || coalesce('=' || source, '') WHEN pool >= {MIN_GROUP} THEN 'l' || coalesce('=' || lang, '') WHEN rest >= {MIN_GROUP} THEN 'r' END AS g FROM z2),
+rows AS (SELECT t.*, z.g FROM t LEFT JOIN z ON t.lang IS NOT DISTINCT FROM z.lang AND t.source IS NOT DISTINCT FROM z.source),
+fit AS (SELECT g, x0, x1, x2, x3 FROM rows WHERE NOT base_failed AND g IS NOT NULL),
+{", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUT}, true) AS kept
+FROM (SELECT *, {solved}, {d2} AS d2 FROM rows LEFT JOIN f{STEPS} USING (g))"""

@@ -418,3 +418,18 @@ def digests(removed: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_duplicates``."""
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return removed.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle_sql() -> str:
+    """The same removal window by window, for DuckDB."""
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, array_slice(b, s + 1, s + {LENGTH}) AS win FROM (SELECT doc_id, b, unnest(range(0, greatest(0, octet_length(b) - {LENGTH - 1}))) AS s FROM d)),
+f AS (SELECT win, min({{'d': doc_id, 's': s}}) AS first FROM w GROUP BY win HAVING count(*) > 1),
+r AS (SELECT doc_id, s FROM w JOIN f USING (win) WHERE doc_id <> first.d OR s <> first.s),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {LENGTH} THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, min(s) AS a, max(s) + {LENGTH} AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i) GROUP BY doc_id, k),
+p AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(a) + 1), lambda k: array_slice(b, CASE WHEN k = 0 THEN 1 ELSE z[k] + 1 END, CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] END)), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id)"""
