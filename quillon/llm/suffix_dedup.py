@@ -11,6 +11,7 @@ a bounded part of the data in one place:
 2. Equal runs. Rows are sorted by anchor and by a hash of all the bytes that the
    run covers. Behind the first of equal runs all windows are repeats, which
    settles the inside of every repeat and all copies without looking at bytes.
+   Each task does so first among its own rows, so frequent runs hardly travel.
 3. Suffix array. Where one anchor has several different runs, at the ends of
    repeats, one of each fetches its bytes. The suffixes that start windows there
    are sorted, with common-prefix lengths; a stack scan walks the tree of prefix
@@ -44,6 +45,8 @@ BUCKET_LIMIT = 8192
 #: Bytes that are hashed at once; a position in them takes 20 bits.
 _CHUNK = 1 << 20
 _PIECE = _CHUNK // 2
+#: Anchors that a task combines before the shuffle.
+_COMBINED = 1 << 19
 #: Contexts that are sorted together, in whole anchors.
 _SORTED_TOGETHER = 4096
 
@@ -99,21 +102,63 @@ def anchor_runs(buffer: bytes, starts: np.ndarray, ends: np.ndarray, length: int
     return grams[anchor], run, np.searchsorted(starts, anchor, side="right") - 1, anchor, anchor - first, anchor - last
 
 
+def _combine(rows: np.ndarray, length: int) -> np.ndarray:
+    """Settles equal runs among rows (anchor, run, doc_id, place) before the shuffle.
+
+    Behind the first of equal runs the others are repeats already; they become
+    merged spans (hash of doc_id, start, doc_id, -stop). So an anchor or a run
+    that is in very many documents leaves a task once, not once a document.
+    """
+    key = _mix(rows[:, 0].view(np.uint64) ^ _mix(rows[:, 1].view(np.uint64) + (rows[:, 3].view(np.uint64) & np.uint64(0x3FFF))))
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], key))]
+    same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]) & ((rows[1:, 3] ^ rows[:-1, 3]) & 0x3FFF == 0)
+    # a row that only repeats its document's row is no later occurrence; the next step sees it again
+    twice = (rows[1:, 2] == rows[:-1, 2]) & (rows[1:, 3] == rows[:-1, 3])
+    later = np.concatenate([[False], same & ~twice])
+    # behind a repeated first row, the rest of its run is later all the same; the repeated row itself is dropped
+    keep = rows[~np.concatenate([[False], same])]
+    gone = rows[later]
+    if not len(gone):
+        return keep
+    position, lo, hi = gone[:, 3] >> 14, gone[:, 3] >> 7 & 127, gone[:, 3] & 127
+    start, stop, doc = position - lo, position - hi + length, gone[:, 2]
+    order = np.lexsort((start, doc))
+    start, stop, doc = start[order], stop[order], doc[order]
+    # reach of all spans so far within the document: spans start in order and have bounded lengths, so the maximum is a running one
+    edge = np.concatenate([[True], doc[1:] != doc[:-1]])
+    number = np.cumsum(edge) - 1
+    shift = number * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + shift) - shift
+    new = edge | np.concatenate([[True], start[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    spans = np.stack([_mix(doc[first].view(np.uint64)).view(np.int64), start[first], doc[first], -reach[last]], axis=1)
+    return np.concatenate([keep, spans])
+
+
 def anchors(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``df(doc_id, text)`` as anchor, run, doc_id, place: place is 2^14 * position + 2^7 * before first + before last."""
+    """``df(doc_id, text)`` as anchor, run, doc_id, place: place is 2^14 * position + 2^7 * before first + before last.
+
+    Rows with a negative place are spans that are settled already; see _combine.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         docs, offsets, parts, size = [], [], [], 0
+        held, rows = [], 0
+
+        def settle():
+            combined = _combine(np.concatenate(held), length)
+            return pa.RecordBatch.from_arrays([pa.array(combined[:, i]) for i in range(4)], names=["anchor", "run", "doc_id", "place"])
 
         def flush():
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             anchor, content, text, at, lo, hi = anchor_runs(b"".join(parts), starts, ends, length, gram)
             position = at - starts[text] + np.array(offsets, np.int64)[text]
-            arrays = [anchor.view(np.int64), content.view(np.int64), np.array(docs, np.int64)[text], position << 14 | lo << 7 | hi]
-            return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["anchor", "run", "doc_id", "place"])
+            held.append(np.stack([anchor.view(np.int64), content.view(np.int64), np.array(docs, np.int64)[text], position << 14 | lo << 7 | hi], axis=1))
+            return len(anchor)
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -121,14 +166,19 @@ def anchors(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 for offset in range(0, max(1, len(text) - length + 1), _PIECE):
                     part = text[offset : offset + _PIECE + length - 1]
                     if size + len(part) > _CHUNK:
-                        yield flush()
+                        rows += flush()
                         docs, offsets, parts, size = [], [], [], 0
+                        if rows >= _COMBINED:
+                            yield settle()
+                            held, rows = [], 0
                     docs.append(doc)
                     offsets.append(offset)
                     parts.append(part)
                     size += len(part)
         if parts:
-            yield flush()
+            flush()
+        if held:
+            yield settle()
 
     whole = df.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     return whole.mapInArrow(run, "anchor long, run long, doc_id long, place long")
@@ -159,6 +209,12 @@ def _settle_equal_runs(batches: Iterator, length: int) -> Iterator:
 
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+        settled = rows[:, 3] < 0
+        if settled.any():
+            done = rows[settled]
+            none = pa.nulls(len(done), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(done[:, 2]), pa.array(done[:, 1]), pa.array(-done[:, 3]), none], schema=schema)
+            rows = rows[~settled]
         if not len(rows):
             continue
         before = np.concatenate([rows[:1] if last is None else last[None], rows[:-1]])
