@@ -35,6 +35,8 @@ CORE, STEPS, MIN_GROUP = 0.75, 4, 50
 CONSISTENCY = 1.485
 #: Squared Mahalanobis distance beyond which a document is rejected; the 0.99999 quantile of chi-squared with 4 degrees is 28.5.
 CUT = 28.5
+#: So many groups' estimates (about 200 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 DIMENSIONS = ("x0", "x1", "x2", "x3")
 #: Least standard deviations: of log mean word length, log symbol density, repeated share, log repeated lines.
 FLOORS = (0.05, 0.12, 0.08, 0.5)
@@ -99,6 +101,11 @@ def _cholesky(estimates: DataFrame) -> DataFrame:
     return estimates.select("_group", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """A materialised table of a row per group, to be broadcast if its size allows: a hot group then stays dealt over all tasks."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def _with_distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance ``d2``, by forward substitution."""
     rows = rows.join(factors, "_group", "left")
@@ -145,7 +152,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     sizes = sizes.withColumn("_pool", pool).withColumn("_last", last)
     group = F.when(~small, name("lang", "source")).when(F.col("_pool") >= MIN_GROUP, name("lang")).when(F.col("_last") >= MIN_GROUP, F.lit("{}"))
-    sizes = sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("_group"))
+    sizes = _small(materialize(sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("_group")), "groups"))
     return rows.join(sizes, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
 
 
@@ -153,10 +160,10 @@ def judge_statistics(stats: DataFrame) -> DataFrame:
     """``statistics`` with ``kept`` and the squared distance ``d2`` (null without an estimate)."""
     rows = materialize(_grouped(stats).select("*", *_vector()), "vectors")
     fit = rows.filter(~F.col("base_failed") & F.col("_group").isNotNull()).select("_group", *DIMENSIONS)
-    factors = materialize(_cholesky(_median_start(fit)), "mcd")
+    factors = _small(materialize(_cholesky(_median_start(fit)), "mcd"))
     for step in range(STEPS):
         last = step == STEPS - 1
-        factors = materialize(_cholesky(_core_estimates(_with_distance(fit, factors), CONSISTENCY if last else 1.0)), "mcd")
+        factors = _small(materialize(_cholesky(_core_estimates(_with_distance(fit, factors), CONSISTENCY if last else 1.0)), "mcd"))
     judged = _with_distance(rows, factors)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))
     return judged.select("doc_id", "lang", "source", *STATISTICS, kept.alias("kept"), "d2")
