@@ -45,22 +45,21 @@ def line_table(df: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, first) of the lines found on ``min_sites`` sites or more; ``first`` is their first place."""
-    spread = lines.groupBy("line").agg(
-        F.approx_count_distinct("site", SKETCH_ERROR).alias("_about"), F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "pos")).alias("first")
-    )
+    """(line) of the lines found on ``min_sites`` sites or more."""
+    spread = lines.groupBy("line").agg(F.approx_count_distinct("site", SKETCH_ERROR).alias("_about"), F.count(F.lit(1)).alias("_n"))
     likely = materialize(spread.filter((F.col("_n") >= min_sites) & (F.col("_about") >= min_sites / BAND)), "spread")
-    near = likely.filter(F.col("_about") <= min_sites * BAND).select("line", "first")
-    sites = lines.join(near.select("line"), "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("_one"))
+    near = likely.filter(F.col("_about") <= min_sites * BAND).select("line")
+    sites = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("_one"))
     exact = sites.groupBy("line").agg(F.count("site").alias("_sites")).filter(F.col("_sites") >= min_sites).select("line")
-    return likely.filter(F.col("_about") > min_sites * BAND).select("line", "first").union(near.join(exact, "line"))
+    return likely.filter(F.col("_about") > min_sites * BAND).select("line").union(exact)
 
 
 def _removed(df: DataFrame, min_sites: int) -> DataFrame:
     """(doc, drop): the numbers of the lines to remove, for documents that have any."""
     lines = materialize(line_table(df), "lines")
-    spread = materialize(boilerplate(lines, min_sites), "boilerplate")
-    later = lines.join(spread, "line").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    hits = materialize(lines.join(materialize(boilerplate(lines, min_sites), "boilerplate"), "line").select("line", "doc_id", "pos"), "hits")
+    first = hits.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    later = hits.join(first, "line").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))  # at most a document's lines
 
 
