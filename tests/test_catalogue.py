@@ -24,7 +24,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 6
 
 
-def test_every_query_but_two_has_sql():
+def test_all_queries_but_one_have_sql():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"pipeline_offline"}
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
 
