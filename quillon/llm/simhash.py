@@ -40,37 +40,51 @@ _BLOCK = 1 << 16
 _TRIPLES = list(combinations(range(8), 3))
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a UTF-8 text, unsigned."""
+def _more(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th further hash of shingles from their XXH64."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> list[int]:
+    """The 64-bit SimHashes of a UTF-8 text, unsigned: the first of XXH64, further ones of hashes of that."""
     import xxhash
 
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return [0] * prints
     n = max(1, len(words) - shingle_words + 1)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[:n].tolist(), ends[-n:].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, n, _BLOCK):
-        h = np.array([digest(joined[a:b], XXH_SEED) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((prints, 64), np.int64)
+    for at in range(0, n, _BLOCK):
+        h = np.array([digest(joined[a:b], XXH_SEED) for a, b in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)], "<u8")
+        for i in range(prints):
+            each = _more(h, i) if i else h
+            counts[i] += np.unpackbits(each.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``df(doc_id, text)`` as doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS, prints: int = 1) -> DataFrame:
+    """``df(doc_id, text)`` as doc_id, fp, fp1, fp2, ...: ``prints`` fingerprints as signed longs."""
+    names = _names(prints)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py() or b"", shingle_words, prints) for t in texts], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i]) for i in range(prints))], names=["doc_id", *names])
+
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+def _names(prints: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, prints))]
 
 
 def _linked(a: np.ndarray, b: np.ndarray, max_distance: int) -> np.ndarray:
@@ -156,32 +170,49 @@ def _midpoint_links(members: DataFrame, max_distance: int) -> DataFrame:
     return near.join(least, "middle").filter("rep != v").select(F.col("rep").alias("u"), "v").distinct()
 
 
-def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(fp, component_id) of ``fps(doc_id, fp)``: the least doc_id reachable over links."""
-    if max_distance > 5 or max_distance % 2:
-        raise ValueError("the triple index is exact for distances 2 and 4")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+def _links(nodes: DataFrame, fp: str, max_distance: int, list_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that connect the first ``nodes(node, fp)`` of fingerprints that link, and (fp, rep), those first ones."""
+    distinct = materialize(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("rep")), "fingerprints")
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
     keys = F.array(*[(F.shiftleft(F.lit(c).cast("long"), 24) + F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k)) for c, (i, j, k) in enumerate(_TRIPLES)])
-    index = distinct.filter("rep IS NOT NULL").select(F.explode(keys).alias("key"), "fp", "rep")
-    lists = index.repartition("key").sortWithinPartitions("key")
+    lists = distinct.select(F.explode(keys).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
     found = materialize(lists.mapInArrow(lambda batches: _search_lists(batches, max_distance, list_limit), "u long, v long, fp long"), "links")
     links = found.filter("v IS NOT NULL").select("u", "v")
     members = found.filter("v IS NULL").select("fp", F.col("u").alias("rep")).distinct()
     if not members.isEmpty():
         links = links.union(_midpoint_links(members, max_distance))
-    roots = components(links.distinct())
-    return distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-
-
-def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """``df(doc_id, text)`` as doc_id, fingerprint (hex), component_id."""
-    fps = materialize(fingerprints(df, shingle_words), "simhash")
-    named = link_components(fps, max_distance, list_limit)
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, shingle_words: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id go."""
-    kept = near_duplicates(df, shingle_words, max_distance).filter("doc_id = component_id").select("doc_id").distinct()
+    return links, distinct
+
+
+def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT, prints: int = 1) -> DataFrame:
+    """(fingerprints, component_id) of ``fps(doc_id, fp, ...)``: the least doc_id reachable over links of any of the fingerprints."""
+    if max_distance not in (2, 4):
+        raise ValueError("the index is exact for distances 2 and 4")
+    names = _names(prints)
+    nodes = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    named, edges = nodes.filter("node IS NOT NULL"), None
+    for fp in names:
+        links, distinct = _links(named, fp, max_distance, list_limit)
+        if prints > 1:  # nodes that share this fingerprint, but not all
+            same = named.select("node", F.col(fp).alias("fp")).join(distinct, "fp").filter("node != rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+            links = links.union(same)
+        edges = links if edges is None else edges.union(links)
+    roots = components(edges).withColumnRenamed("node", "_node")
+    return nodes.join(roots, nodes.node == roots["_node"], "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT, prints: int = 1) -> DataFrame:
+    """``df(doc_id, text)`` as doc_id, fingerprint (the first, hex), component_id."""
+    fps = materialize(fingerprints(df, shingle_words, prints), "simhash")
+    named = link_components(fps, max_distance, list_limit, prints)
+    return fps.join(named, _names(prints)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, shingle_words: int = 5, max_distance: int = MAX_DISTANCE, prints: int = 4) -> DataFrame:
+    """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id go.
+
+    One fingerprint within four bits finds half of the pairs of similarity 0.95;
+    several independent ones, linked if any of them is near, find nearly all.
+    """
+    kept = near_duplicates(df, shingle_words, max_distance, prints=prints).filter("doc_id = component_id").select("doc_id").distinct()
     return df.join(kept, "doc_id", "left_semi")

@@ -100,7 +100,8 @@ def simhash_brute(text, k=4):
 class TestSimHash:
     def test_fingerprint(self, awkward):
         for text in [r.text for r in awkward.collect()] + ["A B c", "a b c d e f g", "ÀB ß"]:
-            assert simhash.fingerprint((text or "").encode()) == simhash_brute(text)
+            assert simhash.fingerprint((text or "").encode()) == [simhash_brute(text)]
+            assert simhash.fingerprint((text or "").encode(), prints=3)[0] == simhash_brute(text)
 
     @pytest.mark.parametrize("list_limit", [8192, 3])
     def test_components_against_all_pairs(self, spark, list_limit):
@@ -136,6 +137,34 @@ class TestSimHash:
         kept = simhash.keep_one(awkward)
         assert kept.columns == awkward.columns and {1, 4, 5, 7} == {r.doc_id for r in kept.collect()}
 
+    def test_several_fingerprints(self, spark, documents):
+        rng = random.Random(8)
+        rows = []
+        for g in range(25):
+            w = prose(rng, 250).split()
+            rows.append((3 * g, " ".join(w), "a"))
+            w[rng.randrange(250)] = "changed"
+            rows.append((3 * g + 1, " ".join(w), "a"))
+            rows.append((3 * g + 2, prose(rng, 250), "a"))
+        docs = documents(rows)
+        fps = [simhash.fingerprint(t.encode(), 5, 4) for _, t, _ in rows]
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j], strict=True)):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, prints=4).collect()}
+        assert got == {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+        kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+        assert all(3 * g in kept and 3 * g + 2 in kept for g in range(25)) and sum(3 * g + 1 in kept for g in range(25)) <= 2
+
     def test_long_chain_is_one_component(self, spark):
         edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
         assert {r.component for r in components.components(edges).collect()} == {0}
