@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import jaccard_dedup
 from quillon.llm.common import materialize
 from quillon.llm.components import components
 
@@ -208,11 +209,10 @@ def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dista
     return fps.join(named, _names(prints)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, shingle_words: int = 5, max_distance: int = MAX_DISTANCE, prints: int = 4) -> DataFrame:
+def keep_one(df: DataFrame, shingle_words: int = jaccard_dedup.SHINGLE_WORDS) -> DataFrame:
     """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id go.
 
-    One fingerprint within four bits finds half of the pairs of similarity 0.95;
-    several independent ones, linked if any of them is near, find nearly all.
+    Fingerprints lose most pairs of similarity 0.8, at any number of prints that
+    is worth its cost, so groups are found by ``jaccard_dedup``.
     """
-    kept = near_duplicates(df, shingle_words, max_distance, prints=prints).filter("doc_id = component_id").select("doc_id").distinct()
-    return df.join(kept, "doc_id", "left_semi")
+    return jaccard_dedup.keep_one(df, shingle_words)

@@ -184,6 +184,35 @@ def brute_removal(rows, length=100):
     return out
 
 
+class TestJaccardDedup:
+    def test_groups_against_all_pairs(self, documents):
+        rng = random.Random(9)
+        rows, d = [], 0
+        for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.05) * 4 + (0.02,):
+            base = prose(rng, 200).split()
+            for _ in range(60 if d > 150 else 4):  # the last group is large: several rounds of pivots
+                rows.append((d, " ".join(prose(rng, 1) if rng.random() < share else x for x in base), "a"))
+                d += 1
+            d += 100 if len(rows) == 96 else 0
+        sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t, _ in rows)}
+        root = {i: i for i in sets}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        similar = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+        for a in sets:
+            for b in sets:
+                if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    u, v = sorted((find(a), find(b)))
+                    root[v] = u
+        assert sum(0.8 <= x < 0.9 for x in similar) > 50 and sum(0.6 < x < 0.8 for x in similar) > 50
+        kept = {r.doc_id for r in simhash.keep_one(documents(rows)).collect()}
+        assert kept == {i for i in sets if find(i) == i}
+
+
 class TestSuffixDedup:
     @pytest.mark.parametrize("limit", [8192, 2])
     def test_against_brute_force(self, documents, limit):
