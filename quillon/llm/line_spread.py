@@ -11,7 +11,8 @@ Built of DataFrame functions only.
 
 Cases: lines are compared without the white space around them, blank lines stay
 and are not counted; a null text stays null and has no lines; a null source is
-no site; repeated rows of one doc_id are one document, with the lines of all its
+no site; a row with a null doc_id counts for the sites but is never a line's first
+place and keeps all its lines; repeated rows of one doc_id are one document, with the lines of all its
 rows; a document may become empty and stays as such; an empty table gives no
 rows; further columns are kept.
 """
@@ -58,7 +59,7 @@ def _removed(df: DataFrame, min_sites: int) -> DataFrame:
     """(doc, drop): the numbers of the lines to remove, for documents that have any."""
     lines = materialize(line_table(df), "lines")
     hits = materialize(lines.join(materialize(boilerplate(lines, min_sites), "boilerplate"), "line").select("line", "doc_id", "pos"), "hits")
-    first = hits.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    first = hits.filter("doc_id IS NOT NULL").groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     later = hits.join(first, "line").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))  # at most a document's lines
 

@@ -88,6 +88,11 @@ class TestLineSpread:
         report = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_spread.line_report(copies).collect()}
         assert report[0] == ("the very same line", 1, 0) and report[7] == ("", 1, 1)
 
+    def test_null_doc_id_is_no_first_place(self, documents):
+        rows = [(i, f"the header\nown {i}", f"s{i}") for i in range(20)] + [(None, "the header\nno id", "s3")]
+        got = {r.doc_id: r.text for r in line_spread.remove_boilerplate(documents(rows)).collect()}
+        assert got == {0: "the header\nown 0", None: "the header\nno id"} | {i: f"own {i}" for i in range(1, 20)}
+
 
 def simhash_brute(text, k=4):
     w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(text or "")]
