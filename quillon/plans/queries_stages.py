@@ -119,8 +119,8 @@ def question_chains(spark, sf_dir):
 
 @query(None)
 def pipeline_offline(spark, sf_dir):
-    """The claim pipeline with an offline model over all documents' first lines as headlines."""
-    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_index"), F.lit("none.png").alias("image_path"), F.split("text", "\n")[0].alias("headline"))
+    """The claim pipeline with an offline model over all documents' whole texts as headlines."""
+    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_index"), F.lit("none.png").alias("image_path"), F.trim("text").alias("headline"))
     out = claims.run_offline(samples, RunConfig(), EchoModel)
     return out.select("sample_index", "relevancy.aligned", "visual_veracity.ai_generated", "judgement.label", F.col("judgement.confidence").alias("confidence"), F.col("token_usage.total").alias("tokens"))
 

@@ -227,3 +227,12 @@ def test_backfill_and_baseline_commands(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing left
         cli.main(["baseline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out])
     assert spark.read.json(out).count() == 6
+
+
+def test_pipeline_offline_reads_whole_texts(spark, tmp_path):
+    from quillon.plans.queries_stages import pipeline_offline
+
+    spark.createDataFrame([(1, " one two\nthree four\nfive "), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {r.sample_index: r.tokens for r in pipeline_offline(spark, str(tmp_path)).collect()}
+    asked = {i: clients.EchoModel().ask("", t) for i, t in ((1, "one two\nthree four\nfive"), (2, ""))}
+    assert tokens == {i: prompt + completion for i, (_, prompt, completion) in asked.items()}
