@@ -65,7 +65,8 @@ class TestRobustOutliers:
 
 
 class TestLineSpread:
-    def test_against_exact_counts(self, documents):
+    @pytest.mark.parametrize("table_lines", [20_000, 3])
+    def test_against_exact_counts(self, documents, table_lines):
         rng = random.Random(3)
         shared = [f"shared line {i}" for i in range(25)]
         rows = [(d, "\n".join([prose(rng, 5)] + rng.sample(shared[: 1 + d % 25], 1 + d % 2 if d % 25 else 1)), f"s{rng.randint(0, d % 12)}") for d in range(400)]
@@ -75,9 +76,20 @@ class TestLineSpread:
                 sites.setdefault(line, set()).add(s)
                 first.setdefault(line, (d, i))
         cut = lambda d, t: "\n".join(x for i, x in enumerate(t.split("\n")) if len(sites[x]) < line_spread.MIN_SITES or first[x] == (d, i))
-        got = {r.doc_id: r.text for r in line_spread.remove_boilerplate(documents(rows)).collect()}
-        assert got == {d: cut(d, t) for d, t, _ in rows}
-        assert got != {d: t for d, t, _ in rows}
+        out = line_spread.remove_boilerplate(documents(rows), table_lines=table_lines)
+        assert ("Join" in out._jdf.queryExecution().executedPlan().toString()) == (table_lines == 3)  # no text is shuffled
+        got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+        assert got == {d: (cut(d, t), len(cut(d, t))) for d, t, _ in rows}
+        assert any(got[d][0] != t for d, t, _ in rows)
+
+    @pytest.mark.parametrize("table_lines", [20_000, 0])
+    def test_one_id_with_different_texts(self, documents, table_lines):
+        """A line's place is its own: the rows of one doc_id do not lose each other's lines."""
+        rows = [(1, "a\nb", "s0")] * 3 + [(1, "b\nx", "s1"), (1, None, "s1"), (1, " \n b", "s2")] + [(10 + i, f"b\nown {i}", f"s{i}") for i in range(14)]
+        got = Counter((r.doc_id, r.text) for r in line_spread.remove_boilerplate(documents(rows), table_lines=table_lines).collect())
+        assert got == Counter([(1, "a")] * 3 + [(1, "b\nx"), (1, None), (1, " ")] + [(10 + i, f"own {i}") for i in range(14)])
+        report = Counter((r.doc_id, r.n_lines, r.n_removed) for r in line_spread.line_report(documents(rows), table_lines=table_lines).collect())
+        assert report == Counter([(1, 2, 1)] * 3 + [(1, 2, 0), (1, 0, 0), (1, 1, 1)] + [(10 + i, 2, 1) for i in range(14)])
 
     def test_awkward(self, documents, awkward, nothing):
         out = line_spread.remove_boilerplate(awkward)
