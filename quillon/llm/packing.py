@@ -13,7 +13,7 @@ packs them in units of a bounded number of tokens. Within a unit
 4. the windows are dealt to step groups of equal token counts, heaviest first.
 
 Cases: a null or empty text is the single end id; a text of any length is cut
-freely; equal documents are packed each for itself; an empty table gives no
+freely; a special token written out in a text is that token; equal documents are packed each for itself; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -50,7 +51,8 @@ class WordTokenizer(dict):
 
     The tokeniser drops white space and never merges across it, so a text's ids
     are its words' ids in a row. Words repeat (Zipf), hence the cache: two
-    generations of a bounded size, so that frequent words stay.
+    generations of a bounded size, so that frequent words stay. Special tokens
+    written out in a text are found first, as the tokeniser does, and have their ids.
     """
 
     def __init__(self, path: str, entries: int = 250_000):
@@ -59,7 +61,10 @@ class WordTokenizer(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = {content: i.to_bytes(4, "little") for content, i in special.items()}
+        self.special_pattern = re.compile("|".join(re.escape(c) for c in sorted(special, key=len, reverse=True)) or r"(?!)")
+        self.tokenizer.encode_special_tokens = True  # words come here lower-cased, and may look like a special token only then
         self.model, self.entries, self.older, self.letters = self.tokenizer.model, entries, {}, _byte_level()
 
     def __missing__(self, word: str) -> bytes:
@@ -81,6 +86,14 @@ class WordTokenizer(dict):
         return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def ids(self, text: str) -> bytes:
+        at, out = 0, []
+        for found in self.special_pattern.finditer(text):
+            out += [self._plain(text[at : found.start()]), self.special[found.group()]]
+            at = found.end()
+        return b"".join(out) + self._plain(text[at:]) if out else self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # a capital sigma at a word's end has a lower-case form of its own in Python, but not in the tokeniser

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm import mixing, packing, progressive_jpeg, quality_model, queries, sharding, url_filter
 
@@ -106,9 +107,37 @@ class TestPacking:
         texts = ["Hello, World!! it's 12 o'clock", "ÉCOLE über naïve Σίσυφος ΟΔΟΣ", "áb ë x y z", "### thouhe$$$ <|endoftext|> word.word a-b", "漢字 かな İstanbul \t tab\r\nline", "don't we'll I'M 's", ""]
         rng = random.Random(5)
         texts += ["".join(rng.choice("abcXYZ.,'!? \né́#1²") for _ in range(80)) for _ in range(200)]
+        parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " ", "a", "É", "e", "\u0301", "Σ", "\n", "<|", "'s"]
+        texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+        library = Tokenizer.from_file(queries.vocabulary())
         for t in texts:
-            got = np.frombuffer(ours.ids(t), "<u4").tolist()
-            assert got == ours.tokenizer.encode(t, add_special_tokens=False).ids, t
+            assert np.frombuffer(ours.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+    def test_query_against_the_library(self, documents):
+        """Ids, pieces and windows of whole texts, from the tokeniser library alone."""
+        rng = random.Random(11)
+        words = ["Word", "naïve", "12", "<|endoftext|>", "it's", "###", "漢字", "\n", "Ünï"]
+        rows = [(d, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 30, 900, 4000]))), "a") for d in range(60)] + [(100, None, None), (101, "x" * 30_000, "a")]
+        library, got = Tokenizer.from_file(queries.vocabulary()), {}
+        for r in packing.pack(documents(rows), queries.vocabulary()).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        used, filled = 0, {}
+        for d, text, _ in rows:
+            ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+            used += len(ids)
+            at = 0
+            for r in sorted(got.pop(d), key=lambda r: r.start):
+                assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+                at += r.length
+                filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert at == len(ids)
+        assert not got
+        sizes = []
+        for pieces in filled.values():
+            pieces.sort()
+            assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+            sizes.append(sum(n for _, n in pieces))
+        assert all(n <= 2048 for n in sizes) and sum(n if n & (n - 1) == 0 else 2048 for n in sizes) <= 1.05 * used
 
     def test_query_rows(self, awkward, nothing):
         rows = packing.pack(awkward, queries.vocabulary()).collect()
