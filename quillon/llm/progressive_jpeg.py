@@ -17,8 +17,9 @@ stride exists. Payloads over 1.5 MB take several frames one after the other,
 which bounds the memory of a task at a few frames.
 
 Cases: null and empty texts become one padded unit; equal texts have equal media;
-other than progressive Huffman JPEG raises ValueError; an empty table gives no
-rows; further columns are ignored.
+a null medium has null digests and no tensor; other than progressive Huffman
+JPEG, an empty, truncated or damaged one raises ValueError; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -382,13 +383,16 @@ class Frame:
             down, across = c.blocks.shape[:2]
             samples = (c.blocks.reshape(-1, 64) * quants[c.quant]).astype(np.float64) @ _IDCT + 128.0
             plane = np.clip(np.rint(samples), 0, 255).astype(np.float32).reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
-            if self.v_max // c.v > 1:
-                plane = np.repeat(plane, self.v_max // c.v, axis=0)
-            if self.h_max // c.h > 1:
-                plane = np.repeat(plane, self.h_max // c.h, axis=1)
+            for axis, (most, mine, size) in enumerate(((self.v_max, c.v, self.height), (self.h_max, c.h, self.width))):
+                if most % mine:  # such as 3:2
+                    plane = plane.take(np.arange(size) * mine // most, axis=axis)
+                elif most > mine:
+                    plane = np.repeat(plane, most // mine, axis=axis)
             planes.append(plane[: self.height, : self.width])
         if len(planes) == 1:
             return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
+        if len(planes) != 3:
+            raise ValueError("only grey and YCbCr frames")
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
         out = np.empty((self.height, self.width, 3), np.uint8)
         for i, channel in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
@@ -398,15 +402,34 @@ class Frame:
 
 def frames(media: bytes) -> Iterator[tuple[Frame, dict[int, np.ndarray], int]]:
     """(frame, quantisation tables, stored payload bytes or 0) of each JPEG in ``media``."""
+    complete = _segments(media)
+    while True:
+        try:
+            frame, quants, payload = next(complete)
+        except StopIteration:
+            return
+        except (IndexError, KeyError, AttributeError, TypeError, ZeroDivisionError) as e:  # reads past an end, or what should come first is missing
+            raise ValueError("truncated or damaged JPEG") from e
+        if frame is None or not all(c.quant in quants for c in frame.components):
+            raise ValueError("JPEG without a frame or its quantisation tables")
+        yield frame, quants, payload
+
+
+def _segments(media: bytes) -> Iterator[tuple[Frame | None, dict[int, np.ndarray], int]]:
+    if not media:
+        raise ValueError("no JPEG")
     at, frame, quants, huffman, restart, payload = 0, None, {}, {}, 0, 0
+    ended = False
     while at < len(media):
         marker = media[at + 1]
         if media[at] != 0xFF:
             raise ValueError("no marker where one belongs")
         at += 2
         if marker == 0xD8:
+            ended = False
             frame, quants, huffman, restart, payload = None, {}, {}, 0, 0
         elif marker == 0xD9:
+            ended = True
             yield frame, quants, payload
         elif marker != 0xFF:
             end = at + int.from_bytes(media[at : at + 2], "big")
@@ -439,6 +462,8 @@ def frames(media: bytes) -> Iterator[tuple[Frame, dict[int, np.ndarray], int]]:
                 frame.scan(parts, tables, first, last, shift >> 4, shift & 15, data, restart)
         else:
             at -= 1
+    if not ended:
+        raise ValueError("JPEG without an end")
 
 
 def stored_payload(frame: Frame, n: int) -> bytes:
@@ -485,14 +510,13 @@ def to_tensors(df: DataFrame) -> DataFrame:
 
         for batch in _in_slices(batches):
             for doc, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for i, t in enumerate(decode(media.as_py() or b"")):
+                for i, t in enumerate(decode(media.as_py()) if media.is_valid else []):
                     yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *(pa.array([v], pa.int32()) for v in (i, *t.shape[:2])), pa.array([t.tobytes()], pa.binary())], names=["doc_id", "frame", "height", "width", "rgb"])
 
     return df.select("doc_id", "media").mapInArrow(run, "doc_id long, frame int, height int, width int, rgb binary")
 
 
 
-
 def describe(df: DataFrame) -> DataFrame:
     """``df(doc_id, n_bytes, media)`` read back: digests of the payload and of the media, and a feature of the pixels.
 
@@ -507,6 +531,9 @@ def describe(df: DataFrame) -> DataFrame:
             rows = []
             for doc, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 media = value.as_py()
+                if media is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 payload, count, pixels, sums, crc = [], 0, 0, np.zeros(3), 0
                 for frame, quants, size in frames(media):
                     payload.append(stored_payload(frame, size))

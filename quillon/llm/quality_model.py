@@ -4,12 +4,13 @@ Words are runs of letters and digits and runs of other visible characters, with
 their case; a text's features are its words and word pairs (and, for a word said
 again, the pair "same word"), hashed into 2^``bits`` buckets and weighted by
 their share of the text. Training follows the
-regularised leader per coordinate on a bounded sample of labelled rows (the
+regularised leader per coordinate on a bounded sample of labels (the
 ``train_rows`` least by a hash of doc_id) on the driver; scoring is a sparse dot
 product in one pass over the documents with the weights, whose size is fixed.
 
 Cases: a null or empty text has no features and gets the bias alone; labels that
-are null or of unknown documents are not used; with no labels at all every score
+are null or of unknown documents are not used; a doc_id with two labels is
+learned with both, one with several texts with each; with no labels at all every score
 is 0.5; texts of any length are read whole; equal texts have equal scores; an
 empty table gives no rows; further columns, lang and source among them, are
 ignored.

@@ -1,8 +1,11 @@
 """Progressive JPEG, packing, mixing, sharding, the classifier and URL rules."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,6 +58,34 @@ class TestProgressiveJpeg:
         with pytest.raises(ValueError):
             list(progressive_jpeg.frames(b"\xff\xd8" + progressive_jpeg._segment(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0])) + b"\xff\xd9"))
 
+    @pytest.mark.parametrize("factors", [(0x33, 0x22), (0x31, 0x21), (0x22, 0x11), (0x12, 0x11), (0x11, 0x22)])
+    def test_sampling_factors(self, factors):
+        """Chroma is taken at its exact ratio: a frame whose chroma has a left and a right half of constant colour."""
+        segment = progressive_jpeg._segment
+        luma, chroma = factors
+        body = segment(0xC2, bytes([8, 0, 24, 0, 48, 3, 1, luma, 0, 2, chroma, 0, 3, chroma, 0]))
+        frame = progressive_jpeg.Frame(body[4:])
+        cb = frame.components[1]
+        for c in frame.components:
+            c.blocks[:] = 0
+        cb.blocks[:, :, 0] = np.where(np.arange(cb.blocks.shape[1]) % 2, 80, -80)
+        rgb = frame.rgb({0: np.ones(64, np.int32)})
+        plane = 128 + np.where(np.arange(8 * cb.blocks.shape[1]) // 8 % 2, 10, -10)
+        expected = plane[np.arange(48) * cb.h // frame.h_max]
+        assert rgb.shape == (24, 48, 3) and (rgb[:, :, 2] == np.rint(128 + 1.772 * (expected - 128)).astype(int)).all()
+
+    def test_damaged_streams(self):
+        media = progressive_jpeg.encode(bytes(range(192)))
+        for bad in (b"", b"\xff\xd8\xff\xd9", b"\xff", b"abc", media[:-2], media.replace(b"\xff\xdb", b"\xff\xfe", 1), *(media[:n] for n in range(2, len(media) - 2, 37))):
+            with pytest.raises(ValueError):
+                progressive_jpeg.decode(bad)
+
+    def test_null_media(self, spark):
+        df = spark.createDataFrame([(1, 5, None)], "doc_id long, n_bytes long, media binary")
+        row = progressive_jpeg.describe(df).first()
+        assert (row.doc_id, row.n_bytes) == (1, 5) and row[2:] == (None,) * 6
+        assert progressive_jpeg.to_tensors(df).count() == 0
+
     def test_inverse_transform_against_definition(self):
         rng = np.random.default_rng(2)
         block = rng.integers(-50, 50, 64)
@@ -262,6 +293,52 @@ class TestQualityModel:
         w = model.weights()
         assert w[0] > 1 > -1 > w[1]
 
+    def test_against_plain_python(self, spark, documents):
+        """Training and scores, feature by feature and coordinate by coordinate, without numpy."""
+        rng = random.Random(12)
+        words = ["Alpha", "beta", "beta", "###", "g_h", "x", "naïve", "12"]
+        rows = [(d, " ".join(rng.choice(words[: 3 + d % 6]) for _ in range(rng.randint(0, 40))), "a") for d in range(60)] + [(60, None, "a")]
+        quality = {d: int(d % 6 < 3) for d, *_ in rows}
+        labels = spark.createDataFrame([(d, q, 0) for d, q in quality.items()] + [(7, 1 - quality[7], 0)], "doc_id long, quality int, toxic int")
+        mask, bits = (1 << 64) - 1, 12
+
+        def found(text):
+            w = re.findall(r"[^\W_]+|[^\w\s]+|_+", text or "")
+            h = [zlib.crc32(x.encode()) for x in w]
+            out = [x * 0xFF51AFD7ED558CCD for x in h] + [(a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F for a, b in zip(h, h[1:], strict=False)]
+            out += [0x2545F4914F6CDD1D * d for d in (1, 2) for a, b in zip(h, h[d:], strict=False) if a == b]
+            return Counter((x & mask) >> (64 - bits) for x in out)
+
+        def share(counts):
+            return {k: 100.0 * n / sum(counts.values()) for k, n in counts.items()} | {"bias": 1.0}
+
+        z, n = {}, {}
+
+        def weight(k):
+            if abs(z.get(k, 0.0)) <= quality_model.L1:
+                return 0.0
+            sign = 1 if z[k] > 0 else -1
+            return (sign * quality_model.L1 - z[k]) / ((quality_model.BETA + math.sqrt(n[k])) / quality_model.ALPHA + quality_model.L2)
+
+        def chance(x):
+            return 1 / (1 + math.exp(-max(-35, min(35, sum(weight(k) * v for k, v in x.items())))))
+
+        texts = {d: t for d, t, _ in rows}
+        seen = [(d, q) for d, q in [*quality.items(), (7, 1 - quality[7])] if zlib.crc32(str(d).encode()) % 5]  # both labels of 7 are learned
+        seen.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+        for _ in range(quality_model.EPOCHS):
+            for d, y in seen:
+                x = share(found(texts[d]))
+                p, w = chance(x), {k: weight(k) for k in x}
+                for k, v in x.items():
+                    g, before = (p - y) * v, n.get(k, 0.0)
+                    z[k] = z.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / quality_model.ALPHA * w[k]
+                    n[k] = before + g * g
+        model = quality_model.fit(documents(rows), labels, bits=bits)
+        for r in quality_model.score(documents(rows), model, bits=bits).collect():
+            expected = chance(share(found(texts[r.doc_id])))
+            assert abs(r.score - expected) < 1e-4 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
     def test_held_out_accuracy_and_folds(self, spark, documents, awkward, nothing):
         rng = random.Random(9)
         word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -306,4 +383,8 @@ class TestUrlFilter:
         df = spark.createDataFrame([(i, u, "html") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
         got = {urls[r.page_id]: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
         assert got == cases
+        odd = [(1, "http://a.org/" + "x" * 500_000 + "/spam"), (1, "http://a.org/" + "x" * 500_000 + "/spam"), (1, "http://a.org/"), (None, "http://ÀB.org/?SPAM")]
+        rows = url_filter.judge_urls(spark.createDataFrame([(*r, 1) for r in odd], "page_id long, url string, host int")).collect()
+        assert sorted((r.page_id or 0, r.verdict, r.strict_hits) for r in rows) == [(0, "block", 1), (1, "allow", 0), (1, "block", 1), (1, "block", 1)]
+        assert {r.host for r in rows if r.page_id is None} == {"Àb.org"}
         assert url_filter.judge_urls(df.filter("page_id < 0")).count() == 0
