@@ -9,13 +9,15 @@ documents in the order of a hash, up to the words still missing.
 
 The sample needs a running sum in that order. A source may hold a third of all
 rows, so documents are first summed in 4096 hash buckets; only the one bucket in
-which the sum is reached is ordered row by row.
+which the sum is reached is ordered row by row. What comes of it is one row a
+source, the place where its sample ends; with that each document's repetitions
+are decided where it is read, so no text is shuffled.
 
 Cases: null or empty texts have size 0 and take 0 words; a null source is a
 source of its own, after all others; a source without words has target 0; an
-empty table gives no rows; rows that repeat a doc_id are drawn each for itself
-by ``mix``, and alike (as often as the luckiest) by ``repeat_documents``; further
-columns are ignored by ``mix`` and kept by ``repeat_documents``.
+empty table gives no rows; rows that repeat a doc_id and size are drawn alike, as
+are those without doc_id; further columns are ignored by ``mix`` and kept by
+``repeat_documents``.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, fresh_name
+from quillon.llm.common import WORD, fresh_name, materialize
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 42
+#: So many sources' plans (about 200 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def size_in_words(text: Column) -> Column:
@@ -54,42 +58,60 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``df(doc_id, source, text)`` as doc_id, size, source_size, target, taken."""
-    docs = df.select("doc_id", "source", size_in_words(F.col("text")).alias("size"))
-    ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = docs.withColumn("_ticket", ticket).withColumn("_bucket", F.substring("_ticket", 1, 3))
-    buckets = docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+def _ticket(seed: int) -> Column:
+    """A document's place in the seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row for each source of ``docs(doc_id, source, size, ticket)``: its target, whole repetitions and where the fraction ends."""
+    docs = docs.withColumn("_bucket", F.substring("ticket", 1, 3))
+    buckets = materialize(docs.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "mix-buckets")
     targets = water_fill(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_epochs)
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
-    plan = (
-        buckets.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-        .alias("b")
-        .join(targets.alias("t"), F.expr("b.source <=> t.source"))
-        .select("b.source", "_bucket", "_words", "_before", "source_size", "target", whole.alias("_whole"))
-        .withColumn("_missing", F.col("target") - F.col("_whole") * F.col("source_size"))
-    )
-    all_in = F.col("_before") + F.col("_words") <= F.col("_missing")
-    at_edge = ~all_in & (F.col("_before") < F.col("_missing"))
-    plan = plan.withColumn("_part", F.when(at_edge, F.lit("edge")).when(all_in, F.lit("in")).otherwise(F.lit("out")))
-    rows = docs.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d._bucket = p._bucket")).select("d.doc_id", "d.size", "d.source", "d._ticket", "d._bucket", "source_size", "target", "_whole", "_missing", "_before", "_part")
-    sure = rows.filter("_part != 'edge'").withColumn("_extra", F.when(F.col("_part") == "in", 1).otherwise(0))
-    within = Window.partitionBy("source", "_bucket").orderBy("_ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_missing") - F.col("_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    targets = targets.withColumn("whole", whole.cast("int")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = materialize(targets, "mix-targets")
+    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summed = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    summed = summed.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select("b.*", "missing").filter("_before < missing")
+    inside = F.col("_before") + F.col("_words") < F.col("missing")
+    full = summed.groupBy("source").agg(F.max(F.when(inside, F.col("_bucket"))).alias("full"))
+    edge = summed.filter(~inside).select("source", "_bucket", "_before", "missing")
+    rows = docs.alias("d").join(edge.alias("e"), F.expr("d.source <=> e.source AND d._bucket = e._bucket"))  # one bucket a source
+    within = Window.partitionBy("source", "_bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("missing") - F.col("_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
     # the document at the edge is taken if that brings the sum nearer
-    edge = rows.filter("_part = 'edge'").withColumn("_extra", F.when((left > 0) & (F.col("size") <= 2 * left), 1).otherwise(0))
-    taken = (F.col("size") * (F.col("_whole") + F.col("_extra"))).cast("long")
-    return sure.unionByName(edge).select("doc_id", "size", "source_size", "target", taken.alias("taken"), (F.col("_whole") + F.col("_extra")).cast("int").alias("repeats"))
+    taken = rows.select("d.*", "missing", "_before").withColumn("_left", left).filter("_left > 0 AND size <= 2 * _left")
+    cut = taken.groupBy("source").agg(F.max(F.struct("ticket", "doc_id", "size")).alias("cut"))
+    joined = targets.alias("t").join(full.alias("f"), F.expr("t.source <=> f.source"), "left").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left")
+    return materialize(joined.select(F.col("t.source").alias("_source"), "source_size", "target", "whole", "full", "cut"), "mix-plan")
+
+
+def _sized(df: DataFrame, seed: int) -> DataFrame:
+    return df.select("doc_id", "source", size_in_words(F.col("text")).alias("size"), _ticket(seed).alias("ticket"))
+
+
+def _repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows(doc_id, source, size, ticket)`` with the plan's columns and ``repeats``; the plan of a bounded number of sources is broadcast."""
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    more = F.coalesce(F.substring("ticket", 1, 3) <= F.col("full"), F.lit(False)) | F.coalesce(F.struct("ticket", "doc_id", "size") <= F.col("cut"), F.lit(False))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("repeats", F.col("whole") + F.when(more, 1).otherwise(0))
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """``df(doc_id, source, text)`` as doc_id, size, source_size, target, taken, repeats."""
+    docs = materialize(_sized(df, seed), "mix-sizes")
+    rows = _repeats(docs, _plan(docs, weights, max_epochs))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"), "repeats")
 
 
 def repeat_documents(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``df``'s rows as often as the mix takes them; documents without words stay once, rows without doc_id go."""
-    doc, times = fresh_name(df, "doc"), fresh_name(df, "times")
-    repeats = mix(df, weights, max_epochs, seed).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("repeats")).alias("n"))
-    per_doc = repeats.groupBy("doc_id").agg(F.max("n")).toDF(doc, times)
-    joined = df.join(per_doc, F.col("doc_id") == F.col(doc)).withColumn(doc, F.explode(F.array_repeat(F.lit(1), F.col(times))))
-    return joined.select(*df.columns)
+    """``df``'s rows as often as the mix takes them, decided where they are read; documents without words stay once."""
+    row = fresh_name(df, "row")
+    plan = _plan(materialize(_sized(df, seed), "mix-sizes"), weights, max_epochs)
+    whole = df.select(F.struct(*df.columns).alias(row), "doc_id", "source", size_in_words(F.col("text")).alias("size"), _ticket(seed).alias("ticket"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("repeats"))
+    return _repeats(whole, plan).withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(f"{row}.*")
 
 
 def oracle_sql() -> str:

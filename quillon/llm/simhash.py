@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dista
 
 
 def keep_one(df: DataFrame, shingle_words: int = jaccard_dedup.SHINGLE_WORDS) -> DataFrame:
-    """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id go.
+    """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id stay.
 
     Fingerprints lose most pairs of similarity 0.8, at any number of prints that
     is worth its cost, so groups are found by ``jaccard_dedup``.

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from quillon.llm import common, components, line_spread, queries, robust_outliers, simhash, suffix_dedup
+from quillon.llm import common, components, jaccard_dedup, line_spread, queries, robust_outliers, simhash, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,12 +46,20 @@ class TestRobustOutliers:
             mine = [r for r in got.values() if r.source == source]
             x = np.array([[round(g * np.log(r.word_chars / r.n_words)), round(g * np.log1p(10 * r.n_symbols / r.n_words)), round(g * r.n_repeat_words / r.n_words), round(g * np.log1p(r.n_dup_lines))] for r in mine])
             fit = x[[not r.base_failed for r in mine]]
-            mean, cov = np.array([np.sort(c)[(len(c) - 1) // 2] for c in fit.T]), np.zeros((4, 4))
+            starts = [(np.array([np.sort(c)[(len(c) - 1) // q] for c in fit.T]), np.zeros((4, 4))) for q in (2, 4)] + [(fit.mean(axis=0), np.cov(fit.T, bias=True))]
             distance = lambda rows, mean, cov: np.einsum("ij,jk,ik->i", rows - mean, np.linalg.inv(cov + floors), rows - mean)
-            for step in range(robust_outliers.STEPS):
-                bins = np.floor(np.log1p(distance(fit, mean, cov)) * robust_outliers.BIN_GRAIN)
-                core = fit[bins <= np.sort(bins)[int(np.ceil(robust_outliers.CORE * len(fit))) - 1]]
-                mean, cov = core.mean(axis=0), np.cov(core.T, bias=True) * (robust_outliers.CONSISTENCY if step == robust_outliers.STEPS - 1 else 1.0)
+
+            def steps(mean, cov, n, fit=fit, distance=distance):
+                for _ in range(n):
+                    bins = np.floor(np.log1p(distance(fit, mean, cov)) * robust_outliers.BIN_GRAIN)
+                    core = fit[bins <= np.sort(bins)[int(np.ceil(robust_outliers.CORE * len(fit))) - 1]]
+                    mean, cov = core.mean(axis=0), np.cov(core.T, bias=True)
+                return mean, cov
+
+            tried = [steps(mean, cov, robust_outliers.FIRST_STEPS) for mean, cov in starts]
+            mean, cov = min(tried, key=lambda e: np.linalg.det(e[1] + floors))
+            mean, cov = steps(mean, cov, robust_outliers.MAX_STEPS - robust_outliers.FIRST_STEPS)
+            cov = cov * robust_outliers.CONSISTENCY
             d2 = distance(x, mean, cov)
             assert np.allclose(d2, [r.d2 for r in mine], rtol=1e-6)
         assert not any(got[1000 + i].kept for i in range(40))
@@ -152,7 +160,8 @@ class TestSimHash:
         assert {r.component_id for r in rows if r.doc_id in (4, 6)} == {4}
         assert simhash.near_duplicates(nothing).count() == 0
         kept = simhash.keep_one(awkward)
-        assert kept.columns == awkward.columns and {1, 4, 5, 7} == {r.doc_id for r in kept.collect()}
+        assert kept.columns == awkward.columns and {None, 1, 4, 5, 7} == {r.doc_id for r in kept.collect()}
+        assert simhash.keep_one(nothing).count() == 0
 
     def test_several_fingerprints(self, spark, documents):
         rng = random.Random(8)
@@ -201,33 +210,68 @@ def brute_removal(rows, length=100):
     return out
 
 
+def groups_by_all_pairs(rows):
+    """The least doc_id of each doc_id's group, from the similarity of all pairs of (doc_id, text)."""
+    sets = [(d, {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()) for d, w in ((d, t.lower().split()) for d, t in rows)]
+    root = {d: d for d, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    similar = []
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            both = len(x | y)
+            similar.append(len(x & y) / both if both else 1.0)
+            if 5 * len(x & y) >= 4 * both:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {d: find(d) for d in root}, similar
+
+
 class TestJaccardDedup:
-    def test_groups_against_all_pairs(self, documents):
+    @pytest.mark.parametrize(("small", "family_limit"), [(12, 2_000_000), (2, 2_000_000), (2, 3_000), (3, 400)])
+    def test_groups_against_all_pairs(self, documents, small, family_limit):
         rng = random.Random(9)
         rows, d = [], 0
         for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.05) * 4 + (0.02,):
             base = prose(rng, 200).split()
-            for _ in range(60 if d > 150 else 4):  # the last group is large: several rounds of pivots
+            for _ in range(60 if d > 150 else 4):  # the last group is large
                 rows.append((d, " ".join(prose(rng, 1) if rng.random() < share else x for x in base), "a"))
                 d += 1
             d += 100 if len(rows) == 96 else 0
-        sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t, _ in rows)}
-        root = {i: i for i in sets}
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        similar = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
-        for a in sets:
-            for b in sets:
-                if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                    u, v = sorted((find(a), find(b)))
-                    root[v] = u
+        expected, similar = groups_by_all_pairs([r[:2] for r in rows])
         assert sum(0.8 <= x < 0.9 for x in similar) > 50 and sum(0.6 < x < 0.8 for x in similar) > 50
-        kept = {r.doc_id for r in simhash.keep_one(documents(rows)).collect()}
-        assert kept == {i for i in sets if find(i) == i}
+        kept = {r.doc_id for r in jaccard_dedup.keep_one(documents(rows), small=small, family_limit=family_limit).collect()}
+        assert kept == {d for d, least in expected.items() if d == least}
+
+    def test_one_id_with_several_texts(self, documents):
+        """Such a document links by any of its texts, and connects what is linked with them."""
+        rng = random.Random(10)
+        a, b, c = (prose(rng, 100) for _ in range(3))
+        near = " ".join(["changed", *b.split()[1:]])
+        rows = [(3, a, "a"), (5, a, "a"), (5, b, "a"), (4, near, "a"), (4, near, "a"), (6, c, "a"), (None, c, "a"), (7, "", "a"), (8, None, "a")]
+        assert Counter(r.doc_id for r in simhash.keep_one(documents(rows)).collect()) == Counter([3, 6, None, 7])
+
+    def test_prefix_filter_loses_nothing(self):
+        rng = np.random.default_rng(3)
+        for _ in range(200):
+            base = rng.choice(1000, 40, replace=False)
+            sets = [np.sort(np.unique(np.concatenate([rng.choice(base, rng.integers(25, 41), replace=False), rng.choice(1000, rng.integers(0, 6), replace=False)]))) for _ in range(12)]
+            edges = jaccard_dedup.link_family(list(range(12)), sets, [0] * 12)
+            pairs = {(i, j) for i in range(12) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+            find = lambda links: {frozenset(x) for x in _merge(links)}
+            assert all((max(e), min(e)) in pairs for e in edges) and find(edges) == find(pairs)
+
+
+def _merge(links):
+    groups = []
+    for a, b in links:
+        hit = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in hit] + [set().union({a, b}, *hit)]
+    return groups
 
 
 class TestSuffixDedup:
