@@ -21,6 +21,8 @@ GENERATED_FALSE = ("false", "no", "authentic", "genuine")
 TRUTH_REAL = ("real", "true", "aligned", "1", "1.0", "yes", "y")
 TRUTH_FAKE = ("fake", "false", "misaligned", "0", "0.0", "no", "n")
 CLASS_REAL = ("original", "real", "authentic", "genuine")
+BOOLEAN_TRUE = ("true", "yes", "y", "1")
+BOOLEAN_FALSE = ("false", "no", "n", "0")
 TRUTHY = ("1", "true", "yes", "on")
 
 
@@ -123,7 +125,7 @@ def generated(value: Column) -> Column:
 def boolean(value: Column) -> Column:
     """Boolean of common spellings; null for anything else."""
     low = _clean(value)
-    return F.when(low.isin("true", "yes", "y", "1"), True).when(low.isin("false", "no", "n", "0"), False)
+    return F.when(low.isin(*BOOLEAN_TRUE), True).when(low.isin(*BOOLEAN_FALSE), False)
 
 
 def truthy(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Media types by suffix.
 MIME_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".gif": "image/gif", ".bmp": "image/bmp"}
 #: Parameters that belong to a search's identity, in this order.
+# The parameters of a search that are part of its identity.
 SEARCH_PARAMETERS = ("region", "safesearch", "timelimit", "max_results", "page", "backend", "proxy", "timeout")
 
 
@@ -122,6 +123,27 @@ def checkpoint_name(run_id: Column, count: Column) -> Column:
     return F.format_string("%s.upto%05d.json", run_id, count)
 
 
+def resume_hint(path: Column) -> Column:
+    """The option that goes on from a checkpoint; empty without one."""
+    return F.coalesce(F.concat(F.lit("--resume "), F.nullif(path, F.lit(""))), F.lit(""))
+
+
+def jittered(interval: Column, share: float, draw: Column) -> Column:
+    """An interval moved by up to ``share`` of it either way, by a draw from [0, 1)."""
+    return F.greatest(F.lit(0.0), interval * (1 + share * (2 * draw - 1)))
+
+
+def path_from(folder: Column, path: Column) -> Column:
+    """``path`` as seen from ``folder``, both absolute and normal: up from what they do not share, then down."""
+    a, b = (F.filter(F.split(p, "/"), lambda x: x != "") for p in (folder, path))
+    both = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = F.coalesce(F.array_position(both, F.lit(False)) - 1, F.lit(0)).cast("int")
+    shared = F.when(F.array_position(both, F.lit(False)) == 0, F.size(both)).otherwise(shared)
+    up = F.array_repeat(F.lit(".."), F.size(a) - shared)
+    found = F.array_join(F.concat(up, F.slice(b, shared + 1, F.size(b))), "/")
+    return F.when(found == "", ".").otherwise(found)
+
+
 def backoff(attempt: Column, base: float, factor: float, most: float = 30.0) -> Column:
     """Seconds to wait before the next attempt."""
     return F.least(F.lit(most), base * F.pow(F.lit(factor), F.greatest(F.lit(0), attempt - 1)))
@@ -155,8 +177,8 @@ def without_nulls(mapping: Column) -> Column:
 
 
 def search_row(item: Column, names: set[str]) -> Column:
-    """title, url, description, source of a raw result with the usual alias names."""
-    pick = lambda *keys: first_non_empty(*[item[k] for k in keys if k in names])
+    """title, url, description, source of a raw result with the usual alias names; the host may be nested in meta_url."""
+    pick = lambda *keys: first_non_empty(*[item[k] for k in keys if k in names], *([item["meta_url"]["host"]] if "source" in keys and "meta_url" in names else []))
     return F.struct(
         pick("title").alias("title"), pick("url", "href").alias("url"), pick("description", "snippet", "body").alias("description"), pick("source", "host").alias("source")
     )

@@ -116,7 +116,56 @@ def remaining(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return all_rows.join(done.select(key), key, "left_anti")
 
 
+def numbered(df: DataFrame, order: str, place: str, ranges: int = 64) -> DataFrame:
+    """Adds each row's place from 0 in the order of ``order``, a number.
+
+    Rows are dealt to ``ranges`` ranges between the least and the greatest value;
+    each range is numbered alone and shifted by the sizes of those before it, so
+    no task sees all rows.
+    """
+    ends = df.agg(F.min(order).cast("double").alias("_a"), F.max(order).cast("double").alias("_b"))  # one row
+    share = F.coalesce(F.try_divide(F.col(order) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
+    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int")).drop("_a", "_b")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    below = sizes.select(F.col("_range").alias("_r"), "_n").crossJoin(F.broadcast(sizes.select(F.col("_range").alias("_q"), F.col("_n").alias("_m"))))  # ranges squared
+    shifts = below.groupBy("_r").agg(F.coalesce(F.sum(F.when(F.col("_q") < F.col("_r"), F.col("_m"))), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy("_range").orderBy(order)
+    rows = dealt.withColumn("_row", F.row_number().over(within) - 1).join(F.broadcast(shifts), F.col("_range") == F.col("_r"))
+    return rows.withColumn(place, (F.col("_row") + F.col("_shift")).cast("long")).drop("_range", "_row", "_r", "_shift")
+
+
 def sequential_check(df: DataFrame, order: str, stored: str) -> DataFrame:
-    """Rows whose stored index is not their place in the order."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("expected", place.cast("long")).filter(F.col(stored) != F.col("expected"))
+    """Rows whose stored index is not their place in the order of a number."""
+    return numbered(df, order, "expected").filter(F.col(stored) != F.col("expected"))
+
+
+def first_and_more(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` with a null ``more``, and a row of nulls that says how many there are besides."""
+    shown = df.orderBy(order).limit(n).withColumn("more", F.lit(None).cast("string"))
+    total = df.agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n)
+    rest = total.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields], F.concat(F.lit("... and "), (F.col("_n") - n).cast("string"), F.lit(" more")).alias("more"))
+    return shown.unionByName(rest)
+
+
+def by_index(df: DataFrame, column: str = "sample_index") -> DataFrame:
+    """Rows in the order of an index; without one they count as 0."""
+    return df.orderBy(F.coalesce(F.col(column), F.lit(0)))
+
+
+def with_fallback_result(questions: DataFrame, batch: DataFrame, key: str, payload: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``questions`` with the batch's ``payload`` of their key; those without one, or with an error, are asked singly.
+
+    ``batch`` has the key, the payload and ``error``; ``ask`` maps the keys that
+    are left to key and payload.
+    """
+    good = batch.filter(F.col("error").isNull() & F.col(payload).isNotNull()).select(key, payload).dropDuplicates([key])
+    left = questions.select(key).distinct().join(good.select(key), key, "left_anti")
+    found = good.withColumn("from_batch", F.lit(True)).unionByName(ask(left).select(key, payload).withColumn("from_batch", F.lit(False)))
+    return questions.join(found, key, "left")
+
+
+def fold_counters(workers: DataFrame, executed: str = "unique_executed", duration: str = "duration_ms_total") -> DataFrame:
+    """The numeric counters of all workers added up, and the mean duration of what was executed."""
+    numeric = [f.name for f in workers.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")]
+    sums = workers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numeric])
+    return sums.withColumn("avg_duration_ms", F.round(F.coalesce(F.try_divide(duration, executed), F.lit(0.0)), 3))

@@ -12,8 +12,8 @@ _ROOT = "/data/root"
 
 
 def _spelled(spark, sf_dir):
-    """Pages as source records with paths, and outputs that spell these paths in several ways."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("img/p"), (F.col("page_id") % 200).cast("string"), F.lit(".png")).alias("path"))
+    """Pages as source records with a path that follows from the url, and outputs that spell these paths in several ways."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("img/"), F.md5(F.coalesce("url", F.lit(""))), F.lit(".png")).alias("path"))
     odd = (
         F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("/"), F.col("path")))
         .when(F.col("page_id") % 5 == 1, F.concat(F.lit(_ROOT + "/"), F.col("path")))
@@ -21,12 +21,12 @@ def _spelled(spark, sf_dir):
         .when(F.col("page_id") % 5 == 3, F.concat(F.lit("gone/"), F.col("path")))
         .otherwise(F.col("path"))
     )
-    return pages.filter("page_id % 2 = 0").select("page_id", "path"), pages.select(F.col("page_id").alias("out_id"), odd.alias("out_path"))
+    return pages, pages.select(F.col("page_id").alias("out_id"), odd.alias("out_path"))
 
 
 _PAGES = """
-WITH p AS (SELECT page_id, 'img/p' || CAST(page_id % 200 AS VARCHAR) || '.png' AS path FROM pages),
-g AS (SELECT path, max(page_id) AS match FROM p WHERE page_id % 2 = 0 GROUP BY path),
+WITH p AS (SELECT page_id, 'img/' || md5(coalesce(url, '')) || '.png' AS path FROM pages),
+g AS (SELECT path, max(page_id) AS match FROM p GROUP BY path),
 o AS (SELECT page_id AS out_id, path, CASE page_id % 5 WHEN 0 THEN '/' || path WHEN 1 THEN '/data/root/' || path WHEN 2 THEN './' || path WHEN 3 THEN 'gone/' || path ELSE path END AS out_path FROM p),
 m AS (SELECT out_id, out_path, CASE WHEN out_id % 5 <> 3 THEN g.match END AS match FROM o LEFT JOIN g USING (path))"""
 
@@ -47,11 +47,11 @@ def missing_matches(spark, sf_dir):
 
 
 _CASCADE = """
-WITH rec AS (SELECT doc_id AS idx, '/r/' || CAST(doc_id % 700 AS VARCHAR) AS path, substr(trim(text), 1, 40) AS headline FROM documents),
+WITH rec AS (SELECT doc_id AS idx, '/r/' || CAST(doc_id % 700 AS VARCHAR) AS path, trim(text) AS headline FROM documents),
 o AS (
   SELECT doc_id AS out_id, CASE WHEN doc_id % 4 = 0 THEN doc_id WHEN doc_id % 4 = 1 THEN doc_id + 1 END AS order_index, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS details_index,
          CASE WHEN doc_id % 7 = 6 THEN '' ELSE '/r/' || CAST((doc_id % 700) + CASE WHEN doc_id % 5 = 0 THEN 100000 ELSE 0 END AS VARCHAR) END AS path,
-         CASE WHEN doc_id % 11 = 0 THEN 'nothing like it' ELSE substr(trim(text), 1, 40) END AS headline FROM documents),
+         CASE WHEN doc_id % 11 = 0 THEN 'nothing like it' ELSE trim(text) END AS headline FROM documents),
 bp AS (SELECT path, min(idx) AS i FROM rec GROUP BY path),
 bt AS (SELECT trim(headline) AS t, min(idx) AS i, count(*) AS n FROM rec GROUP BY 1),
 m AS (
@@ -65,7 +65,7 @@ r AS (SELECT out_id, m.i AS match_index, m.s AS match_source FROM m)"""
 
 
 def _repaired(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.trim("text"), 1, 40).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("head"))
     d = F.col("doc_id")
     path = lambda shift: F.concat(F.lit("/r/"), (d % 700 + shift).cast("string"))
     records = docs.select(d.alias("idx"), path(F.lit(0)).alias("path"), F.col("head").alias("headline"))
@@ -94,11 +94,14 @@ def repair_stats(spark, sf_dir):
     return lookup.repair_stats(_repaired(spark, sf_dir))
 
 
-@query(_CASCADE + " SELECT out_id AS line_no, 'no_match' AS reason FROM r WHERE match_source IS NULL ORDER BY out_id LIMIT 20")
+@query(_CASCADE + """,
+u AS (SELECT out_id, count(*) OVER () AS n FROM r WHERE match_source IS NULL)
+SELECT * FROM (SELECT out_id AS line_no, 'no_match' AS reason FROM u ORDER BY out_id LIMIT 20)
+UNION ALL SELECT NULL, '... and ' || CAST(max(n) - 20 AS VARCHAR) || ' more' FROM u HAVING max(n) > 20""")
 def unmatched_report(spark, sf_dir):
-    """The first 20 unmatched rows, as a report lists them."""
+    """The first 20 unmatched rows as a report lists them, and how many more there are."""
     rows = _repaired(spark, sf_dir).filter(F.col("match_source").isNull())
-    return rows.orderBy("out_id").limit(20).select(F.col("out_id").alias("line_no"), F.lit("no_match").alias("reason"))
+    return lookup.first_and_more(rows, "out_id", 20).select(F.col("out_id").alias("line_no"), F.coalesce("more", F.lit("no_match")).alias("reason"))
 
 
 @query("""
@@ -166,24 +169,24 @@ def qa_last_n_context(spark, sf_dir):
 
 
 @query(_PAIRS + """
-, a AS (SELECT conv_id, turn, length(answer) AS answer_chars FROM q WHERE answer IS NOT NULL AND turn % 2 = 0)
+, a AS (SELECT conv_id, turn, length(answer) AS answer_chars FROM q WHERE answer IS NOT NULL)
 SELECT q.conv_id, q.turn, a.answer_chars FROM q LEFT JOIN a USING (conv_id, turn)""")
 def answer_lookup(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
-    answers = pairs.filter("answer IS NOT NULL AND turn % 2 = 0").select("conv_id", "turn", F.length("answer").cast("long").alias("answer_chars"))
+    answers = pairs.filter("answer IS NOT NULL").select("conv_id", "turn", F.length("answer").cast("long").alias("answer_chars"))
     return qa.answers_for(pairs.select("conv_id", "turn"), answers, ["conv_id", "turn"])
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, lower(split_part(trim(text), ' ', 1)) AS k FROM conversations),
+WITH w AS (SELECT conv_id, turn, lower(trim(text)) AS k FROM conversations),
 p AS (SELECT DISTINCT conv_id, k FROM w WHERE turn = 0)
-SELECT conv_id, turn, k AS question FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS r FROM w) x WHERE r = 1 AND k <> ''
+SELECT conv_id, turn, md5(k) AS question FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS r FROM w) x WHERE r = 1 AND k <> ''
   AND NOT EXISTS (SELECT 1 FROM p WHERE p.conv_id = x.conv_id AND p.k = x.k)""")
 def dedup_questions(spark, sf_dir):
-    """First words as questions; those of the first turn count as asked before."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.trim("text"), " ")[0].alias("question"))
+    """Whole turns as questions; those of the first turn count as asked before."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
     found = qa.dedup_questions(rows, "conv_id", ["turn"], prior=rows.filter("turn = 0"))
-    return found.withColumn("question", F.lower("question"))
+    return found.select("conv_id", "turn", F.md5(F.lower(F.trim("question"))).alias("question"))
 
 
 @query("""
@@ -230,20 +233,19 @@ def batch_fanout(spark, sf_dir):
 # ---- runs and resumption ------------------------------------------------------
 
 
-@query("SELECT o_orderkey, printf('run.upto%05d.json', o_orderkey) AS name, '--resume ' || printf('run.upto%05d.json', o_orderkey) AS hint FROM orders WHERE o_orderkey % 100 = 0")
+@query("SELECT o_orderkey, printf('run.upto%05d.json', o_orderkey) AS name, '--resume ' || printf('run.upto%05d.json', o_orderkey) AS hint FROM orders")
 def checkpoint_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0").select("o_orderkey", text.checkpoint_name(F.lit("run"), F.col("o_orderkey")).alias("name"))
-    return rows.withColumn("hint", F.concat(F.lit("--resume "), F.col("name")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.checkpoint_name(F.lit("run"), F.col("o_orderkey")).alias("name"))
+    return rows.withColumn("hint", text.resume_hint(F.col("name")))
 
 
 @query("""
 WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN o_orderkey + 1 ELSE row_number() OVER (ORDER BY o_orderkey) - 1 END AS stored, row_number() OVER (ORDER BY o_orderkey) - 1 AS expected FROM orders)
 SELECT o_orderkey, CAST(stored AS BIGINT) AS stored, CAST(expected AS BIGINT) AS expected FROM o WHERE stored <> expected""")
 def sequential_check(spark, sf_dir):
-    from pyspark.sql import Window
-
-    place = (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 500 == 0, F.col("o_orderkey") + 1).otherwise(place).alias("stored"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    numbered = lookup.numbered(orders, "o_orderkey", "place")
+    rows = numbered.select("o_orderkey", F.when(F.col("o_orderkey") % 500 == 0, F.col("o_orderkey") + 1).otherwise(F.col("place")).alias("stored"))
     return lookup.sequential_check(rows, "o_orderkey", "stored")
 
 

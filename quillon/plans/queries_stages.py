@@ -20,8 +20,8 @@ from quillon.streaming import resume
 
 _SIGNALS = f"""
 WITH s AS (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'partial' END AS al, round({u_sql("r", "doc_id")}, 2) AS rc,
-         CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ai, round({u_sql("v", "doc_id")}, 2) AS vc FROM documents),
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'partial' END AS al, {u_sql("r", "doc_id")} AS rc,
+         CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS ai, {u_sql("v", "doc_id")} AS vc FROM documents),
 x AS (SELECT *, round(0.7 * CASE al WHEN 'true' THEN -rc WHEN 'false' THEN rc WHEN 'partial' THEN -0.4 * rc ELSE 0 END + 0.3 * CASE WHEN ai THEN 0.5 * vc WHEN NOT ai THEN -0.25 * vc ELSE 0 END, 9) AS sc FROM s)"""
 
 
@@ -30,36 +30,38 @@ def _signals(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(d % 4 == 0, "true").when(d % 4 == 1, "false").when(d % 4 == 2, "partial").alias("al"),
-        F.round(uniform("r", d), 2).alias("rc"),
+        uniform("r", d).alias("rc"),
         F.when(d % 3 == 0, True).when(d % 3 == 1, False).alias("ai"),
-        F.round(uniform("v", d), 2).alias("vc"),
+        uniform("v", d).alias("vc"),
     )
 
 
 @query(_SIGNALS + """
-SELECT doc_id, CASE WHEN sc >= 0.3 THEN 'Misinformation' WHEN sc <= -0.3 THEN 'Not Misinformation' ELSE 'Uncertain' END AS label, abs(0.3 + least(0.6, abs(sc)) - confidence) < 0.006 AS confidence_fits, factors
-FROM (SELECT *, round(0.3 + least(0.6, abs(sc)), 2) AS confidence, CAST((al IS NOT NULL)::INT + (ai IS NOT NULL)::INT AS INTEGER) AS factors FROM x)""")
+SELECT doc_id, CASE WHEN sc >= 0.3 THEN 'Misinformation' WHEN sc <= -0.3 THEN 'Not Misinformation' ELSE 'Uncertain' END AS label, round(0.3 + least(0.6, abs(sc)), 2) AS confidence,
+  concat_ws('; ', CASE al WHEN 'true' THEN 'Relevancy aligned' WHEN 'false' THEN 'Relevancy misaligned' WHEN 'partial' THEN 'Relevancy partial alignment' END, CASE WHEN ai THEN 'Image likely AI/manipulated' WHEN NOT ai THEN 'Image likely authentic' END) AS factors
+FROM x""")
 def heuristic_judge(spark, sf_dir):
     rows = _signals(spark, sf_dir).withColumn("j", labels.heuristic_judgement(F.col("al"), F.col("rc"), F.col("ai"), F.col("vc")))
-    rel = F.when(F.col("al") == "true", -F.col("rc")).when(F.col("al") == "false", F.col("rc")).when(F.col("al") == "partial", -0.4 * F.col("rc")).otherwise(0.0)
-    ver = F.when(F.col("ai"), 0.5 * F.col("vc")).when(~F.col("ai"), -0.25 * F.col("vc")).otherwise(0.0)
-    expected = 0.3 + F.least(F.lit(0.6), F.abs(0.7 * rel + 0.3 * ver))
-    return rows.select("doc_id", F.col("j.label").alias("label"), (F.abs(expected - F.col("j.confidence")) < 0.006).alias("confidence_fits"), F.size("j.key_factors").alias("factors"))
+    factors = F.array_join(F.transform("j.key_factors", lambda f: F.regexp_replace(f, r" \(conf.*", "")), "; ")
+    return rows.select("doc_id", F.col("j.label").alias("label"), F.col("j.confidence").alias("confidence"), factors.alias("factors"))
 
 
 @query("""
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Misinformation' WHEN 1 THEN 'Not Misinformation' ELSE 'Uncertain' END AS label,
-       CAST(CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 ELSE 0.5 END AS DOUBLE) AS confidence, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS factors FROM documents""")
+       CAST(CASE doc_id % 4 WHEN 0 THEN least(1, n % 150 / 100.0) WHEN 1 THEN n % 100 / 100.0 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN doc_id % 4 < 3 THEN h ELSE 'I cannot tell ' || h END AS rationale,
+       CASE doc_id % 4 WHEN 0 THEN 'a,' || h WHEN 1 THEN h ELSE '' END AS factors FROM (SELECT doc_id, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS h FROM documents)""")
 def judge_normalize(spark, sf_dir):
-    d = F.col("doc_id")
+    """Judgements in several spellings, with confidences and rationales that follow from the whole text."""
+    d, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    n, h = F.char_length(whole), F.md5(whole)
     raw = (
-        F.when(d % 4 == 0, 'So: {"label": "misinformation", "confidence": 3, "key_factors": ["a", "b"]}')
-        .when(d % 4 == 1, '{"label": "NOT misinformation", "confidence": "0.25", "key_factors": "one"}')
-        .when(d % 4 == 2, '{"label": "?", "confidence": "high"}')
-        .otherwise("I cannot tell")
+        F.when(d % 4 == 0, F.concat(F.lit('So: {"label": "misinformation", "confidence": '), (n % 150 / 100).cast("string"), F.lit(', "rationale": "'), h, F.lit('", "key_factors": ["a", "'), h, F.lit('"]}')))
+        .when(d % 4 == 1, F.concat(F.lit('{"label": "NOT misinformation", "confidence": "'), (n % 100 / 100).cast("string"), F.lit('", "rationale": "'), h, F.lit('", "key_factors": "'), h, F.lit('"}')))
+        .when(d % 4 == 2, F.concat(F.lit('{"label": "?", "confidence": "high", "rationale": "'), h, F.lit('"}')))
+        .otherwise(F.concat(F.lit("I cannot tell "), h))
     )
     rows = table(spark, sf_dir, "documents").select("doc_id", claims.judgement(raw).alias("j"))
-    return rows.select("doc_id", F.col("j.label").alias("label"), F.col("j.confidence").alias("confidence"), F.size("j.key_factors").alias("factors"))
+    return rows.select("doc_id", F.col("j.label").alias("label"), F.col("j.confidence").alias("confidence"), F.col("j.rationale").alias("rationale"), F.array_join("j.key_factors", ",").alias("factors"))
 
 
 _RAW = {"text": ["Finish[TEXT REFUTES].", "so Finish[TEXT SUPPORTS]", "?"], "image": ["Observation: odd hands Action: x Finish[IMAGE REFUTES]", "Finish[IMAGE SUPPORTS]", "?", "Observation: none"], "cross": ["Finish[MATCH]", "Finish[MISMATCH]", "?", "Finish[MISMATCH]", "Finish[MATCH]"]}
@@ -67,7 +69,8 @@ _RAW = {"text": ["Finish[TEXT REFUTES].", "so Finish[TEXT SUPPORTS]", "?"], "ima
 
 def _stages(spark, sf_dir):
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", *[pick(v).alias(f"raw_{k}") for k, v in _RAW.items()])
+    seen = F.md5(F.coalesce("text", F.lit("")))  # what the image stage observes follows from the whole text
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[F.replace(pick(v), F.lit("odd hands"), seen).alias(f"raw_{k}") for k, v in _RAW.items()])
     return rows.select("*", *[labels.stage_verdict(F.col(f"raw_{k}"), k).alias(k) for k in _RAW])
 
 
@@ -76,7 +79,7 @@ WITH v AS (
   SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'REFUTES' WHEN 1 THEN 'SUPPORTS' ELSE 'INSUFFICIENT' END AS t, CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 0.8 END AS tc,
          CASE doc_id % 4 WHEN 0 THEN 'REFUTES' ELSE 'SUPPORTS' END AS i, CASE doc_id % 4 WHEN 0 THEN 0.8 ELSE 0.7 END AS ic,
          CASE doc_id % 5 WHEN 0 THEN 'CONSISTENT' WHEN 4 THEN 'CONSISTENT' WHEN 2 THEN 'PARTIAL' ELSE 'MISMATCH' END AS c, CASE doc_id % 5 WHEN 2 THEN 0.5 ELSE 0.8 END AS cc,
-         CASE doc_id % 4 WHEN 0 THEN 'odd hands' WHEN 3 THEN 'none' END AS observation FROM documents)"""
+         CASE doc_id % 4 WHEN 0 THEN md5(coalesce(text, '')) WHEN 3 THEN 'none' END AS observation FROM documents)"""
 
 
 @query(_VERDICTS + " SELECT doc_id, t AS text_verdict, i AS image_verdict, c AS cross_verdict, observation FROM v")
@@ -95,22 +98,27 @@ def three_stage_cascade(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'false' END AS aligned, CAST(CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 END AS DOUBLE) AS confidence,
-       CASE doc_id % 3 WHEN 1 THEN true END AS ai_generated, CAST(CASE doc_id % 3 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS anomalies,
-       CASE doc_id % 3 WHEN 0 THEN 'because' WHEN 1 THEN 'Answer {"aligned": "NO", "confidence": "0.9", "ai_generated": " Likely", "anomalies": "hands"}' ELSE 'no idea' END AS explanation FROM documents""")
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'partial' WHEN 1 THEN 'false' END AS aligned, CAST(CASE doc_id % 3 WHEN 2 THEN NULL ELSE n % 100 / 100.0 END AS DOUBLE) AS confidence,
+       CASE doc_id % 3 WHEN 1 THEN true END AS ai_generated, CASE doc_id % 3 WHEN 1 THEN h ELSE '' END AS anomalies, CASE doc_id % 3 WHEN 2 THEN 'no idea ' || h ELSE h END AS explanation
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS h FROM documents)""")
 def signals_parse(spark, sf_dir):
-    """Relevancy and veracity answers brought into their common form."""
-    d = F.col("doc_id")
-    raw = F.when(d % 3 == 0, '{"aligned": "Partially", "confidence": 0.5, "explanation": "because"}').when(d % 3 == 1, 'Answer {"aligned": "NO", "confidence": "0.9", "ai_generated": " Likely", "anomalies": "hands"}').otherwise("no idea")
+    """Relevancy and veracity answers brought into their common form; what they say follows from the whole text."""
+    d, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    n, h = (F.char_length(whole) % 100 / 100).cast("string"), F.md5(whole)
+    raw = (
+        F.when(d % 3 == 0, F.concat(F.lit('{"aligned": "Partially", "confidence": '), n, F.lit(', "explanation": "'), h, F.lit('"}')))
+        .when(d % 3 == 1, F.concat(F.lit('Answer {"aligned": "NO", "confidence": "'), n, F.lit('", "ai_generated": " Likely", "anomalies": "'), h, F.lit('", "explanation": "'), h, F.lit('"}')))
+        .otherwise(F.concat(F.lit("no idea "), h))
+    )
     rows = table(spark, sf_dir, "documents").select("doc_id", claims.relevancy(raw).alias("r"), claims.veracity(raw).alias("v"))
-    return rows.select("doc_id", F.col("r.aligned").alias("aligned"), F.col("r.confidence").alias("confidence"), F.col("v.ai_generated").alias("ai_generated"), F.size("v.anomalies").alias("anomalies"), F.col("r.explanation").alias("explanation"))
+    return rows.select("doc_id", F.col("r.aligned").alias("aligned"), F.col("r.confidence").alias("confidence"), F.col("v.ai_generated").alias("ai_generated"), F.array_join("v.anomalies", ",").alias("anomalies"), F.col("r.explanation").alias("explanation"))
 
 
 @query("""
 SELECT conv_id, CAST(turn % 2 AS BIGINT) AS chain, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id, turn % 2""")
 def question_chains(spark, sf_dir):
     """The first question of each chain; a conversation's even and odd turns are two chains."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").orderBy("conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     quoted = F.concat(F.lit('q ["turn '), F.lpad(F.col("turn").cast("string"), 3, "0"), F.lit('"] end'))
     raw = turns.groupBy(F.col("conv_id").alias("sample"), (F.col("turn") % 2).alias("chain")).agg(F.min(quoted).alias("raw"))
     asked = claims.questions(raw, 1)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import data_url, mime_type
 from quillon.sources.schemas import OUTPUT
 
-#: Keys under which a dataset object may hold its records, in the order they are tried.
+# Keys under which a dataset object may hold its records, in the order they are tried.
 CONTAINER_KEYS = ("data", "items", "records", "samples")
 
 
@@ -52,9 +52,15 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str = OUTPUT, mode: str =
 def corruption_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, reason) of lines that hold no JSON object; blank lines are none.
 
-    Line numbers come from an index over the partitions of the file in order.
+    Rows are numbered within their task, and a task's rows are shifted by the
+    number of lines in those before it: one small aggregation, no Python.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("line_no long, value string")
+    tagged = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_task", F.shiftright("_id", 33))
+    sizes = tagged.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))  # a row for each task
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_task", before.alias("_shift"))
+    lines = tagged.join(F.broadcast(shifts), "_task").withColumn("line_no", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift") + 1)
     bad = (F.trim("value") != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     return lines.filter(bad).select("line_no", F.lit("json_decode_error").alias("reason"))
 
