@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions import jsonx, labels, messages, text
 from quillon.operators import lookup, qa
+from quillon.operators.calibration import logprob_summary
 from quillon.sources.clients import ask_model
 from quillon.sources.config import RunConfig
+from quillon.sources.sinks import written
 
-_SIGNAL_PROMPT = "Answer with one JSON object with aligned, ai_generated and confidence."
-
+_RELEVANCY_PROMPT = "You judge whether an image fits a headline. Answer with one JSON object with aligned, confidence and explanation."
+_VERACITY_PROMPT = "You judge whether an image is authentic. Answer with one JSON object with ai_generated, confidence, explanation and anomalies."
+_JUDGE_PROMPT = "You judge a claim from what is known about it. Answer with one JSON object with label, confidence, rationale and key_factors."
 _QUESTION_PROMPT = "You ask questions that help to verify a claim."
 _ANSWER_PROMPT = "You answer questions from the sources that are given."
 
@@ -96,7 +99,7 @@ _STAGE_PROMPTS = {
 }
 
 
-def run_baseline(samples: DataFrame, factory, keep=DataFrame.cache) -> DataFrame:
+def run_baseline(samples: DataFrame, factory, keep=written) -> DataFrame:
     """``samples(sample_index, headline[, knowledge])`` with three stage verdicts and the cascade's judgement.
 
     A stage that objects decides, so later stages are asked only about what is
@@ -111,7 +114,7 @@ def run_baseline(samples: DataFrame, factory, keep=DataFrame.cache) -> DataFrame
     for kind, objection in (("text", "REFUTES"), ("image", "REFUTES"), ("cross", "MISMATCH")):
         prompt = messages.fill(_STAGE_PROMPTS[kind], headline=F.col("headline"), knowledge=knowledge)
         asked = ask_model(left.withColumn("_user", prompt), factory, "You check claims.", "_user", "_s").withColumn(kind, labels.stage_verdict(F.coalesce("_s_raw", F.lit("")), kind))
-        asked = keep(asked.drop("_user", "_s_raw", "_s_prompt", "_s_completion", "_s_error"))
+        asked = keep(asked.drop("_user", "_s_raw", "_s_prompt", "_s_completion", "_s_error", "_s_logprobs"))
         stopped = asked.filter(F.col(f"{kind}.verdict") == objection)
         for later in list(_STAGE_PROMPTS)[list(_STAGE_PROMPTS).index(kind) + 1 :]:
             stopped = stopped.withColumn(later, passed[later])
@@ -121,50 +124,189 @@ def run_baseline(samples: DataFrame, factory, keep=DataFrame.cache) -> DataFrame
     return everyone.withColumn("judgement", labels.cascade(F.col("text"), F.col("image"), F.col("cross")))
 
 
-def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=DataFrame.cache) -> DataFrame:
-    """Question chains of ``samples(sample, headline)``: asked, answered, and the best of each chain.
+_ASKED = "array<string>"
+_ANSWERED = "array<struct<question: string, answer: string>>"
+_BEST = "array<struct<chain: int, pos: int, question: string, answer: string, confidence: double, citations: array<struct<url: string, title: string>>>>"
+_SOURCES = "array<struct<title: string, url: string, description: string, source: string>>"
 
-    Returns sample, chain, pos, question and the answer struct. Chains are rows:
-    the model is asked once for each (sample, chain), its questions are deduplicated
-    over the whole sample, and equal questions of all samples are answered once.
-    ``search(question, sources)`` gives results found before; ``keep`` holds the
-    model's questions and answers, see run_baseline.
-    """
-    chains = samples.select("sample", "headline", F.explode(F.sequence(F.lit(0), F.lit(config.q_chains - 1))).alias("chain"))
-    nothing = F.array().cast("array<string>")
-    known = F.array().cast("array<struct<question: string, answer: string>>")
-    prompt = F.concat(messages.question_prompt(F.col("headline"), config.q_per_chain, nothing, known), F.lit(" Chain "), F.col("chain").cast("string"))
-    asked = ask_model(chains.withColumn("_user", prompt), factory, _QUESTION_PROMPT, "_user", "_q").select("sample", "chain", F.col("_q_raw").alias("raw"))
-    found = keep(questions(asked, config.q_per_chain))
-    if not config.modules["question_answering"]:
-        return found
+
+def _fresh(items: Column, prior: Column, most: int | None = None) -> Column:
+    """The first ``most`` of the items that are new: compared trimmed and in lower case, with each other and with ``prior``."""
+    low = lambda xs: F.transform(xs, lambda x: F.lower(F.trim(x)))
+    trimmed = F.transform(F.coalesce(items, F.array().cast(_ASKED)), lambda x: F.trim(x))
+    new = lambda x, i: (x != "") & (F.array_position(low(trimmed), F.lower(x)) == i + 1) & ~F.array_contains(low(prior), F.lower(x))
+    found = F.filter(trimmed, new)
+    return F.slice(found, 1, most) if most else found
+
+
+def _items(raw: Column) -> Column:
+    return F.coalesce(jsonx.strings(jsonx.extract_array(raw)), text.bullet_lines(raw))
+
+
+def _answers(asked: DataFrame, config: RunConfig, factory, search: DataFrame | None, keep) -> DataFrame:
+    """(sample, pos, question, answer struct, tokens) of ``asked(sample, chain, pos, question)``: equal questions of all samples are answered once."""
 
     def evaluate(distinct: DataFrame) -> DataFrame:
-        none = F.array().cast("array<struct<title: string, url: string, description: string, source: string>>")
+        none = F.array().cast(_SOURCES)
         with_sources = distinct.select("question").join(search, "question", "left") if search is not None else distinct.select("question").withColumn("sources", none)
         with_sources = with_sources.withColumn("_user", messages.answer_prompt(F.col("question"), F.coalesce("sources", none), config.answer_max_sources))
-        return keep(ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a").select("question", answer(F.col("_a_raw")).alias("found")))
+        found = ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a")
+        return keep(found.select("question", F.when(F.col("_a_error").isNull(), answer(F.col("_a_raw"))).alias("found"), "_a_prompt", "_a_completion"))
 
-    answered = lookup.dedup_eval(found.withColumn("_order", F.struct("sample", "chain", "pos")), "question", "_order", evaluate)
-    flat = answered.select("sample", "chain", "pos", "question", "found", F.col("found.confidence").alias("confidence"))
-    return select_best(flat).drop("confidence")
+    answered = lookup.dedup_eval(asked.withColumn("_order", F.struct("sample", "chain", "pos")), "question", "_order", evaluate)
+    paid = lambda c: F.when(F.col("duplicate"), 0).otherwise(F.col(c)).cast("long").alias(c)  # noqa: E731  # the first that asked pays
+    return answered.select("sample", "pos", "question", "found", paid("_a_prompt"), paid("_a_completion"))
 
 
-def run_offline(samples: DataFrame, config: RunConfig, factory=None) -> DataFrame:
-    """Output records of ``samples(sample_index, image_path, headline)`` with signals and a judgement.
+def chains(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=written, choose: bool = True) -> DataFrame:
+    """``samples(sample, headline)`` with what the question chains found: asked, answered, best, _prompt and _completion.
 
-    With ``factory`` a model client gives the signals; without one they are
-    missing and every judgement is uncertain.
+    Chains follow each other: a chain's prompt lists all earlier questions, the
+    follow-ups that were proposed, and the last answers. Each chain is a few
+    stages over all samples, whose outcome is written before the next. With
+    ``choose`` the model picks the best pair of a chain and proposes follow-ups;
+    where it fails, and without ``choose``, the most confident answer counts.
+    """
+    state = samples.select(
+        "sample", "headline", F.array().cast(_ASKED).alias("prior"), F.array().cast(_ASKED).alias("asked"), F.array().cast(_ANSWERED).alias("answered"), F.array().cast(_BEST).alias("best"),
+        F.lit(0).cast("long").alias("_prompt"), F.lit(0).cast("long").alias("_completion"),
+    )
+    cost = lambda name: (F.coalesce(F.col(f"{name}_prompt"), F.lit(0)), F.coalesce(F.col(f"{name}_completion"), F.lit(0)))
+    base = ["sample", "headline", "prior", "asked", "answered", "best"]
+    for chain in range(config.q_chains):
+        prompt = F.concat(messages.question_prompt(F.col("headline"), config.q_per_chain, F.col("prior"), F.col("answered")), F.lit(f" Chain {chain}"))
+        state = ask_model(state.withColumn("_user", prompt), factory, _QUESTION_PROMPT, "_user", "_q")
+        p, c = cost("_q")
+        new = _fresh(_items(F.col("_q_raw")), F.col("prior"), config.q_per_chain)
+        state = keep(state.select(*base, new.alias("new"), (F.col("_prompt") + p).alias("_prompt"), (F.col("_completion") + c).alias("_completion")))
+        grown = {"prior": F.concat("prior", "new"), "asked": F.concat("asked", "new")}
+        if not config.modules["question_answering"]:
+            state = state.withColumns(grown).drop("new")
+            continue
+        single = state.select("sample", F.lit(chain).alias("chain"), F.posexplode("new").alias("pos", "question"))
+        found = _answers(single, config, factory, search, keep)
+        pairs = found.groupBy("sample").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "question", F.col("found.answer").alias("answer"), F.col("found.confidence").alias("confidence"), F.col("found.citations").alias("citations")))).alias("items"),
+            F.sum("_a_prompt").alias("_a_prompt"), F.sum("_a_completion").alias("_a_completion"),
+        )  # a chain's questions
+        state = state.join(pairs, "sample", "left").withColumn("items", F.coalesce("items", F.array()))
+        p, c = cost("_a")
+        answered = F.concat("answered", F.transform(F.filter("items", lambda q: q["answer"].isNotNull()), lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"))))
+        state = state.withColumns(grown | {"answered": answered, "_prompt": F.col("_prompt") + p, "_completion": F.col("_completion") + c}).drop("new", "_a_prompt", "_a_completion")
+        top = F.array_max(F.transform("items", lambda q: F.coalesce(q["confidence"], F.lit(0.0))))
+        at = F.filter(F.transform("items", lambda q, i: F.when(F.coalesce(q["confidence"], F.lit(0.0)) == top, i + 1)), lambda i: i.isNotNull())[0]
+        more = F.array().cast(_ASKED)
+        if choose:
+            state = ask_model(state.withColumn("_user", messages.selection_prompt(F.col("headline"), F.col("items"))), factory, _ANSWER_PROMPT, "_user", "_s")
+            follow = messages.question_prompt(F.col("headline"), config.followups_per_chain, F.col("prior"), F.array().cast(_ANSWERED))
+            state = ask_model(state.withColumn("_user", F.concat(follow, F.lit(f" Follow-ups {chain}"))), factory, _QUESTION_PROMPT, "_user", "_f")
+            at = F.when(F.col("_s_error").isNull(), jsonx.selection_index(F.col("_s_raw"), F.size("items"))).otherwise(at)
+            more = _fresh(_items(F.col("_f_raw")), F.col("prior"), config.followups_per_chain)
+            (p, c), (q, d) = cost("_s"), cost("_f")
+            state = state.withColumns({"_prompt": F.col("_prompt") + p + q, "_completion": F.col("_completion") + c + d})
+        pick = F.get("items", at.cast("int") - 1)
+        chosen = F.struct(F.lit(chain).alias("chain"), *[pick[n].alias(n) for n in ("pos", "question", "answer", "confidence", "citations")])
+        best = F.when(F.size("items") > 0, F.concat("best", F.array(chosen).cast(_BEST))).otherwise(F.col("best"))
+        state = keep(state.select("sample", "headline", F.concat("prior", more).alias("prior"), "asked", "answered", best.alias("best"), "_prompt", "_completion"))
+    return state.drop("prior")
+
+
+def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=written, choose: bool = False) -> DataFrame:
+    """The best pair of each chain as rows: sample, chain, pos, question and the answer struct ``found``.
+
+    Without answers: sample, chain (0, all of them), pos and question of everything asked.
+    """
+    state = chains(samples, config, factory, search, keep, choose)
+    if not config.modules["question_answering"]:
+        return state.select("sample", F.lit(0).alias("chain"), F.posexplode("asked").alias("pos", "question"))
+    one = state.select("sample", F.explode("best").alias("b"))
+    return one.select("sample", "b.chain", "b.pos", "b.question", F.struct(F.col("b.answer").alias("answer"), F.col("b.citations").alias("citations"), F.col("b.confidence").alias("confidence")).alias("found"))
+
+
+def slim_pairs(pairs: Column) -> Column:
+    """What a record keeps of its best pairs: no nulls in the list, citations at least empty."""
+    citations = F.array().cast("array<struct<url: string, title: string>>")
+    slim = lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"), q["confidence"].alias("confidence"), F.coalesce(q["citations"], citations).alias("citations"))
+    return F.transform(F.filter(pairs, lambda q: q.isNotNull()), slim)
+
+
+def sample_details(columns: list[str], index: Column) -> Column:
+    """The dataset's fields of a sample, with its place there if they have none; null if there is nothing."""
+    known = {n: F.col(n) for n in ("gt_answers", "fake_cls", "text_source", "image_source") if n in columns}
+    fields = F.struct(index.alias("dataset_index"), *[known.get(n, F.lit(None).cast("string")).alias(n) for n in ("gt_answers", "fake_cls", "text_source", "image_source")])
+    anything = index.isNotNull()
+    for c in known.values():
+        anything = anything | c.isNotNull()
+    return F.when(anything, fields)
+
+
+def assemble(stages: DataFrame, config: RunConfig) -> DataFrame:
+    """Output records, in the form of schemas.OUTPUT, of what the stages gave."""
+    modules, columns = config.modules, stages.columns
+    answers = modules["question_answering"]
+    settings = {
+        "q_chains": F.lit(config.q_chains), "q_per_chain": F.lit(config.q_per_chain), "answer_questions": F.lit(answers), "answer_max_sources": F.lit(config.answer_max_sources),
+        "temperature": F.lit(float(config.temperature)), "search_provider": F.lit(config.search_provider),
+    }
+    named = {"provider": F.lit(config.provider), "model": F.lit(config.model).cast("string")}
+    run = named | settings | {"questions_enabled": F.lit(modules["questions"])}
+    order = "provider model temperature q_chains q_per_chain answer_questions answer_max_sources search_provider questions_enabled".split()
+    index = F.col("dataset_index") if "dataset_index" in columns else F.lit(None).cast("long")
+    place = F.col("iteration_index") if "iteration_index" in columns else (F.col("sample_index") - 1).cast("long")
+    out = stages.select(
+        "image_path", "headline", *[c.alias(n) for n, c in named.items()], F.struct(*[c.alias(n) for n, c in settings.items()]).alias("settings"), F.struct(*[run[n].alias(n) for n in order]).alias("run_params"),
+        "relevancy", "visual_veracity", slim_pairs(F.col("best_qa")).alias("best_qa_per_chain"), "token_usage", F.struct(*[F.lit(v).alias(k) for k, v in modules.items()]).alias("modules"), "sample_index",
+        F.coalesce(index, place).alias("dataset_order_index"), place.alias("iteration_index"), sample_details(columns, index).alias("sample_details"), *(["judgement"] if "judgement" in columns else []),
+    )
+    return out
+
+
+def judge(stages: DataFrame, factory, keep=written) -> DataFrame:
+    """``stages`` with ``judgement``: the model's where it answers, else the rules'. Costs are added to _prompt and _completion."""
+    ruled = labels.heuristic_judgement(F.col("relevancy.aligned"), F.col("relevancy.confidence"), F.col("visual_veracity.ai_generated"), F.col("visual_veracity.confidence"))
+    none = lambda kind: F.lit(None).cast(kind)
+    stats_kind = "struct<token_count: int, avg_logprob: double, geo_mean_prob: double>"
+
+    def row(j: Column, rationale: Column, raw: Column, stats: Column) -> Column:
+        return F.struct(j["label"].alias("label"), j["confidence"].alias("confidence"), labels.clamp(stats["geo_mean_prob"]).alias("logprob_confidence"), rationale.alias("rationale"), j["key_factors"].alias("key_factors"), raw.alias("raw"), stats.alias("logprob_stats"))
+
+    by_rules = row(ruled, none("string"), none("string"), none(stats_kind))
+    if factory is None:
+        return stages.withColumn("judgement", by_rules)
+    record = {"headline": F.col("headline"), "relevancy": F.col("relevancy"), "veracity": F.col("visual_veracity"), "best_qa": F.col("best_qa")}
+    asked = keep(ask_model(stages.withColumn("_user", compact_payload(record)), factory, _JUDGE_PROMPT, "_user", "_j"))
+    said = judgement(F.col("_j_raw"))
+    by_model = row(said, said["rationale"], F.col("_j_raw"), logprob_summary(F.col("_j_logprobs")).cast(stats_kind))
+    judged = asked.withColumn("judgement", F.when(F.col("_j_error").isNull() & F.col("_j_raw").isNotNull(), by_model).otherwise(by_rules))
+    judged = judged.withColumns({"_prompt": F.col("_prompt") + F.col("_j_prompt"), "_completion": F.col("_completion") + F.col("_j_completion")})
+    return judged.drop("_user", *[f"_j_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
+
+
+def run_offline(samples: DataFrame, config: RunConfig, factory=None, search: DataFrame | None = None, keep=written, image_url: str | None = None) -> DataFrame:
+    """Output records of ``samples(sample_index, image_path, headline, ...)`` through the stages that ``config`` switches on.
+
+    With ``factory`` a model client gives the signals, asks, answers and judges;
+    without one signals are missing, there are no questions, and rules judge.
+    ``image_url`` names the column that holds what the client is shown; a
+    sample's index must be its own.
     """
-    modules, out = config.modules, samples
-    if factory and (modules["relevancy"] or modules["visual_veracity"]):
-        out = ask_model(out.withColumn("_user", F.coalesce("headline", F.lit(""))), factory, _SIGNAL_PROMPT, "_user", "_signal").drop("_user")
+    modules, out = config.modules, samples.withColumns({"_prompt": F.lit(0).cast("long"), "_completion": F.lit(0).cast("long")})
+    for name, prompt, parse in (("relevancy", _RELEVANCY_PROMPT, relevancy), ("visual_veracity", _VERACITY_PROMPT, veracity)):
+        if factory and modules[name]:
+            out = ask_model(out.withColumn("_user", F.coalesce("headline", F.lit(""))), factory, prompt, "_user", "_r", image_url)
+            out = out.withColumns({name: parse(F.when(F.col("_r_error").isNull(), F.col("_r_raw"))), "_prompt": F.col("_prompt") + F.col("_r_prompt"), "_completion": F.col("_completion") + F.col("_r_completion")})
+            out = out.drop("_user", *[f"_r_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
+        else:
+            out = out.withColumn(name, parse(F.lit(None).cast("string")))
+    if factory and modules["questions"]:
+        out = keep(out)
+        found = chains(out.select(F.col("sample_index").alias("sample"), F.coalesce("headline", F.lit("")).alias("headline")), config, factory, search, keep)
+        found = found.select(F.col("sample").alias("sample_index"), F.col("best").alias("best_qa"), F.col("_prompt").alias("_qp"), F.col("_completion").alias("_qc"))
+        out = out.join(found, "sample_index", "left")
+        out = out.withColumns({"_prompt": F.col("_prompt") + F.coalesce("_qp", F.lit(0)), "_completion": F.col("_completion") + F.coalesce("_qc", F.lit(0)), "best_qa": F.coalesce("best_qa", F.array().cast(_BEST))}).drop("_qp", "_qc")
     else:
-        out = out.withColumns({"_signal_raw": F.lit(None).cast("string"), "_signal_prompt": F.lit(0).cast("long"), "_signal_completion": F.lit(0).cast("long")})
-    raw, none = F.col("_signal_raw"), F.lit(None).cast("string")
-    out = out.withColumn("relevancy", relevancy(raw if modules["relevancy"] else none)).withColumn("visual_veracity", veracity(raw if modules["visual_veracity"] else none))
-    out = out.withColumn("token_usage", F.struct(F.col("_signal_prompt").alias("prompt"), F.col("_signal_completion").alias("completion"), (F.col("_signal_prompt") + F.col("_signal_completion")).alias("total")))
+        out = out.withColumn("best_qa", F.array().cast(_BEST))
     if modules["judge"]:
-        judged = labels.heuristic_judgement(F.col("relevancy.aligned"), F.col("relevancy.confidence"), F.col("visual_veracity.ai_generated"), F.col("visual_veracity.confidence"))
-        out = out.withColumn("judgement", judged)
-    return out.drop("_signal_raw", "_signal_prompt", "_signal_completion", "_signal_error")
+        out = judge(out, factory, keep)
+    usage = F.struct(F.col("_prompt").alias("prompt"), F.col("_completion").alias("completion"), (F.col("_prompt") + F.col("_completion")).alias("total"))
+    return assemble(out.withColumn("token_usage", usage), config)

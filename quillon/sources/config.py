@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -25,6 +24,18 @@ class RunConfig:
     disable_answers: bool = False
     disable_judge: bool = False
     checkpoint_every: int = 100
+    provider: str = "openai"
+    model: str | None = None
+    temperature: float = 0.0
+    base_url: str | None = None
+    logprobs: bool = False
+    followups_per_chain: int = 3
+    search_provider: str = "brave"
+    search_interval: float = 0.0
+    search_jitter: float = 0.0
+    requests_per_minute: int | None = None
+    daily_quota: int | None = None
+    workers: int = 1
 
     @classmethod
     def from_env(cls, environ=os.environ, prefix: str = "QUILLON_") -> RunConfig:
@@ -38,6 +49,8 @@ class RunConfig:
                 found[name] = text.strip().lower() in ("1", "true", "yes", "on")
             elif kind.startswith("int"):
                 found[name] = int(text)
+            elif kind.startswith("float"):
+                found[name] = float(text)
             elif kind.startswith("tuple"):
                 found[name] = tuple(x.strip() for x in text.split(",") if x.strip())
             else:
@@ -57,11 +70,19 @@ class RunConfig:
 
 
 def dataset_path(root: str, override: str | None = None) -> str:
-    """The dataset's JSON file: the override, else below ``root`` in ``source``, then beside it, then the first found."""
+    """The dataset's JSON file: the override, else below ``root`` in ``source``, then beside it, then the first found; on the cluster's file system."""
     if override:
         return override
-    folder = Path(root)
-    for candidate in (folder / "source" / f"{folder.name}.json", folder / f"{folder.name}.json", *sorted(folder.glob("**/*.json"))):
-        if candidate.is_file():
-            return str(candidate)
-    raise FileNotFoundError(f"no dataset JSON below {root}")
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for candidate in (f"{root}/source/{folder.getName()}.json", f"{root}/{folder.getName()}.json"):
+        if fs.exists(hadoop.Path(candidate)):
+            return candidate
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root).select("path").orderBy("path").first() if fs.exists(folder) else None
+    if files is None:
+        raise FileNotFoundError(f"no dataset JSON below {root}")
+    return files[0]

@@ -7,10 +7,12 @@ RECORD = "text string, image_path string, text_source string, image_source strin
 _QA = "array<struct<question: string, answer: string, confidence: double, citations: array<struct<url: string, title: string>>>>"
 _RUN = "provider: string, model: string, temperature: double, q_chains: int, q_per_chain: int, answer_questions: boolean, answer_max_sources: int, search_provider: string, questions_enabled: boolean"
 
+SETTINGS = "q_chains: int, q_per_chain: int, answer_questions: boolean, answer_max_sources: int, temperature: double, search_provider: string"
+
 #: One line of a pipeline's output.
 OUTPUT = f"""
 image_path string, headline string, provider string, model string,
-run_params struct<{_RUN}>,
+settings struct<{SETTINGS}>, run_params struct<{_RUN}>,
 relevancy struct<aligned: string, confidence: double, explanation: string, raw: string>,
 visual_veracity struct<ai_generated: boolean, confidence: double, explanation: string, anomalies: array<string>, raw: string>,
 best_qa_per_chain {_QA},

@@ -9,60 +9,138 @@ rows. A small JSON document beside it guards identity and settings.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import sinks
+
 #: Statuses that a run goes through.
-STATUSES = ("initializing", "resuming", "ready", "running", "completed", "up_to_date", "no_samples")
+STATUSES = ("initializing", "resuming", "ready", "running", "completed", "up_to_date", "no_samples", "no_samples_processed")
+#: How many micro-batches' progress a query keeps; rows are counted from it.
+_PROGRESS_KEPT = 1_000_000
 
 
 class RunState:
-    """The run's JSON document: identity, fingerprint of the settings, progress and status."""
+    """The run's JSON document, on the cluster's file system: identity, fingerprint of the settings, progress and status."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
-        self.data: dict = json.loads(self.path.read_text()) if self.path.exists() else {}
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.data: dict = json.loads(sinks.read_text(spark, path) or "{}")
 
-    def open(self, run_id: str, fingerprint: str, sink: str) -> None:
-        """Raises ValueError if another run, other settings or another sink wrote the document."""
+    def open(self, run_id: str, fingerprint: str, sink: str, chunk_size: int) -> int:
+        """The chunk size to use: that of the first start. Raises ValueError if another run, other settings or another sink wrote the document."""
         for key, value in (("run_id", run_id), ("args_fingerprint", fingerprint), ("jsonl_path", sink)):
             if key in self.data and self.data[key] != value:
                 raise ValueError(f"checkpoint {key} {self.data[key]!r} does not match {value!r}")
-        status = "resuming" if self.data else "initializing"
-        self.save(status, run_id=run_id, args_fingerprint=fingerprint, jsonl_path=sink)
+        status, size = "resuming" if self.data else "initializing", int(self.data.get("chunk_size") or max(1, chunk_size))
+        self.save(status, run_id=run_id, args_fingerprint=fingerprint, jsonl_path=sink, chunk_size=size)
+        return size
+
+    def reconcile(self, rows: int) -> int:
+        """The number of rows done, given how many the sink holds: more than noted count, fewer are only warned of."""
+        noted = int(self.data.get("processed_count") or 0)
+        if rows < noted:
+            warnings.warn(f"the checkpoint notes {noted} rows, the output holds {rows}", stacklevel=2)
+        self.data["processed_count"] = max(noted, rows)
+        return self.data["processed_count"]
 
     def save(self, status: str, **fields) -> None:
         if status not in STATUSES:
             raise ValueError(f"unknown status {status!r}")
-        self.data |= fields | {"status": status, "updated_at": datetime.now(UTC).isoformat()}
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text(json.dumps(self.data, indent=2))
+        now = datetime.now(UTC).isoformat()
+        self.data = {"created_at": now} | self.data | fields | {"status": status, "updated_at": now}
+        sinks.write_text(self.spark, self.path, json.dumps(self.data, indent=2))
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """A run's document as a row of schemas.CHECKPOINT."""
+    from quillon.sources.schemas import CHECKPOINT
+
+    return spark.read.schema(CHECKPOINT).option("multiLine", "true").json(path)
 
 
 def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100, fmt: str = "json", glob: str = "*") -> int:
     """Runs ``transform`` over files of the folder ``source`` that no earlier start has seen; returns the number of input rows."""
-    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).load(source)
-    query = transform(stream).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, str(_PROGRESS_KEPT))
+    try:
+        stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).load(source)
+        stream = stream.observe("read", F.count(F.lit(1)).alias("rows"))  # a filter that is pushed into the scan would hide rows from numInputRows
+        query = transform(stream).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(kept, before)
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    metrics = (p.observedMetrics.get("read") for p in query.recentProgress)
+    return sum(m["rows"] for m in metrics if m is not None)
+
 
+def sink_rows(spark: SparkSession, sink: str) -> int:
+    """How many rows an output folder holds; 0 if it is not there yet."""
+    return spark.read.text(sink).count() if sinks._file(spark, sink)[0].exists(sinks._file(spark, sink)[1]) else 0
 
-def run(spark: SparkSession, run_id: str, fingerprint: str, source: str, schema: str, transform, sink: str, folder: str, **options) -> str:
+
+def run(spark: SparkSession, run_id: str, fingerprint: str, source: str, schema: str, transform, sink: str, folder: str, files_per_batch: int = 100, **options) -> str:
     """One start of a run; returns its status."""
-    state = RunState(f"{folder}/{run_id}.json")
-    state.open(run_id, fingerprint, sink)
+    state = RunState(spark, f"{folder}/{run_id}.json")
+    size = state.open(run_id, fingerprint, sink, files_per_batch)
+    done = state.reconcile(sink_rows(spark, sink))
+    state.save("ready", next_index=done)
     state.save("running")
-    n = process_new(spark, source, schema, transform, sink, f"{folder}/{run_id}.checkpoint", **options)
-    done = state.data.get("processed_count", 0) + n
-    status = "completed" if n else "up_to_date" if done else "no_samples"
-    state.save(status, processed_count=done, next_index=done)
+    n = process_new(spark, source, schema, transform, sink, f"{folder}/{run_id}.checkpoint", files_per_batch=size, **options)
+    wrote = sink_rows(spark, sink)
+    status = ("completed" if wrote > done else "no_samples_processed") if n else "up_to_date" if done else "no_samples"
+    state.save(status, processed_count=done + n if wrote == done else max(done, wrote), next_index=max(done, wrote))
     return status
 
 
+def resume_point(outputs: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row (done, next_index, sequential, same_last) of a run's ``outputs(sample_index, image_path, headline)`` against its samples.
+
+    A run goes on behind its outputs only if these count 1, 2, 3 ... without gap
+    and the last one is that sample of the source.
+    """
+    last = outputs.agg(F.count(F.lit(1)).alias("done"), F.count_distinct("sample_index").alias("_d"), F.min("sample_index").alias("_a"), F.max("sample_index").alias("_b"), F.max_by(F.struct("image_path", "headline"), "sample_index").alias("_last"))
+    source = samples.select(F.col("sample_index").alias("_i"), F.struct("image_path", "headline").alias("_source"))
+    met = last.join(source, F.col("_b") == F.col("_i"), "left")
+    sequential = (F.col("done") == 0) | ((F.col("_a") == 1) & (F.col("_b") == F.col("done")) & (F.col("_d") == F.col("done")))
+    return met.select("done", F.col("done").alias("next_index"), sequential.alias("sequential"), ((F.col("done") == 0) | F.coalesce(F.col("_last").eqNullSafe(F.col("_source")) & F.col("_i").isNotNull(), F.lit(False))).alias("same_last"))
+
+
+def check_resume(outputs: DataFrame, samples: DataFrame) -> int:
+    """The number of samples that are done; raises ValueError where the outputs are not those of the samples."""
+    point = resume_point(outputs, samples).first()
+    if not point.sequential:
+        raise ValueError("outputs are not sequential")
+    if not point.same_last:
+        raise ValueError("the last output is not the sample at its place")
+    return point.done
+
+
+def drained(results: DataFrame, start: int = 0) -> DataFrame:
+    """``results(sample_index, error, ...)`` as they are taken in: in order, a failed one counts but gives no output.
+
+    Adds ``processed``, the counter after the row, and ``emitted``.
+    """
+    from quillon.operators.lookup import numbered
+
+    placed = numbered(results, "sample_index", "_place")
+    return placed.withColumn("processed", F.col("_place") + start + 1).withColumn("emitted", F.col("error").isNull()).drop("_place")
+
+
+def joined_streams(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str, late: str | None = None) -> DataFrame:
+    """Rows of two streams (or tables) with one key whose right time is up to ``within`` after the left one; ``late`` bounds the state."""
+    if late:
+        left, right = left.withWatermark(left_ts, late), right.withWatermark(right_ts, late)
+    right = right.withColumnRenamed(key, "_key")
+    near = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, (F.col(key) == F.col("_key")) & near).drop("_key")
+
+
 def evaluate_with_cache(spark: SparkSession, jobs: DataFrame, key: str, order: str, evaluate, cache_path: str, cache_schema: str) -> DataFrame:
     """``lookup.dedup_eval`` against a cache table that grows with every call."""
     from quillon.operators.lookup import dedup_eval

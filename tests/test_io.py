@@ -6,11 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans import cli
+from quillon.plans import claims, cli
 from quillon.plans.claims import investigate, run_baseline, run_offline
 from quillon.plans.evaluation import evaluate
 from quillon.sources import archive, clients, records, sinks
 from quillon.sources.config import RunConfig, dataset_path
+from quillon.sources.schemas import OUTPUT
 from quillon.streaming import resume
 
 
@@ -112,7 +113,11 @@ def test_model_errors_do_not_fail_the_task(spark):
     samples = spark.createDataFrame([(1, "i.png", "h")], "sample_index long, image_path string, headline string")
     row = run_offline(samples, RunConfig(), Broken).first()
     assert (row.judgement.label, row.judgement.confidence) == ("Uncertain", 0.3)
-    assert run_offline(samples, RunConfig(disable_judge=True)).columns == ["sample_index", "image_path", "headline", "relevancy", "visual_veracity", "token_usage"]
+    fields = [f.split()[0] for f in "image_path headline provider model settings run_params relevancy visual_veracity best_qa_per_chain token_usage modules sample_index dataset_order_index iteration_index sample_details".split()]
+    assert run_offline(samples, RunConfig(disable_judge=True)).columns == fields
+    whole = spark.createDataFrame([], OUTPUT)
+    kinds = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert kinds(run_offline(samples, RunConfig(), Broken)) == kinds(whole)
 
 
 def test_resume(spark, tmp_path):
@@ -126,6 +131,50 @@ def test_resume(spark, tmp_path):
     assert sorted(r.id for r in rows) == list(range(15)) and all(r.twice == 2 * r.id for r in rows)
     with pytest.raises(ValueError):
         start("other settings")
+    state = resume.read_state(spark, f"{folder}/r.json").first()
+    assert (state.run_id, state.processed_count, state.next_index, state.chunk_size, state.jsonl_path) == ("r", 15, 15, 100, sink)
+
+
+def test_resume_counts_all_batches(spark, tmp_path):
+    """More micro-batches than a query keeps progress of by default; the first start's chunk size wins."""
+    source, sink, folder = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.range(0, 8, 1, 8).write.json(source)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        start = lambda n, f=lambda df: df: resume.run(spark, "r", "f", source, "id long", f, sink, folder, files_per_batch=n)
+        assert start(1) == "completed"
+        state = resume.RunState(spark, f"{folder}/r.json")
+        assert state.data["processed_count"] == 8 and state.open("r", "f", sink, 50) == 1
+        spark.range(8, 10).write.mode("append").json(source)
+        assert start(7, lambda df: df.filter("id < 0")) == "no_samples_processed"
+        with pytest.warns(UserWarning, match="notes 10 rows"):
+            assert start(7) == "up_to_date"
+        state.save("running", processed_count=3)  # a start that ended before it noted what it wrote
+        assert resume.RunState(spark, f"{folder}/r.json").reconcile(resume.sink_rows(spark, sink)) == 8
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_resume_point(spark):
+    samples = spark.createDataFrame([(i, f"{i}.png", f"h{i}") for i in range(1, 6)], "sample_index long, image_path string, headline string")
+    assert resume.check_resume(samples.filter("sample_index <= 3"), samples) == 3
+    assert resume.check_resume(samples.filter("sample_index < 0"), samples) == 0
+    with pytest.raises(ValueError, match="sequential"):
+        resume.check_resume(samples.filter("sample_index != 2"), samples)
+    with pytest.raises(ValueError, match="last"):
+        resume.check_resume(samples.filter("sample_index <= 3").withColumn("headline", F.lit("x")), samples)
+
+
+def test_streams_join(spark, tmp_path):
+    rows = lambda n, step: spark.createDataFrame([(f"k{i % 3}", 1_000_000 + i * step) for i in range(n)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    rows(20, 60).write.parquet(str(tmp_path / "a"))
+    rows(20, 90).withColumnRenamed("ts", "rts").write.parquet(str(tmp_path / "b"))
+    a, b = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
+    read = lambda n, like: spark.readStream.schema(like.schema).parquet(str(tmp_path / n))
+    query = resume.joined_streams(read("a", a), read("b", b), "k", "ts", "rts", "5 minutes", late="1 hour").writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
+    query.awaitTermination()
+    expected = resume.joined_streams(a, b, "k", "ts", "rts", "5 minutes").collect()
+    assert len(expected) > 5 and sorted(map(tuple, spark.table("pairs").collect())) == sorted(map(tuple, expected))
 
 
 def test_cache_grows(spark, tmp_path):
@@ -229,10 +278,138 @@ def test_backfill_and_baseline_commands(spark, tmp_path):
     assert spark.read.json(out).count() == 6
 
 
-def test_pipeline_offline_reads_whole_texts(spark, tmp_path):
-    from quillon.plans.queries_stages import pipeline_offline
+def _plain_pipeline(model, headline, config):
+    """The stages for one headline, call by call, without Spark: (best pairs, judgement label and confidence, tokens)."""
+    tokens, load = 0, lambda raw: json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
+
+    def ask(system, user):
+        nonlocal tokens
+        raw, prompt, completion = model.ask(system, user)
+        tokens += prompt + completion
+        return raw
+
+    def prompt(k, prior, answered):
+        known = "\n".join(f"Q: {q}\nA: {a}..." for q, a in answered[-3:])
+        seen = "Already asked:\n- " + "\n- ".join(prior) + "\n" if prior else ""
+        told = f"Known so far:\n{known}\n" if answered else ""
+        return f"Headline: {headline}\n{seen}{told}Ask {k} short questions that would help to verify it. Answer with a JSON array of strings."
+
+    def fresh(raw, prior, k):
+        out = []
+        for q in json.loads(raw):
+            if q.strip() and q.strip().lower() not in {x.lower() for x in [*prior, *out]}:
+                out.append(q.strip())
+        return out[:k]
+
+    rel, ver = load(ask(claims._RELEVANCY_PROMPT, headline)), load(ask(claims._VERACITY_PROMPT, headline))
+    prior, answered, best = [], [], []
+    for chain in range(config.q_chains):
+        new = fresh(ask(claims._QUESTION_PROMPT, prompt(config.q_per_chain, prior, answered) + f" Chain {chain}"), prior, config.q_per_chain)
+        prior = prior + new
+        items = [(q, load(ask(claims._ANSWER_PROMPT, f"Question: {q}\nSources:\n\nAnswer with one JSON object with answer, confidence, citations and rationale."))) for q in new]
+        answered = answered + [(q, a["answer"]) for q, a in items]
+        listed = "\n".join(f"{i}. {q} -> {a['answer']}" for i, (q, a) in enumerate(items, 1))
+        chosen = load(ask(claims._ANSWER_PROMPT, f"Headline: {headline}\n{listed}\nAnswer with one JSON object with index and reason."))["index"]
+        follow = ask(claims._QUESTION_PROMPT, prompt(config.followups_per_chain, prior, []) + f" Follow-ups {chain}")
+        best.append(items[min(chosen, len(items)) - 1])
+        prior = prior + fresh(follow, prior, config.followups_per_chain)
+    return best, rel, ver, tokens
+
+
+def test_pipeline_against_plain_calls(spark):
+    """Every question, choice and token count of the stages, against a loop that asks one call after the other."""
+    model, config = clients.EchoModel(), RunConfig(q_chains=3, q_per_chain=2)
+    heads = ["the moon is far", "", "one two\nthree"]
+    samples = spark.createDataFrame([(i + 1, f"/img/{i}.png", h, 10 + i, "Fake" if i else None) for i, h in enumerate(heads)], "sample_index long, image_path string, headline string, dataset_index long, gt_answers string")
+    out = run_offline(samples, config, clients.EchoModel)
+    rows = {r.sample_index: r for r in out.collect()}
+    for i, h in enumerate(heads):
+        row, (best, rel, ver, tokens) = rows[i + 1], _plain_pipeline(model, h, config)
+        assert [(q.question, q.answer, q.confidence, [c.url for c in q.citations]) for q in row.best_qa_per_chain] == [(q, a["answer"], a["confidence"], [c["url"] for c in a["citations"]]) for q, a in best]
+        assert row.relevancy.confidence == rel["confidence"] and row.visual_veracity.confidence == ver["confidence"]
+        pairs = [{"question": q, "answer": a["answer"], "confidence": a["confidence"], "citations_count": len(a["citations"])} for q, a in best]
+        payload = json.loads(spark.createDataFrame([row], out.schema).select(claims.compact_payload({"headline": F.col("headline"), "relevancy": F.col("relevancy"), "veracity": F.col("visual_veracity"), "best_qa": F.col("best_qa_per_chain")})).first()[0])
+        assert payload["best_qa_per_chain"] == pairs and payload["headline"] == h
+        assert row.judgement.label in clients._LABELS and row.judgement.key_factors and row.judgement.raw
+        judged = len(json.dumps(payload, ensure_ascii=False, separators=(",", ":")).split()) + len(row.judgement.raw.split())
+        assert row.token_usage.total == tokens + judged
+        assert (row.dataset_order_index, row.iteration_index, row.sample_details.dataset_index, row.sample_details.gt_answers) == (10 + i, i, 10 + i, "Fake" if i else None)
+        assert row.run_params.q_per_chain == 2 and row.settings.answer_questions and row.modules.judge
+
+
+def test_judge_takes_token_probabilities_and_the_image(spark):
+    class Sure:
+        def ask(self, system, user, image_url=None):
+            if "with label, confidence" in system:
+                return '{"label": "misinformation", "confidence": 0.7}', 1, 1, [-0.1, -0.3]
+            return '{"aligned": "%s", "ai_generated": "yes", "confidence": 0.5}' % ("yes" if image_url == "data:x" else "no"), 1, 1
+
+    samples = spark.createDataFrame([(1, "i.png", "h", "data:x")], "sample_index long, image_path string, headline string, url string")
+    row = run_offline(samples, RunConfig(disable_questions=True), Sure, image_url="url").first()
+    assert row.relevancy.aligned == "true" and row.judgement.label == "Misinformation"
+    assert row.judgement.logprob_stats.token_count == 2 and abs(row.judgement.logprob_confidence - 2.718281828459045**-0.2) < 1e-9
+
+
+def test_providers():
+    sent = []
+
+    def transport(url, headers, body=None):
+        sent.append((url, headers, body))
+        if "generateContent" in url:
+            return {"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}], "usageMetadata": {"promptTokenCount": 4, "candidatesTokenCount": 2}}
+        return {"choices": [{"message": {"content": "hi"}, "logprobs": {"content": [{"logprob": -0.5}]}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}}
+
+    chat = clients.model_client("OpenAI", "http://x/v1/", "k", "m", logprobs=True, transport=transport)
+    assert chat.ask("s", "u") == ("hi", 3, 1, [-0.5]) and sent[-1][0] == "http://x/v1/chat/completions" and sent[-1][2]["logprobs"]
+    chat.ask("s", "u", "data:image/png;base64,AA")
+    assert "logprobs" not in sent[-1][2] and sent[-1][2]["messages"][1]["content"][1]["image_url"]["url"].startswith("data:")
+    other = clients.model_client("google", "http://y", "k", "m", transport=transport)
+    assert other.ask("s", "u", "data:image/png;base64,AA") == ("ab", 4, 2, None)
+    assert sent[-1][2]["contents"][0]["parts"][1] == {"inline_data": {"mime_type": "image/png", "data": "AA"}}
+    with pytest.raises(ValueError):
+        clients.model_client("nobody", "", "", "")
+    assert clients.search_provider(" DuckDuckGo") == "duckduckgo" and clients.search_provider("?") == clients.search_provider(None) == "brave"
+    web = clients.WebSearch("http://z", "t", lambda url, headers: {"web": {"results": [{"url": url}, 3]}})
+    assert web.search("a b", count=2, offset=None) == [{"url": "http://z?q=a+b&count=2"}]
+    assert clients.KeywordSearch(lambda q, **p: [{"q": q, **p}]).search("x", region="de", other=1, page=None) == [{"q": "x", "region": "de"}]
+
+
+def test_limiter():
+    now, slept = [1000.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    make = lambda **o: clients.Limiter(clock=lambda: now[0], sleep=sleep, seed=1, **o)
+    spaced = make(interval=2.0, jitter=0.5)
+    for _ in range(3):
+        spaced.acquire()
+    assert all(1.0 <= s <= 3.0 for s in slept) and len(slept) == 2
+    slept.clear()
+    minute = make(per_minute=3)
+    for _ in range(4):
+        minute.acquire()
+    assert abs(sum(slept) - 60.0) < 0.01
+    daily = make(daily=2)
+    daily.acquire(), daily.acquire()
+    with pytest.raises(RuntimeError):
+        daily.acquire()
+    daily.give_back()
+    daily.acquire()
+    now[0] += 86400
+    daily.acquire()
+    slept.clear()
+    refused = make()
+    refused.acquire()
+    refused.back_off(limit=10, reset_ms=int((now[0] + 30) * 1000))
+    refused.acquire()
+    assert refused.per_minute == 10 and refused.interval == 6.0 and abs(sum(slept) - 30) < 0.01
+    class Down:
+        def ask(self):
+            raise OSError
 
-    spark.createDataFrame([(1, " one two\nthree four\nfive "), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    tokens = {r.sample_index: r.tokens for r in pipeline_offline(spark, str(tmp_path)).collect()}
-    asked = {i: clients.EchoModel().ask("", t) for i, t in ((1, "one two\nthree four\nfive"), (2, ""))}
-    assert tokens == {i: prompt + completion for i, (_, prompt, completion) in asked.items()}
+    limited = clients.LimitedClient(Down(), make(daily=1))
+    for _ in range(3):
+        with pytest.raises(OSError):
+            limited.ask()
