@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillon.plans import queries_joins, queries_metrics, queries_relational, queries_scalar, queries_stages  # noqa: F401
+from quillon.plans import queries_io, queries_joins, queries_metrics, queries_relational, queries_scalar, queries_stages  # noqa: F401
 from quillon.plans.registry import oracle_sql, queries  # noqa: F401

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import jsonx, labels, messages, text
 from quillon.operators import lookup, qa
 from quillon.operators.calibration import logprob_summary
-from quillon.sources.clients import ask_model
+from quillon.sources.clients import ask_model, search_web
 from quillon.sources.config import RunConfig
 from quillon.sources.sinks import written
 
@@ -99,6 +99,14 @@ _STAGE_PROMPTS = {
 }
 
 
+def with_knowledge(samples: DataFrame, factory, site: str, most: int = 3, keep=written) -> DataFrame:
+    """``samples`` with ``knowledge``: what a search of ``site`` tells about the headline; equal headlines are searched once."""
+    asked = samples.select("headline").distinct().withColumn("_query", F.concat(F.lit(f"site:{site} "), F.coalesce("headline", F.lit(""))))
+    found = keep(search_web(asked, factory, "_query", "_found", max_results=most))
+    told = found.select(F.col("headline").alias("_headline"), text.knowledge(F.coalesce("_found", F.array().cast(_SOURCES)), most).alias("knowledge"))
+    return samples.join(told, F.col("headline").eqNullSafe(F.col("_headline")), "left").drop("_headline")
+
+
 def run_baseline(samples: DataFrame, factory, keep=written) -> DataFrame:
     """``samples(sample_index, headline[, knowledge])`` with three stage verdicts and the cascade's judgement.
 

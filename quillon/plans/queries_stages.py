@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,6 +13,7 @@ from quillon.plans.queries_metrics import u_sql
 from quillon.plans.registry import query, table
 from quillon.sources.clients import EchoModel
 from quillon.sources.config import RunConfig
+from quillon.sources.sinks import shared_folder
 from quillon.streaming import resume
 
 _SIGNALS = f"""
@@ -136,10 +134,7 @@ def pipeline_offline(spark, sf_dir):
 @query("SELECT event_id, event_type, value FROM events")
 def stream_append_resume(spark, sf_dir):
     """Events through a stream that is started twice; the second start finds nothing new."""
-    configured = spark.sparkContext.getCheckpointDir()
-    folder = f"{configured}/stream-{uuid.uuid4().hex}" if configured else tempfile.mkdtemp(prefix="quillon-stream-")
-    if not configured:
-        atexit.register(shutil.rmtree, folder, True)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     keep = lambda df: df.select("event_id", "event_type", "value")
     for _ in range(2):

@@ -248,6 +248,9 @@ class EchoModel:
             answer = json.dumps({"answer": f"about {h[:6]}", "confidence": n % 101 / 100, "citations": [{"url": f"u/{h[:4]}", "title": "t"}]})
         elif "with index and reason" in user:
             answer = json.dumps({"index": n % 3 + 1, "reason": h[:6]})
+        elif "Finish[" in user:
+            kind = ("TEXT", "IMAGE", "")["Finish[TEXT" not in user if "Finish[MATCH]" not in user else 2]
+            answer = (f"Observation: {h[:6]} Action: Finish[{kind} SUPPORTS]", f"so Finish[{kind} REFUTES]", "?")[n % 3] if kind else ("Finish[MATCH]", "Finish[MISMATCH]", "?")[n % 3]
         elif "with label, confidence" in system:
             answer = json.dumps({"label": _LABELS[n % 3], "confidence": n % 101 / 100, "rationale": h[:6], "key_factors": [h[6:12]]})
         else:
@@ -291,3 +294,47 @@ def ask_model(df: DataFrame, factory: Callable[[], ModelClient], system: str, us
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} long, {names[2]} long, {names[3]} string, {names[4]} array<double>")
+
+
+class EchoSearch:
+    """Offline stand-in: results that follow from the MD5 of the query, one of them without a description."""
+
+    def search(self, query: str, **parameters) -> list[dict]:
+        h = hashlib.md5(query.encode()).hexdigest()
+        return [
+            {"title": f"t{h[:4]}", "url": f"http://a/{h[:8]}", "description": f"d {h[8:12]}", "meta_url": {"host": "a"}},
+            {"title": "none", "url": "http://b", "description": ""},
+            {"title": "", "href": f"http://c/{h[:2]}", "body": h[12:20], "source": "c"},
+        ][: parameters.get("max_results") or 3]
+
+
+def search_web(df: DataFrame, factory: Callable[[], SearchClient], query: str, out: str, **parameters) -> DataFrame:
+    """``df`` with ``out``, an array of title, url, description and source, and ``out``_error; results without a url go."""
+    kind = "array<struct<title: string, url: string, description: string, source: string>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    at = df.columns.index(query)
+
+    def text(row: dict, *names: str) -> str:
+        return next((t for n in names if (t := str(row.get(n) or "").strip())), "")
+
+    def plain(row: dict) -> dict:
+        host = row["meta_url"].get("host") if isinstance(row.get("meta_url"), dict) else None
+        return {"title": text(row, "title"), "url": text(row, "url", "href"), "description": text(row, "description", "snippet", "body"), "source": text(row | {"_host": host}, "source", "_host")}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        client = _client(factory)
+        fields = pa.list_(pa.struct([(n, pa.string()) for n in ("title", "url", "description", "source")]))
+        for batch in batches:
+            found, errors = [], []
+            for q in batch.column(at).to_pylist():
+                try:
+                    found.append([r for r in map(plain, client.search(q or "", **parameters)) if r["url"]])
+                    errors.append(None)
+                except Exception as error:
+                    found.append(None)
+                    errors.append(str(error))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, fields), pa.array(errors, pa.string())], names=[*batch.schema.names, out, f"{out}_error"])
+
+    return df.mapInArrow(run, f"{schema}, {out} {kind}, {out}_error string")
