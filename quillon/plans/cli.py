@@ -18,7 +18,7 @@ def session(name: str = "quillon") -> SparkSession:
 def _evaluate(args) -> None:
     from quillon.plans.evaluation import evaluate
 
-    for name, table in evaluate(session(), args.outputs, args.dataset_json, args.image_root, args.save_report, args.save_csv, args.save_html).items():
+    for name, table in evaluate(session(), args.outputs, args.dataset_json, args.image_root, args.save_report, args.save_csv, args.save_html, args.figure_dir).items():
         print(name)
         table.show(truncate=False)
 
@@ -26,6 +26,7 @@ def _evaluate(args) -> None:
 def _curves(args) -> None:
     from quillon.functions import labels
     from quillon.operators import curves
+    from quillon.sources import sinks
     from quillon.sources.records import scan_jsonl
 
     spark, runs = session(), None
@@ -40,6 +41,10 @@ def _curves(args) -> None:
     if args.output_dir:
         curves.roc_points(runs).write.mode("overwrite").parquet(f"{args.output_dir}/roc")
         curves.pr_points(runs).write.mode("overwrite").parquet(f"{args.output_dir}/pr")
+        for name, points, x, y in (("roc", curves.roc_points(runs), "fpr", "tpr"), ("pr", curves.pr_points(runs), "recall", "precision")):
+            for label in args.labels or args.inputs:  # a figure has as many points as a run has different scores
+                line = [(r[0], r[1]) for r in points.filter(F.col("run") == label).orderBy(F.desc_nulls_first("score")).select(x, y).toLocalIterator()]
+                sinks.write_text(spark, f"{args.output_dir}/{name}-{label.rsplit('/', 1)[-1]}.svg", sinks.curve_svg(line, f"{name} {label}", diagonal=name == "roc"))
 
 
 def _repair(args) -> None:
@@ -67,43 +72,93 @@ def _report(args) -> None:
     outputs = records.scan_jsonl(session(), args.outputs)
     if args.tokens_csv:
         sinks.write_tokens_csv(outputs, args.tokens_csv)
-    sinks.write_html_report({"tokens": usage.token_totals(outputs.select("token_usage.*"))}, args.html, args.title)
+    if args.samples_html:
+        sinks.write_sample_report(outputs, args.samples_html, args.title or "Run")
+    if args.html:
+        sinks.write_html_report({"tokens": usage.token_totals(outputs.select("token_usage.*"))}, args.html, args.title or "Run")
 
 
-def _pipeline(args) -> None:
+def _model(args, config):
+    """The factory of the model client that the arguments and settings name; None without one."""
+    import os
+
+    from quillon.sources.clients import EchoModel, Limiter, LimitedClient, model_client
+
+    if args.echo:
+        return EchoModel
+    if not (config.base_url and config.model):
+        return None
+    key = os.environ.get(args.key_variable or "QUILLON_KEY", "")
+    options = {"temperature": config.temperature} | ({"logprobs": True} if config.logprobs else {})
+    limits = {"per_minute": config.requests_per_minute, "daily": config.daily_quota}
+    return lambda: LimitedClient(model_client(config.provider, config.base_url, key, config.model, **options), Limiter(**limits))
+
+
+def _samples(spark, args, config):
+    """The run's samples in its order: sample_index counts from 1."""
+    from quillon.operators.lookup import numbered
     from quillon.operators.sampling import shuffled, stratified_order
-    from quillon.plans.claims import run_offline
-    from quillon.sources import records, sinks
-    from quillon.sources.clients import EchoModel
-    from quillon.sources.config import RunConfig
+    from quillon.sources import records
 
-    config, spark = RunConfig.from_env(), session()
     if args.image and args.headline:
         data = records.single_pair(spark, args.image, args.headline)
     else:
         data = records.project_records(records.scan_dataset(spark, args.dataset_json))
     ordered = stratified_order(data, list(config.stratify_by), config.seed, "dataset_index") if config.stratify_by else shuffled(data, config.seed, "dataset_index").withColumnRenamed("shuffle_key", "order_score")
-    if config.max_samples is not None:
-        ordered = ordered.orderBy("order_score", "dataset_index").limit(config.max_samples)
-    samples = ordered.select(F.col("dataset_index").alias("sample_index"), "image_path", F.col("text").alias("headline"))
-    sinks.append_jsonl(run_offline(samples, config, EchoModel if args.echo else None), args.save_jsonl)
+    placed = numbered(ordered, "order_score", "iteration_index").withColumn("sample_index", F.col("iteration_index") + 1).withColumnRenamed("text", "headline")
+    placed = placed.filter(F.col("sample_index") <= config.max_samples) if config.max_samples is not None else placed
+    details = [c for c in ("gt_answers", "fake_cls", "text_source", "image_source") if c in placed.columns]
+    return placed.select("sample_index", "iteration_index", "dataset_index", "image_path", "headline", *details)
+
+
+def _pipeline(args) -> None:
+    """Runs the claim stages chunk by chunk, in the run's order, and notes after each how far it is; ``--resume`` goes on from there."""
+    from dataclasses import replace
+
+    from quillon.plans.claims import run_offline
+    from quillon.sources import records, sinks
+    from quillon.sources.config import RunConfig
+    from quillon.streaming import resume
+
+    config, spark = RunConfig.from_env(), session()
+    given = {"max_samples": args.max_samples and int(args.max_samples), "provider": args.provider, "model": args.model, "base_url": args.base_url}
+    config = replace(config, **{k: v for k, v in given.items() if v is not None}, **({"disable_questions": True} if args.no_questions else {}), **({"disable_judge": True} if args.no_judge else {}))
+    samples = sinks.written(_samples(spark, args, config), "samples")
+    total = samples.count()
+    state = resume.RunState(spark, f"{args.save_jsonl}.run.json")
+    if state.data and not args.resume:
+        raise SystemExit(f"{args.save_jsonl} has a run already; give --resume to go on")
+    size = state.open(args.run_id or "run", config.fingerprint(), args.save_jsonl, config.checkpoint_every)
+    outputs = records.scan_jsonl(spark, args.save_jsonl) if resume.sink_rows(spark, args.save_jsonl) else None
+    done = state.reconcile(0 if outputs is None else resume.check_resume(outputs, samples))
+    if not total or done >= total:
+        state.save("up_to_date" if total else "no_samples", processed_count=done, next_index=done)
+        return
+    state.save("running", next_index=done)
+    for start in range(done, total, size):
+        chunk = samples.filter((F.col("sample_index") > start) & (F.col("sample_index") <= start + size))
+        sinks.append_jsonl(run_offline(chunk, config, _model(args, config)), args.save_jsonl)
+        done = min(total, start + size)
+        state.save("running", processed_count=done, next_index=done)
+    state.save("completed", processed_count=done, next_index=done)
 
 
 def _baseline(args) -> None:
-    from quillon.plans.claims import run_baseline
+    """The three-stage baseline; what the output holds already is checked to be the first samples, and not asked again."""
+    from quillon.plans.claims import run_baseline, with_knowledge
     from quillon.sources import records, sinks
-    from quillon.sources.clients import EchoModel
+    from quillon.sources.clients import EchoModel, EchoSearch
+    from quillon.streaming import resume
 
     spark = session()
     data = records.project_records(records.scan_dataset(spark, args.dataset_json))
-    samples = data.select(F.col("dataset_index").alias("sample_index"), "image_path", F.col("text").alias("headline"))
-    try:
-        done = spark.read.schema("sample_index long").json(args.save_jsonl)
-        samples = samples.join(done, "sample_index", "left_anti")
-    except Exception as error:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    sinks.append_jsonl(run_baseline(samples, EchoModel), args.save_jsonl)
+    samples = data.select((F.col("dataset_index") + 1).alias("sample_index"), "image_path", F.col("text").alias("headline"))
+    done = resume.check_resume(records.scan_jsonl(spark, args.save_jsonl), samples) if resume.sink_rows(spark, args.save_jsonl) else 0
+    left = samples.filter(F.col("sample_index") > done)
+    if args.knowledge_site:
+        left = with_knowledge(left, EchoSearch, args.knowledge_site)
+    if not left.isEmpty():
+        sinks.append_jsonl(run_baseline(left, EchoModel), args.save_jsonl)
 
 
 def _backfill(args) -> None:
@@ -141,12 +196,13 @@ def main(argv: list[str] | None = None) -> None:
         for f in flags:
             sub.add_argument(f"--{f}", action="store_true")
 
-    command("evaluate", _evaluate, "outputs", "dataset-json", "image-root", "save-report", "save-csv", "save-html", needed=("outputs", "dataset-json", "image-root"))
+    command("evaluate", _evaluate, "outputs", "dataset-json", "image-root", "save-report", "save-csv", "save-html", "figure-dir", needed=("outputs", "dataset-json", "image-root"))
     command("curves", _curves, "inputs", "labels", "output-dir", needed=("inputs",), many=("inputs", "labels"))
     command("repair", _repair, "outputs", "dataset-json", "image-root", flags=("dry-run",), needed=("outputs", "dataset-json"))
-    command("report", _report, "outputs", "html", "title", "tokens-csv", needed=("outputs", "html"))
-    command("pipeline", _pipeline, "dataset-json", "image", "headline", "save-jsonl", flags=("echo",), needed=("save-jsonl",))
-    command("baseline", _baseline, "dataset-json", "save-jsonl", needed=("dataset-json", "save-jsonl"))
+    command("report", _report, "outputs", "html", "samples-html", "title", "tokens-csv", needed=("outputs",))
+    settings = ("max-samples", "provider", "model", "base-url", "key-variable", "run-id")
+    command("pipeline", _pipeline, "dataset-json", "image", "headline", "save-jsonl", *settings, flags=("echo", "resume", "no-questions", "no-judge"), needed=("save-jsonl",))
+    command("baseline", _baseline, "dataset-json", "save-jsonl", "knowledge-site", needed=("dataset-json", "save-jsonl"))
     command("backfill", _backfill, "results-dir", "dataset-json", "image-root", flags=("force", "skip-existing"), needed=("results-dir", "dataset-json", "image-root"))
     command("unpack", _unpack, "zip", "dest", needed=("zip", "dest"))
     args = parser.parse_args(argv)

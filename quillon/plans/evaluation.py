@@ -54,7 +54,19 @@ def metric_tables(scored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def evaluate(spark: SparkSession, outputs_path: str, dataset_json: str, root: str, report: str | None = None, csv: str | None = None, html: str | None = None) -> dict[str, DataFrame]:
+def figures(tables: dict[str, DataFrame]) -> dict[str, str]:
+    """SVG pictures of the tables: confusion matrices, and the bins of the calibrations."""
+    out = {}
+    for name in ("judge_filtered", "ai_detection", "ai_detection_all"):
+        row = tables[name].first()
+        out[name] = sinks.matrix_svg(row.tp, row.fp, row.fn, row.tn)
+    for name in ("calibration_bins", "logprob_calibration_bins"):
+        points = [(r.avg_confidence, r.accuracy) for r in tables[name].orderBy("bin").collect() if r.accuracy is not None and r.avg_confidence is not None]  # a row for each bin
+        out[name] = sinks.curve_svg(points, name.replace("_", " "), diagonal=True)
+    return out
+
+
+def evaluate(spark: SparkSession, outputs_path: str, dataset_json: str, root: str, report: str | None = None, csv: str | None = None, html: str | None = None, figure_dir: str | None = None) -> dict[str, DataFrame]:
     """Scores a JSONL run, writes the reports that are asked for, and returns the tables."""
     truth = records.project_records(records.scan_dataset(spark, dataset_json))
     scored = score_outputs(records.scan_jsonl(spark, outputs_path), truth, root).cache()
@@ -65,4 +77,7 @@ def evaluate(spark: SparkSession, outputs_path: str, dataset_json: str, root: st
         sinks.write_html_report(tables, html, "Evaluation")
     if csv:
         sinks.write_csv(metrics.union_rows(*[metrics.metric_rows(t, name, name) for name, t in tables.items()]), csv)
+    if figure_dir:
+        for name, svg in figures(tables).items():
+            sinks.write_text(spark, f"{figure_dir}/{name}.svg", svg)
     return tables

@@ -72,10 +72,10 @@ def process_new(spark: SparkSession, source: str, schema: str, transform: Callab
         stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).load(source)
         stream = stream.observe("read", F.count(F.lit(1)).alias("rows"))  # a filter that is pushed into the scan would hide rows from numInputRows
         query = transform(stream).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        metrics = [p.observedMetrics.get("read") for p in query.recentProgress]
     finally:
         spark.conf.set(kept, before)
-    query.awaitTermination()
-    metrics = (p.observedMetrics.get("read") for p in query.recentProgress)
     return sum(m["rows"] for m in metrics if m is not None)
 
 

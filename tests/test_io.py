@@ -231,6 +231,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "one")).first().judgement.label == "Uncertain"
 
 
+def test_pipeline_command_resumes(spark, tmp_path, monkeypatch):
+    _run_files(tmp_path)
+    monkeypatch.setenv("QUILLON_CHECKPOINT_EVERY", "2")
+    out = str(tmp_path / "new")
+    start = lambda *more: cli.main(["pipeline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out, "--echo", "--no-questions", *more])
+    start("--max-samples", "3")
+    rows = sorted(records.scan_jsonl(spark, out).collect(), key=lambda r: r.sample_index)
+    assert [r.sample_index for r in rows] == [1, 2, 3] and [r.iteration_index for r in rows] == [0, 1, 2]
+    assert all(r.sample_details.dataset_index == r.dataset_order_index and r.headline == f"h{r.dataset_order_index}" for r in rows)
+    with pytest.raises(SystemExit):
+        start()
+    start("--resume")
+    again = sorted(records.scan_jsonl(spark, out).collect(), key=lambda r: r.sample_index)
+    assert again[:3] == rows and [r.sample_index for r in again] == [1, 2, 3, 4, 5, 6]
+    state = resume.RunState(spark, f"{out}.run.json").data
+    assert (state["status"], state["processed_count"], state["chunk_size"]) == ("completed", 6, 2)
+    start("--resume")
+    assert resume.RunState(spark, f"{out}.run.json").data["status"] == "up_to_date"
+    with pytest.raises(ValueError, match="fingerprint"):
+        start("--resume", "--model", "another")
+    cli.main(["report", "--outputs", out, "--samples-html", str(tmp_path / "samples.html")])
+    assert (tmp_path / "samples.html").read_text().count("<tr>") == 7
+
+
+def test_figures_of_commands(spark, tmp_path):
+    _run_files(tmp_path)
+    run = str(tmp_path / "run.jsonl")
+    cli.main(["evaluate", "--outputs", run, "--dataset-json", str(tmp_path / "d.json"), "--image-root", "/data", "--figure-dir", str(tmp_path / "fig")])
+    assert {"judge_filtered.svg", "calibration_bins.svg"} <= {p.name for p in (tmp_path / "fig").glob("*.svg")}
+    rows = [{"image_path": "a", "judgement": {"label": "Misinformation", "confidence": 0.1 * i}, "sample_details": {"gt_answers": "Fake" if i % 2 else "Real"}} for i in range(6)]
+    (tmp_path / "one.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    cli.main(["curves", "--inputs", str(tmp_path / "one.jsonl"), "--labels", "one", "--output-dir", str(tmp_path / "curves")])
+    assert "<svg" in (tmp_path / "curves/roc-one.svg").read_text()
+
+
 def test_investigate(spark):
     class Scripted:
         def ask(self, system, user, image_url=None):
