@@ -8,15 +8,17 @@ a bounded part of the data in one place:
    hash is the window's anchor (winnowing), so equal windows have equal anchors
    at equal offsets. Neighbouring windows share anchors; an anchor with its run
    of windows is one row, about one for 39 bytes.
-2. Equal runs. Rows are sorted by anchor and by a hash of all the bytes that the
-   run covers. Behind the first of equal runs all windows are repeats, which
-   settles the inside of every repeat and all copies without looking at bytes.
-   Each task does so first among its own rows, so frequent runs hardly travel.
+2. Equal runs are one leaf of an anchor's suffix array. Rows are sorted by anchor
+   and by a hash of all the bytes that the run covers; an anchor with one leaf has
+   one interval, the whole run, whose occurrences are the rows, and needs no bytes.
+   Each task brings its own equal rows together first, so that an anchor or a run
+   that is in very many documents hardly travels.
 3. Suffix array. Where one anchor has several different runs, at the ends of
    repeats, one of each fetches its bytes. The suffixes that start windows there
    are sorted, with common-prefix lengths; a stack scan walks the tree of prefix
    intervals, tests whether the characters to the left differ, and yields the
    maximal repeats with all occurrences. Each but the earliest is removed.
+   ``repeat_groups`` gives the groups themselves, leaves and intervals alike.
    Anchors with more than ``bucket_limit`` runs are settled window by window
    with an aggregation instead, which is exact as well and has no large group.
 4. Spans are merged per document and cut out.
@@ -33,7 +35,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
@@ -136,10 +138,11 @@ def _combine(rows: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate([keep, spans])
 
 
-def anchors(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def anchors(df: DataFrame, length: int = LENGTH, gram: int = GRAM, combine: bool = True) -> DataFrame:
     """``df(doc_id, text)`` as anchor, run, doc_id, place: place is 2^14 * position + 2^7 * before first + before last.
 
-    Rows with a negative place are spans that are settled already; see _combine.
+    With ``combine``, equal rows of a task are brought together, and rows with a
+    negative place are spans that are settled already; see _combine.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -149,7 +152,7 @@ def anchors(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         held, rows = [], 0
 
         def settle():
-            combined = _combine(np.concatenate(held), length)
+            combined = _combine(np.concatenate(held), length) if combine else np.concatenate(held)
             return pa.RecordBatch.from_arrays([pa.array(combined[:, i]) for i in range(4)], names=["anchor", "run", "doc_id", "place"])
 
         def flush():
@@ -261,69 +264,47 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, stops: np.ndarray, bucket
     return order, np.concatenate([[0], common])
 
 
-def maximal_repeats(common: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(length, from, to) of the prefix intervals of at least ``least`` whose left characters differ.
+def maximal_repeats(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(length, from, to, later) of the prefix intervals of at least ``least`` whose left characters differ: the maximal repeats.
 
     A stack scan over the common-prefix lengths: an interval closes when a
-    shorter common prefix follows. ``left`` is the character before each sorted
-    suffix; negative ones count as different from all.
+    shorter common prefix follows; sorted suffixes from..to-1 are all occurrences
+    of the repeat. ``left`` is the character before each suffix; negative ones
+    count as different from all. ``later`` are the occurrences that this repeat
+    decides: all but the earliest by ``rank``, less those that a longer repeat
+    inside the interval has decided already. So each suffix is decided once.
     """
-    stack: list[list] = []  # [length, from, a left character, whether they differ]
-    n = len(common)
-    for i in range(1, n + 1):
-        now = int(common[i]) if i < n else 0
-        start, char, diverse = i - 1, int(left[i - 1]), bool(left[i - 1] < 0)
-        while stack and stack[-1][0] > now:
-            length, begin, c, d = stack.pop()
-            diverse = diverse or d or c != char
-            char = c
-            if diverse:
-                yield length, begin, i
-            start = begin
-        if now >= least:
-            if stack and stack[-1][0] == now:
-                top = stack[-1]
-                top[3] = top[3] or diverse or top[2] != char
-            else:
-                stack.append([now, start, char, diverse])
-
-
-def _losers(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(suffix, length): in each maximal repeat all occurrences but the earliest, at the longest repeat where that holds.
-
-    The same scan as maximal_repeats; every interval hands only its earliest
-    occurrence up, so each suffix is settled once.
-    """
-    stack: list[list] = []  # [length, earliest so far, left character, whether they differ, later ones]
+    stack: list[list] = []  # [length, from, earliest so far, left character, whether they differ, later ones]
     n = len(common)
 
     def join(node: list, i: int, char: int, diverse: bool) -> None:
-        a, b = (node[1], i) if rank[node[1]] <= rank[i] else (i, node[1])
-        node[1] = a
-        node[4].append(b)
-        node[3] = node[3] or diverse or node[2] != char
+        a, b = (node[2], i) if rank[node[2]] <= rank[i] else (i, node[2])
+        node[2] = a
+        node[5].append(b)
+        node[4] = node[4] or diverse or node[3] != char
 
     for i in range(1, n + 1):
         now = int(common[i]) if i < n else 0
-        best, char, diverse = i - 1, int(left[i - 1]), bool(left[i - 1] < 0)
+        begin, best, char, diverse = i - 1, i - 1, int(left[i - 1]), bool(left[i - 1] < 0)
         while stack and stack[-1][0] > now:
             join(stack[-1], best, char, diverse)
-            length, best, char, diverse, later = stack.pop()
+            length, begin, best, char, diverse, later = stack.pop()
             if diverse:
-                for j in later:
-                    yield j, length
+                yield length, begin, i, later
         if now >= least:
             if stack and stack[-1][0] == now:
                 join(stack[-1], best, char, diverse)
             else:
-                stack.append([now, best, char, diverse, []])
+                stack.append([now, begin, best, char, diverse, []])
 
 
-def repeat_spans(contexts: list[bytes], bucket: np.ndarray, doc: np.ndarray, origin: np.ndarray, windows: np.ndarray, length: int = LENGTH):
-    """(doc, start, stop) of the repeats of ``length`` bytes or more in contexts of the same bucket, but the earliest.
+def repeat_groups_in(contexts: list[bytes], bucket: np.ndarray, doc: np.ndarray, origin: np.ndarray, windows: np.ndarray, length: int = LENGTH):
+    """(length, owners, places, later) of the maximal repeats of ``length`` bytes or more in contexts of one bucket.
 
     ``origin`` is each context's place in its document, ``windows`` how many
-    windows start in it.
+    windows start in it. A group lists all its occurrences, as the context each
+    is in and its place in that document; ``later`` are those of them, by number
+    in the group, that are to be removed at this length.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -343,9 +324,8 @@ def repeat_spans(contexts: list[bytes], bucket: np.ndarray, doc: np.ndarray, ori
         hashes[here] = _mix((prefix[s + length] - prefix[s]) * down[s]) ^ _mix(bucket[owner[here]].astype(np.uint64) + np.uint64(1))
     _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
     near = count[group] > 1
-    empty = np.zeros(0, np.int64)
     if not near.any():
-        return empty, empty, empty
+        return
     starts, owner, inner = starts[near], owner[near], inner[near]
     stops = base[owner] + sizes[owner]
     order, common = suffix_order(text, starts, stops, bucket[owner])
@@ -362,11 +342,16 @@ def repeat_spans(contexts: list[bytes], bucket: np.ndarray, doc: np.ndarray, ori
     place = origin[owner] + inner
     rank = np.empty(len(owner), np.int64)
     rank[np.lexsort((place, doc[owner]))] = np.arange(len(owner))
-    found = list(_losers(common, left, rank, length))
-    if not found:
-        return empty, empty, empty
-    at, size = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    return doc[owner[at]], place[at], place[at] + size
+    for length_, begin, end, later in maximal_repeats(common, left, rank, length):
+        yield length_, owner[begin:end], place[begin:end], np.array(later, np.int64) - begin
+
+
+def repeat_spans(contexts: list[bytes], bucket: np.ndarray, doc: np.ndarray, origin: np.ndarray, windows: np.ndarray, length: int = LENGTH):
+    """(doc, start, stop) of all occurrences of the repeats but the earliest."""
+    spans = [np.zeros((0, 3), np.int64)]
+    for size, owners, places, later in repeat_groups_in(contexts, bucket, doc, origin, windows, length):
+        spans.append(np.stack([doc[owners[later]], places[later], places[later] + size], axis=1))
+    return tuple(np.concatenate(spans).T)
 
 
 def _compare_contexts(batches: Iterator, length: int) -> Iterator:
@@ -437,6 +422,72 @@ def duplicate_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     return spans
 
 
+def _groups_of_contexts(batches: Iterator, length: int) -> Iterator:
+    """(anchor, number, length, run, offsets, inner) of the repeats in rows (anchor, run, doc_id, place, context) sorted by anchor."""
+    import pyarrow as pa
+
+    names = ["anchor", "number", "length", "run", "offsets", "inner"]
+
+    def settle(rows):
+        anchor, run, doc, place, contexts = (list(c) for c in zip(*rows, strict=True))
+        place, doc = np.array(place, np.int64), np.array(doc, np.int64)
+        position, lo, hi = place >> 14, place >> 7 & 127, place & 127
+        origin, out = position - lo, []
+        for number, (size, owners, places, _) in enumerate(repeat_groups_in(contexts, np.zeros(len(rows), np.int64), doc, origin, lo - hi + 1, length)):
+            out += [(anchor[0], number, size, run[o], int(place[o]) & 0x3FFF, int(p - origin[o])) for o, p in zip(owners.tolist(), places.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 6)], names=names)
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and held[-1][0] != row[0]:
+                yield settle(held)
+                held = []
+            held.append(row)
+    if held:
+        yield settle(held)
+
+
+def repeat_groups(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(group_id, length, doc_id, start): the repeats of ``df(doc_id, text)`` with all their occurrences.
+
+    The groups are those of every anchor's tree: a leaf with several rows (equal
+    runs), and the intervals above the leaves. Groups of neighbouring anchors
+    whose occurrences are the same but for a common shift are one repeat, and are
+    brought together; where a run of a repeat has more occurrences than the rest,
+    the repeat is given in pieces. Expanding copies costs a row for each
+    occurrence, which removal does not need; doc_ids must be unique.
+    """
+    rows = materialize(anchors(df, length, gram, combine=False).withColumn("offsets", F.col("place").bitwiseAND(F.lit(0x3FFF))), "anchors")
+    leaf = ["anchor", "run", "offsets"]
+    leaves = materialize(rows.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")), "leaves")
+    before, last = F.shiftright("offsets", 7), F.col("offsets").bitwiseAND(F.lit(127))
+    several = leaves.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+    wanted = leaves.join(several, "anchor").select("anchor", "run", "first.doc_id", "first.place", (before - last + length).alias("_size"))
+    at = F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(F.lit(127)) + 1
+    texts = df.select("doc_id", "text").filter(F.octet_length("text") >= length)
+    contexts = texts.join(wanted, "doc_id").select("anchor", "run", "doc_id", "place", F.substring(F.col("text").cast("binary"), at.cast("int"), F.col("_size").cast("int")).alias("context"))
+    schema = "anchor long, number long, length long, run long, offsets long, inner long"
+    found = materialize(contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _groups_of_contexts(b, length), schema), "intervals")
+    # a leaf that is an interval of its full length with others is no group of its own
+    whole = found.filter((F.col("inner") == 0) & (F.col("length") == before - last + length)).select(*leaf).distinct()
+    alone = leaves.filter("n > 1").join(whole, leaf, "left_anti").select(*leaf, F.lit(-1).cast("long").alias("number"), (before - last + length).cast("long").alias("length"), F.lit(0).cast("long").alias("inner"))
+    start = F.shiftright("place", 14) - before + F.col("inner")
+    member = found.unionByName(alone).join(rows, leaf).select(F.xxhash64("anchor", "number", F.when(F.col("number") < 0, F.struct("run", "offsets")), "length").alias("tile"), "length", "doc_id", start.alias("start"))
+    member = materialize(member.distinct(), "tiles")
+    firsts = member.groupBy("tile", "length").agg(F.min(F.struct("doc_id", "start")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shifted = member.join(firsts, ["tile", "length"]).withColumn("_h", F.xxhash64("doc_id", F.col("start") - F.col("_f.start")))
+    tiles = shifted.groupBy("tile", "length").agg(F.first("_f").alias("_f"), F.first("_n").alias("_n"), F.bit_xor("_h").alias("_set"))
+    tiles = tiles.select("tile", "length", F.col("_f.doc_id").alias("_doc"), F.col("_f.start").alias("_start"), "_n", "_set")
+    same = Window.partitionBy("_doc", "_n", "_set").orderBy("_start", F.desc("length"), "tile")
+    reach = F.max(F.col("_start") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    # the next window of the repeat starts one byte after the last one so far
+    numbered = tiles.withColumn("_new", F.when(F.col("_start") + length <= reach + 1, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy("_doc", "_n", "_set", "_island").agg(F.min("_start").alias("_a"), F.max(F.col("_start") + F.col("length")).alias("_z"), F.min_by(F.struct("tile", "length"), F.struct("_start", -F.col("length"), "tile")).alias("_head"))
+    heads = islands.select(F.col("_head.tile").alias("tile"), F.col("_head.length").alias("length"), (F.col("_z") - F.col("_a")).alias("_whole"))
+    return member.join(heads, ["tile", "length"]).select(F.col("tile").alias("group_id"), F.col("_whole").alias("length"), "doc_id", "start")
+
+
 def remove_duplicates(df: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``df(doc_id, text)`` as doc_id, n_bytes, spans (merged, of bytes), kept (the remaining bytes)."""
     spans = duplicate_spans(df, length, gram, bucket_limit)

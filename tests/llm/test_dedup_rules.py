@@ -307,8 +307,34 @@ class TestSuffixDedup:
         stops = np.array([6] * 6 + [12] * 6 + [17] * 5)
         order, common = suffix_dedup.suffix_order(text, starts, stops, np.zeros(len(text), int))
         left = np.where(np.isin(order, [0, 6, 12]), -1, text[order - 1].astype(int))
-        found = {(n, tuple(sorted(order[a:b].tolist()))) for n, a, b in suffix_dedup.maximal_repeats(common, left, 3)}
-        assert found == {(4, (1, 7)), (3, (1, 7, 13)), (4, (6, 12))}
+        groups = list(suffix_dedup.maximal_repeats(common, left, order, 3))
+        assert {(n, tuple(sorted(order[a:b].tolist()))) for n, a, b, _ in groups} == {(4, (1, 7)), (3, (1, 7, 13)), (4, (6, 12))}
+        # the longer repeat decides 7, the shorter one around it only what is left
+        assert {(n, tuple(order[later].tolist())) for n, _, _, later in groups} == {(4, (7,)), (3, (13,)), (4, (12,))}
+
+    def test_groups_have_all_occurrences(self, documents):
+        """Every group's bytes are equal at all its places, these are all there are, and the removal is what the groups say."""
+        rng = random.Random(13)
+        passages = [prose(rng, n) for n in (40, 60, 25)]
+        rows = [(d, " ".join([prose(rng, 12), passages[d % 3], prose(rng, 9), passages[0][40:190] if d % 4 == 0 else "x", prose(rng, 5)]), "a") for d in range(24)]
+        rows += [(50, passages[1], "a"), (51, passages[1], "a"), (52, "q" * 140, "a"), (53, None, "a"), (54, "short", "a")]
+        text = {d: (t or "").encode() for d, t, _ in rows}
+        groups = {}
+        for r in suffix_dedup.repeat_groups(documents(rows)).collect():
+            groups.setdefault((r.group_id, r.length), set()).add((r.doc_id, r.start))
+        gone = {d: set() for d in text}
+        for (_, size), places in groups.items():
+            strings = {text[d][s : s + size] for d, s in places}
+            assert len(strings) == 1 and size >= 100 and len(places) > 1
+            (one,) = strings
+            assert len(one) == size and places == {(d, s) for d, t in text.items() for s in range(len(t) - size + 1) if t[s : s + size] == one}
+            for d, s in sorted(places)[1:]:
+                gone[d].update(range(s, s + size))
+        expected = brute_removal(rows)
+        assert {d: len(g) for d, g in gone.items()} == {d: e[1] for d, e in expected.items()}
+        # a whole copied passage is one group, however many anchors it has
+        assert any(size >= len(passages[1].encode()) and {d for d, _ in places} == {50, 51} | {d for d in range(24) if d % 3 == 1} for (_, size), places in groups.items())
+        assert suffix_dedup.repeat_groups(documents([(1, "nothing twice", "a")])).count() == 0
 
     def test_awkward(self, awkward, nothing):
         rows = suffix_dedup.digests(suffix_dedup.remove_duplicates(awkward)).collect()
