@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder; on one machine (tests) one of our own if none is set."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir()
     if configured:
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="quillon-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(f"file://{own}")
@@ -81,3 +83,22 @@ def with_slot(df: DataFrame, key: str, order: list[str], slot: str = "slot", pie
         .withColumn(slot, (F.col("_row") + F.col("_shift")).cast("long"))
         .drop("_piece", "_row", "_shift")
     )
+
+
+#: A key with so many rows, and at least one in a thousand of all, is hot.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``side``, a materialised table of one row for each key and the ``count`` of its rows.
+
+    Hot keys, a thousand at most, are broadcast, so that their rows stay where
+    they are; the rest meet by a shuffle.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) >= max(hot_rows, total // HOT_SHARE)
+    hot = side.filter(is_hot).drop(count)
+    if hot.isEmpty():
+        return rows.join(side.drop(count), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(~is_hot).drop(count), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, with_slot
+from quillon.llm.common import join_counted, materialize, with_slot
 
 SHARDS = 24
 #: Bytes that a shard spends on each document besides its text.
@@ -149,14 +149,15 @@ def shard(df: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Data
     spark = df.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = materialize(df.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_group")), "sharding")
-    groups = docs.groupBy("_group").agg(F.sum("size").alias("_bytes"))
+    groups = docs.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_count"))
     unit = F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin("_bytes")) - 12)).cast("long")
     groups = groups.withColumn("_class", (F.ceil(F.col("_bytes") / unit) * unit).cast("long"))
+    groups = materialize(groups, "groups")
     classes = [(r[0], r[1]) for r in groups.groupBy("_class").count().collect()]
     plan = [(s, r, r + n, b) for s, r, n, b in pack_classes(classes, shards)]
     # bounded by the number of classes (about 100,000) and bins, not by the data
     bins = spark.createDataFrame(plan, "_class long, _from long, _to long, shard int")
     ranked = with_slot(groups, "_class", ["_group"], "_rank")
-    placed = ranked.join(F.broadcast(bins), "_class").filter("_rank >= _from AND _rank < _to").select("_group", "shard")
-    rows = docs.join(placed, "_group").drop("_group")
+    placed = ranked.join(F.broadcast(bins), "_class").filter("_rank >= _from AND _rank < _to").select("_group", "shard", "_count")
+    rows = join_counted(docs, materialize(placed, "placed"), ["_group"], "_count").drop("_group")
     return with_slot(rows, "shard", ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

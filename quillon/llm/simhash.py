@@ -12,7 +12,9 @@ forest of its links, found by search from one fingerprint at a time. Lists of
 more than ``list_limit`` fingerprints are not searched but exactly rewritten:
 two fingerprints are within four bits if and only if some value is within two
 bits of both, so their members are linked through these midpoints by an
-aggregation, linear in the list.
+aggregation, linear in the list. A triple has 2^24 values, so of evenly spread
+fingerprints a list would need 10^11 to be that long; smaller tables have such
+lists only where fingerprints crowd together.
 
 Cases: null and empty texts have fingerprint zero and link like any other; equal
 texts meet in the fingerprint before the index; texts of any length are hashed
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_dedup
-from quillon.llm.common import materialize
+from quillon.llm.common import join_counted, materialize
 from quillon.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -186,11 +188,11 @@ def _links(nodes: DataFrame, fp: str, max_distance: int, list_limit: int) -> tup
 
 
 def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT, prints: int = 1) -> DataFrame:
-    """(fingerprints, component_id) of ``fps(doc_id, fp, ...)``: the least doc_id reachable over links of any of the fingerprints."""
+    """(fingerprints, component_id, _count) of ``fps(doc_id, fp, ...)``: the least doc_id reachable over links of any of the fingerprints, and their rows."""
     if max_distance not in (2, 4):
         raise ValueError("the index is exact for distances 2 and 4")
     names = _names(prints)
-    nodes = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_count")), "nodes")
     named, edges = nodes.filter("node IS NOT NULL"), None
     for fp in names:
         links, distinct = _links(named, fp, max_distance, list_limit)
@@ -199,14 +201,14 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE, list_limit
             links = links.union(same)
         edges = links if edges is None else edges.union(links)
     roots = components(edges).withColumnRenamed("node", "_node")
-    return nodes.join(roots, nodes.node == roots["_node"], "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return nodes.join(roots, nodes.node == roots["_node"], "left").select(*names, F.coalesce("component", "node").alias("component_id"), "_count")
 
 
 def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, list_limit: int = LIST_LIMIT, prints: int = 1) -> DataFrame:
     """``df(doc_id, text)`` as doc_id, fingerprint (the first, hex), component_id."""
     fps = materialize(fingerprints(df, shingle_words, prints), "simhash")
-    named = link_components(fps, max_distance, list_limit, prints)
-    return fps.join(named, _names(prints)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(link_components(fps, max_distance, list_limit, prints), "components")
+    return join_counted(fps, named, _names(prints), "_count").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, shingle_words: int = jaccard_dedup.SHINGLE_WORDS) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import common, components, jaccard_dedup, line_spread, queries, robust_outliers, simhash, suffix_dedup
@@ -191,6 +192,15 @@ class TestSimHash:
         kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
         assert all(3 * g in kept and 3 * g + 2 in kept for g in range(25)) and sum(3 * g + 1 in kept for g in range(25)) <= 2
 
+    def test_hot_keys_are_joined_like_others(self, spark):
+        rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)], "k string, i long")
+        side = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+        plain = sorted(map(tuple, rows.join(side.drop("n"), "k").collect()))
+        for hot_rows in (10, 1000):
+            joined = common.join_counted(rows, side, ["k"], "n", hot_rows)
+            assert sorted(map(tuple, joined.collect())) == plain and joined.columns == ["k", "i", "most"]
+        assert common.join_counted(rows.filter("i < 0"), side.filter("n < 0"), ["k"], "n").count() == 0
+
     def test_long_chain_is_one_component(self, spark):
         edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
         assert {r.component for r in components.components(edges).collect()} == {0}
