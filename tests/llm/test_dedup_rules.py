@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import common, components, jaccard_dedup, line_spread, queries, robust_outliers, simhash, suffix_dedup
+from quillon.llm import common, components, jaccard_dedup, line_spread, mixing, queries, robust_outliers, simhash, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -352,7 +354,120 @@ class TestSuffixDedup:
         assert suffix_dedup.remove_duplicates(nothing).count() == 0
 
 
+def brute_quality(rows):
+    """The rows that the quality rules keep, from texts, with numpy; one language, every source large enough to be a group."""
+    stats = []
+    for _, text, _ in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {i + k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(8)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        n, g = max(1, len(w)), robust_outliers.GRAIN
+        vector = [np.log(max(1, sum(map(len, w))) / n), np.log1p(10 * sum(c in "#*$%&|<>" for c in text) / n), len(covered) / n, np.log1p(len(lines) - len(set(lines)))]
+        stats.append(([round(g * v) for v in vector], len(w) < 20 or 100 * len(covered) > 30 * len(w)))
+    floors = np.diag((np.array(robust_outliers.FLOORS) * robust_outliers.GRAIN) ** 2)
+    distance = lambda x, mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floors), x - mean)
+    kept = []
+    for source in {r[2] for r in rows}:
+        mine = [i for i, r in enumerate(rows) if r[2] == source]
+        x, failed = np.array([stats[i][0] for i in mine], float), np.array([stats[i][1] for i in mine])
+        fit = x[~failed]
+        assert len(fit) >= robust_outliers.MIN_GROUP
+
+        def steps(mean, cov, n, fit=fit):
+            for _ in range(n):
+                bins = np.floor(np.log1p(distance(fit, mean, cov)) * robust_outliers.BIN_GRAIN)
+                core = fit[bins <= np.sort(bins)[int(np.ceil(robust_outliers.CORE * len(fit))) - 1]]
+                mean, cov = core.mean(axis=0), np.cov(core.T, bias=True)
+            return mean, cov
+
+        starts = [(np.array([np.sort(c)[(len(c) - 1) // q] for c in fit.T]), np.zeros((4, 4))) for q in (2, 4)] + [(fit.mean(axis=0), np.cov(fit.T, bias=True))]
+        tried = [steps(*s, robust_outliers.FIRST_STEPS) for s in starts]
+        mean, cov = steps(*min(tried, key=lambda e: np.linalg.det(e[1] + floors)), robust_outliers.MAX_STEPS - robust_outliers.FIRST_STEPS)
+        d2 = distance(x, mean, cov * robust_outliers.CONSISTENCY)
+        kept += [mine[i] for i in range(len(mine)) if not failed[i] and d2[i] <= robust_outliers.CUT]
+    return [rows[i] for i in sorted(kept)]
+
+
+def brute_lines(rows):
+    sites, first = {}, {}
+    bare = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    for d, t, s in sorted(rows):
+        for i, line in enumerate(t.split("\n")):
+            if bare(line):
+                sites.setdefault(bare(line), set()).add(s)
+                first.setdefault(bare(line), (d, i))
+    stays = lambda d, i, x: not bare(x) or len(sites[bare(x)]) < line_spread.MIN_SITES or first[bare(x)] == (d, i)
+    return [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if stays(d, i, x)), s) for d, t, s in rows]
+
+
+def brute_mix(rows):
+    """The rows as often as the mix takes them."""
+    size = lambda t: len(WORD.findall(t))
+    sources = sorted({s for _, _, s in rows})
+    have = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    target, open_, left = {}, list(sources), float(sum(have.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > mixing.MAX_EPOCHS * have[s]]
+        for s in full or open_:
+            target[s] = mixing.MAX_EPOCHS * have[s] if full else left * weight[s] / total
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in full] if full else []
+    out = []
+    for s in sources:
+        mine = sorted((hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest(), d, t) for d, t, x in rows if x == s)
+        whole = int(min(mixing.MAX_EPOCHS, target[s] // have[s]))
+        missing = target[s] - whole * have[s]
+        for _, d, t in mine:
+            extra = missing > 0 and size(t) <= 2 * missing
+            missing -= size(t)
+            out += [(d, t, s)] * (whole + extra if size(t) else 1)
+    return out
+
+
 class TestPipeline:
+    def rows(self):
+        rng = random.Random(7)
+        rows = [(d, prose(rng, rng.randint(40, 120)) + "\nAll rights reserved.", f"s{d % 9}") for d in range(630)]
+        rows += [(1000 + i, rows[5][1], "s1") for i in range(10)] + [(1100, "too short", "s1"), (1101, None, "s2"), (1102, "", "s2"), (1103, "word " * 200, "s3")]
+        rows += [(1200 + i, "\n".join("# $$ | &&" for _ in range(60)) + prose(rng, 30), "s4") for i in range(3)]
+        for i in range(20):  # near copies at several similarities
+            w = rows[20 + i][1].split("\n")[0].split()
+            for k in rng.sample(range(len(w)), 1 + i // 6):
+                w[k] = "changed"
+            rows.append((1300 + i, " ".join(w), f"s{i % 9}"))
+        return rows
+
+    def test_stages_against_brute_force(self, spark, tmp_path):
+        """Each stage's rows, from what the one before kept, against a plain version; and the packed ids of whole texts."""
+        rows = self.rows()
+        schema = "doc_id long, text string, lang string, source string, n_chars long"
+        spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        plain = lambda out: sorted((r.doc_id, r.text, r.source) for r in out.collect())
+
+        def near(kept):
+            least, _ = groups_by_all_pairs([r[:2] for r in kept])
+            return [r for r in kept if least[r[0]] == r[0]]
+
+        for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (brute_quality, brute_lines, near, brute_mix), strict=True):
+            before, df = rows, common.materialize(stage(spark, df, str(tmp_path)), name)
+            rows = sorted(brute(rows))
+            assert plain(df) == rows and all(r.n_chars == len(r.text) for r in df.collect()), name
+            assert rows != sorted(before, key=repr), name  # every stage did something
+        library, pieces = Tokenizer.from_file(queries.vocabulary()), {}
+        for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+            pieces.setdefault(r.doc_id, Counter())[r.start, r.length, r.ids_crc32] += 1
+        copies = Counter((d, t) for d, t, _ in rows)
+        assert set(pieces) == {d for d, _ in copies}
+        for (d, t), n in copies.items():
+            ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+            assert sum(length * k for (_, length, _), k in pieces[d].items()) == n * len(ids)
+            assert all(zlib.crc32(ids[a : a + length].tobytes()) == crc for a, length, crc in pieces[d])
+
     def test_stages(self, spark, tmp_path):
         rng = random.Random(7)
         rows = [(d, prose(rng, rng.randint(40, 120)) + "\nAll rights reserved.", f"s{d % 10}") for d in range(120)]
@@ -375,6 +490,19 @@ class TestPipeline:
         packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert {r.doc_id for r in packed} == set(mixed)
 
+    def test_awkward(self, spark, tmp_path, awkward, nothing):
+        """Null ids, repeated rows, clashing column names and an empty table go through all stages."""
+        columns = awkward.columns
+        long = awkward.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" " + " ".join(f"w{i} of" for i in range(40)))))
+        for df, rows in ((long, 9), (nothing, 0)):
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                df = common.materialize(stage(spark, df, str(tmp_path)), "awkward")
+                assert df.columns == columns
+            if rows:
+                assert None in {r.doc_id for r in df.collect()}
+            assert (df.count() > 0) == bool(rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == 0
+
     def test_registered(self):
         names = queries.queries()
         assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
