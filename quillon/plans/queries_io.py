@@ -62,6 +62,25 @@ def jsonl_ledger(spark, sf_dir):
     return rows.groupBy((F.col("_corrupt").isNull() & F.col("event_id").isNotNull()).alias("whole")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_LINES_SQL + " SELECT CASE kind WHEN 'good' THEN 'object' ELSE 'number' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM l WHERE kind IN ('good', 'number') GROUP BY 1")
+def jsonl_values(spark, sf_dir):
+    """Lines that are any JSON, objects or not."""
+    v = F.col("value")
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    ident = F.coalesce(F.try_variant_get(v, "$.event_id", "long"), F.try_variant_get(v, "$", "long"))
+    rows = records.scan_values(spark, _lines(spark, sf_dir))
+    return rows.groupBy(F.when(is_object, "object").otherwise("number").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(ident).alias("ids"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS sample_index, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS iteration_index, o_orderkey FROM orders")
+def sequential_outputs(spark, sf_dir):
+    """Outputs in JSON lines that are checked to be sequential while they are read."""
+    path = _folder(spark, "sequence")
+    placed = lookup.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "iteration_index")
+    sinks.append_jsonl(placed.withColumn("sample_index", F.col("iteration_index") + 1), path)
+    return records.check_sequence(records.scan_jsonl(spark, path, "sample_index long, iteration_index long, o_orderkey long"))
+
+
 @query(_LINES_SQL + " SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS line_no, 'json_decode_error' AS reason FROM l QUALIFY kind IN ('cut', 'number')")
 def corruption_ledger(spark, sf_dir):
     return records.corruption_ledger(spark, _lines(spark, sf_dir, one_file=True))
@@ -180,6 +199,14 @@ def sample_report(spark, sf_dir):
 # ---- lists, details and searches --------------------------------------------------
 
 
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS flag FROM events""")
+def environment_flags(spark, sf_dir):
+    """Switches as environments hold them: unset, true words, and anything else."""
+    e = F.col("event_id") % 4
+    return table(spark, sf_dir, "events").select("event_id", labels.truthy(F.when(e == 0, " Yes").when(e == 1, "off").when(e == 2, F.col("event_type"))).alias("flag"))
+
+
 @query("""
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'own ' || url ELSE 'two' END AS first_line, CAST(2 AS INTEGER) AS n FROM pages""")
 def bullet_lines(spark, sf_dir):

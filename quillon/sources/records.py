@@ -49,6 +49,11 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str = OUTPUT, mode: str =
     return reader.option("mode", "DROPMALFORMED").json(path)
 
 
+def scan_values(spark: SparkSession, path: str) -> DataFrame:
+    """(value VARIANT) of all JSON lines, objects or not; lines that are no JSON, and blank ones, go."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("value")).filter("value IS NOT NULL")
+
+
 def corruption_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, reason) of lines that hold no JSON object; blank lines are none.
 
@@ -66,9 +71,12 @@ def corruption_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_sequence(outputs: DataFrame) -> DataFrame:
-    """``outputs`` unchanged; reading a row whose sample_index is not iteration_index + 1 raises."""
-    fits = F.col("sample_index") == F.col("iteration_index") + 1
-    return outputs.filter(F.coalesce(fits, F.lit(False)) | F.raise_error(F.lit("outputs are not sequential")).cast("boolean"))
+    """``outputs`` unchanged; reading a row raises if iteration_index does not count 0, 1, 2 ... or sample_index is not one more."""
+    from quillon.operators.lookup import numbered
+
+    placed = numbered(outputs, "iteration_index", "_place")
+    fits = (F.col("iteration_index") == F.col("_place")) & (F.col("sample_index") == F.col("iteration_index") + 1)
+    return placed.filter(F.coalesce(fits, F.lit(False)) | F.raise_error(F.lit("outputs are not sequential")).cast("boolean")).select(*outputs.columns)
 
 
 def scan_images(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
