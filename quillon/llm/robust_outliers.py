@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import SPACE, fresh_name, materialize, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 20, 30, 8
-CORE, FIRST_STEPS, MAX_STEPS, MIN_GROUP = 0.75, 2, 12, 50
+CORE, FIRST_STEPS, ROUND_STEPS, MAX_STEPS, MIN_GROUP = 0.75, 2, 3, 11, 50
 #: CORE over the share of chi-squared (6 degrees) below the CORE quantile of chi-squared (4): makes the core's covariance that of all.
 CONSISTENCY = 1.485
 #: Squared Mahalanobis distance beyond which a document is rejected; the 0.99999 quantile of chi-squared with 4 degrees is 28.5.
@@ -58,7 +58,7 @@ _FACTORS = [f"m{i}" for i in _P] + [f"l{i}{j}" for i, j in _PAIRS]
 def base_statistics(text: Column) -> list[tuple[str, Column]]:
     """Columns of one selection, in which later ones name earlier ones; names with _ are intermediate."""
     whole = F.coalesce(text, F.lit(""))
-    visible = F.filter(F.split(whole, "\n"), lambda line: line.rlike(rf"[^{SPACE}]"))
+    visible = F.filter(F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
     # a window's hash is that of its four word pairs
     pairs = F.zip_with("_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.xxhash64(a, b))
     start = F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW_WORDS - 1))
@@ -139,15 +139,15 @@ def _sums() -> list[Column]:
 
 
 def _step(fit: DataFrame, state: DataFrame, small: _Small) -> DataFrame:
-    """A concentration step: the moments and factors of the CORE share nearest to those of ``state``, for each group and start."""
+    """A concentration step: the moments and factors of the CORE share nearest to those of ``state``, for each group and start; _was is the determinant before."""
     keys = ("_group", "_start")
-    rows = _distance(fit.join(small(state.select(*keys, *_FACTORS)), "_group"))
-    binned = rows.groupBy(*keys, F.floor(F.log1p("d2") * BIN_GRAIN).alias("_bin")).agg(*_sums())
+    rows = _distance(fit.join(small(state.select(*keys, *_FACTORS, F.col("det").alias("_was"))), "_group"))
+    binned = rows.groupBy(*keys, F.floor(F.log1p("d2") * BIN_GRAIN).alias("_bin")).agg(*_sums(), F.max("_was").alias("_was"))
     before = f"coalesce(sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before"
     cumulated = binned.selectExpr("*", before, f"sum(n) OVER (PARTITION BY {', '.join(keys)}) AS _all")
     sums = ["n", *[f"s{i}" for i in _P], *[f"s{i}{j}" for i, j in _PAIRS]]
-    core = cumulated.filter(f"_before < ceil({CORE}D * _all)").groupBy(*keys).agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
-    return _factored(_moments(core, keys), keys)
+    core = cumulated.filter(f"_before < ceil({CORE}D * _all)").groupBy(*keys).agg(*[F.expr(f"sum({c}) AS {c}") for c in sums], F.max("_was").alias("_was"))
+    return _factored(_moments(core, (*keys, "_was")), (*keys, "_was"))
 
 
 def _starts(fit: DataFrame) -> DataFrame:
@@ -194,13 +194,10 @@ def estimate(stats: DataFrame) -> tuple[DataFrame, DataFrame, _Small]:
     small = _Small(groups)
     vectors = _grouped(stats.filter("NOT base_failed").select("lang", "source", *_vector()), groups, small)
     fit = materialize(vectors.filter("_group IS NOT NULL").groupBy("_group", *DIMENSIONS).agg(F.count(F.lit(1)).alias("n")), "vectors")
-    tried = reduce(lambda state, _: _step(fit, state, small), range(FIRST_STEPS), materialize(_starts(fit), "starts"))
-    state, steps = materialize(_least(tried), "mcd"), FIRST_STEPS
-    while steps < MAX_STEPS:
-        before, steps = state.select("_group", F.col("det").alias("_was")), steps + 2
-        state = materialize(_step(fit, _step(fit, state, small), small), "mcd")  # two steps in one job
-        if state.join(small(before), "_group").filter(F.abs(F.col("det") - F.col("_was")) > 1e-12 * F.col("det")).isEmpty():
-            break
+    steps = lambda state, n: reduce(lambda at, _: _step(fit, at, small), range(n), state)
+    state, done = materialize(_least(steps(_starts(fit), FIRST_STEPS)), "mcd"), FIRST_STEPS
+    while done < MAX_STEPS and not state.filter(F.abs(F.col("det") - F.col("_was")) > 1e-12 * F.col("det")).isEmpty():
+        state, done = materialize(steps(state, ROUND_STEPS), "mcd"), done + ROUND_STEPS  # a few steps in one job
     best = state.select("_group", *_MOMENTS)
     return groups, materialize(_factored(best, ("_group",), CONSISTENCY).select("_group", *_FACTORS), "mcd"), small
 
