@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_spread, mixing, packing, progressive_jpeg, quality_model, robust_outliers, sharding, simhash, suffix_dedup, url_filter
+from quillon.llm import fill_middle, line_spread, minhash, mixing, packing, periodic_runs, progressive_jpeg, quality_model, robust_outliers, sharding, simhash, suffix_dedup, url_filter
 from quillon.llm.common import table
 
 
@@ -60,10 +60,22 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.repeat_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_robust_outliers": robust_outliers.oracle_sql(), "op7_suffix_intervals": suffix_dedup.oracle_sql(), "op4_line_spread": line_spread.oracle_sql(), "op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql()}
+    return {"op2_robust_outliers": robust_outliers.oracle_sql(), "op7_suffix_intervals": suffix_dedup.oracle_sql(), "op4_line_spread": line_spread.oracle_sql(), "op6_mix_water_filling": mixing.oracle_sql(), "op10_url_vocabulary": url_filter.oracle_sql(), "op11_periodic_runs": periodic_runs.oracle_sql(), "op12_fill_middle": fill_middle.oracle_sql()}
