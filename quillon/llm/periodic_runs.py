@@ -32,7 +32,8 @@ MIN_EXPONENT, MIN_WORDS = 4, 6
 #: Comparisons of one range of lags, a tenth of a second.
 CELLS = 1 << 26
 #: Comparisons that are held at once, a byte each.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 18
+_WIDTH = 8
 RUNS = "array<struct<start:long,length:long,period:long>>"
 
 
@@ -50,10 +51,17 @@ def lag_runs(ids: np.ndarray, low: int, high: int, min_exponent: int = MIN_EXPON
     each = max(1, _BLOCK // max(n, 1))
     for first in range(low, high, each):
         same = (shifted[first : min(first + each, high)] == ids).ravel()  # a row for each lag; its last place is never equal
+        # shorter stretches than any lag here asks for go first: what stays are places that begin ``width`` equal ones
+        width, least = 1, max(min_words - min(first + each, high) + 1, (min_exponent - 1) * first)
+        while 2 * width <= min(least, _WIDTH):
+            same = same[:-width] & same[width:]
+            width *= 2
+        if not same.any():
+            continue
         edges = np.flatnonzero(same[1:] != same[:-1]) + 1
         if same[0]:
             edges = np.concatenate([[0], edges])
-        starts, ends = edges[::2], edges[1::2]
+        starts, ends = edges[::2], edges[1::2] + width - 1
         lag = first + starts // n
         length = ends - starts + lag
         good = length >= np.maximum(min_words, min_exponent * lag)
