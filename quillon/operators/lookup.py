@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import numbered
+
 
 def candidate_join(left: DataFrame, right: DataFrame, left_id: str, left_keys: Column, right_keys: Column, right_order: str, value: Column) -> DataFrame:
     """``left`` with ``match``: the right row under the first of the left row's keys that is known.
@@ -76,18 +78,26 @@ def merge_details(existing: Column, details: Column) -> Column:
 def dedup_eval(df: DataFrame, key: str, order: str, evaluate: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None) -> DataFrame:
     """Evaluates an expensive function once for each key, and fans its result out.
 
-    ``evaluate`` maps the representatives (the first row of each key by
-    ``order``) to a frame with ``key`` and result columns; keys in ``cache``
-    (same columns) are not evaluated. Adds ``cache_hit`` and ``duplicate``.
+    ``evaluate`` maps the representatives (of each key the first row by ``order``,
+    of equal ones any) to a frame with ``key`` and result columns; keys in
+    ``cache`` (same columns, a row for each key) are not evaluated. A null key is a
+    key like any other. Adds ``cache_hit`` and ``duplicate``.
     """
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    representatives = df.join(first, (df[key] == first[key]) & (df[order] == first["_first"])).select(df["*"]).dropDuplicates([key])
+    rest = [c for c in df.columns if c not in (key, order)]
+    # one aggregation gives a key's first place and its whole row; ties in the order fall to the least row
+    first = df.groupBy(key).agg(F.min(order).alias("_first"), F.min_by(F.struct(*rest), order).alias("_row") if rest else F.lit(None).alias("_row"))
     if cache is not None:
-        results = evaluate(representatives.join(cache.select(key), key, "left_anti")).withColumn("cache_hit", F.lit(False))
-        results = results.unionByName(cache.withColumn("cache_hit", F.lit(True)))
+        known = cache.withColumn("_known", F.lit(True)).withColumnRenamed(key, "_key")
+        met = first.join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
+        fresh = met.filter("_known IS NULL")
     else:
-        results = evaluate(representatives).withColumn("cache_hit", F.lit(False))
-    out = df.join(results, key).join(first, key)
+        fresh = first
+    representatives = fresh.select(*[F.col(c) if c == key else F.col("_first").alias(c) if c == order else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    results = evaluate(representatives).withColumn("cache_hit", F.lit(False))
+    if cache is not None:
+        results = results.unionByName(cache.withColumn("cache_hit", F.lit(True)))
+    results = results.join(first.select(F.col(key).alias("_key"), "_first"), F.col(key).eqNullSafe(F.col("_key"))).drop(key)
+    out = df.join(results, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     return out.withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
 
 
@@ -116,26 +126,8 @@ def remaining(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return all_rows.join(done.select(key), key, "left_anti")
 
 
-def numbered(df: DataFrame, order: str, place: str, ranges: int = 64) -> DataFrame:
-    """Adds each row's place from 0 in the order of ``order``, a number.
-
-    Rows are dealt to ``ranges`` ranges between the least and the greatest value;
-    each range is numbered alone and shifted by the sizes of those before it, so
-    no task sees all rows.
-    """
-    ends = df.agg(F.min(order).cast("double").alias("_a"), F.max(order).cast("double").alias("_b"))  # one row
-    share = F.coalesce(F.try_divide(F.col(order) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
-    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int")).drop("_a", "_b")
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    below = sizes.select(F.col("_range").alias("_r"), "_n").crossJoin(F.broadcast(sizes.select(F.col("_range").alias("_q"), F.col("_n").alias("_m"))))  # ranges squared
-    shifts = below.groupBy("_r").agg(F.coalesce(F.sum(F.when(F.col("_q") < F.col("_r"), F.col("_m"))), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_range").orderBy(order)
-    rows = dealt.withColumn("_row", F.row_number().over(within) - 1).join(F.broadcast(shifts), F.col("_range") == F.col("_r"))
-    return rows.withColumn(place, (F.col("_row") + F.col("_shift")).cast("long")).drop("_range", "_row", "_r", "_shift")
-
-
 def sequential_check(df: DataFrame, order: str, stored: str) -> DataFrame:
-    """Rows whose stored index is not their place in the order of a number."""
+    """Rows whose stored index is not their place in an order."""
     return numbered(df, order, "expected").filter(F.col(stored) != F.col("expected"))
 
 

@@ -96,7 +96,7 @@ def _model(args, config):
 
 def _samples(spark, args, config):
     """The run's samples in its order: sample_index counts from 1."""
-    from quillon.operators.lookup import numbered
+    from quillon.operators.ordered import numbered
     from quillon.operators.sampling import shuffled, stratified_order
     from quillon.sources import records
 

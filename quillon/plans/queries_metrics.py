@@ -302,7 +302,7 @@ def seconds_per_sample(spark, sf_dir):
 SELECT event_id, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events""")
 def rate_window_audit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return usage.rate_audit(rows, "user_id", "ts", 6 * 3600).drop("ts")
+    return usage.rate_audit(rows, "user_id", "ts", "event_id", 6 * 3600).drop("ts")
 
 
 @query("""

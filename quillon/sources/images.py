@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.lookup import numbered
+from quillon.operators.ordered import numbered
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by PNG colour type: grey, RGB, palette, grey with alpha, RGB with alpha.

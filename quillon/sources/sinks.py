@@ -59,6 +59,34 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return spark.read.text(path, wholetext=True).first()[0] if fs.exists(place) else None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file(spark, path)
+    return fs.exists(place)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    fs, place = _file(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def replace_part(df: DataFrame, path: str, name: str) -> None:
+    """``df`` as JSON files in the folder ``path`` whose names begin with ``name``, instead of those that do so far.
+
+    They are written aside, in a folder that readers pass over, and moved in by renaming.
+    """
+    spark, aside = df.sparkSession, f"{path}/_{name}"
+    df.write.mode("overwrite").json(aside)
+    fs, folder = _file(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for old in fs.globStatus(at(folder, f"{name}-*")) or []:
+        fs.delete(old.getPath(), False)
+    for part in file_names(spark, aside):
+        if part.startswith("part-"):
+            fs.rename(at(f"{aside}/{part}"), at(folder, f"{name}-{part}"))
+    fs.delete(at(aside), True)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object for each row; fields that are null are left out."""
     df.write.mode("append").option("ignoreNullFields", "true").json(path)

@@ -1,9 +1,12 @@
 """Resumable, append-only processing with Structured Streaming.
 
-A run is a file-source stream into a JSON sink with one checkpoint folder. Each
+A run is a file-source stream into JSON files with one checkpoint folder. Each
 start takes what is new (availableNow) in micro-batches of a bounded number of
-files; the sink commits a batch once, so a restart neither loses nor repeats
-rows. A small JSON document beside it guards identity and settings.
+files. A batch's output bears its number: a batch that is repeated after a failure
+replaces what it wrote, so a restart neither loses nor repeats rows. After its
+output a batch notes its rows in and out, and both totals, in a manifest of its
+own; progress and status follow from the manifests, and old output is not read.
+A small JSON document beside them guards identity and settings.
 """
 
 from __future__ import annotations
@@ -12,16 +15,24 @@ import json
 import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.sources import sinks
 
 #: Statuses that a run goes through.
 STATUSES = ("initializing", "resuming", "ready", "running", "completed", "up_to_date", "no_samples", "no_samples_processed")
-#: How many micro-batches' progress a query keeps; rows are counted from it.
-_PROGRESS_KEPT = 1_000_000
+
+
+class Progress(NamedTuple):
+    """Rows that one start read and wrote, and those of all starts so far."""
+
+    read: int
+    written: int
+    all_read: int
+    all_written: int
 
 
 class RunState:
@@ -63,38 +74,63 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHECKPOINT).option("multiLine", "true").json(path)
 
 
-def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100, fmt: str = "json", glob: str = "*") -> int:
-    """Runs ``transform`` over files of the folder ``source`` that no earlier start has seen; returns the number of input rows."""
-    kept = "spark.sql.streaming.numRecentProgressUpdates"
-    before = spark.conf.get(kept)
-    spark.conf.set(kept, str(_PROGRESS_KEPT))
-    try:
-        stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).load(source)
-        stream = stream.observe("read", F.count(F.lit(1)).alias("rows"))  # a filter that is pushed into the scan would hide rows from numInputRows
-        query = transform(stream).writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-        metrics = [p.observedMetrics.get("read") for p in query.recentProgress]
-    finally:
-        spark.conf.set(kept, before)
-    return sum(m["rows"] for m in metrics if m is not None)
+def _manifest(checkpoint: str, batch: int) -> str:
+    return f"{checkpoint}.batches/{batch:012d}.json"
+
+
+def totals(spark: SparkSession, checkpoint: str, upto: int | None = None) -> tuple[int, int]:
+    """Rows read and written by all batches, or by those up to ``upto``; each manifest has the totals so far, so one is read."""
+    if upto is None:
+        names = sinks.file_names(spark, f"{checkpoint}.batches")
+        upto = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=-1)
+    known = json.loads(sinks.read_text(spark, _manifest(checkpoint, upto)) or "{}") if upto >= 0 else {}
+    return known.get("all_read", 0), known.get("all_written", 0)
+
+
+def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100, fmt: str = "json", glob: str = "*") -> Progress:
+    """Runs ``transform`` over files of the folder ``source`` that no earlier start has seen.
+
+    ``transform`` gets a micro-batch as a table. Its rows become JSON files in the
+    folder ``sink``, named after the batch.
+    """
+    own: dict[int, tuple[int, int]] = {}
+
+    def take(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        read, written = Observation(), Observation()
+        rows = transform(batch.observe(read, F.count(F.lit(1)).alias("rows"))).observe(written, F.count(F.lit(1)).alias("rows"))
+        sinks.replace_part(rows, sink, f"batch-{number:012d}")
+        n = (read.get.get("rows", 0), written.get.get("rows", 0))
+        before = totals(here, checkpoint, number - 1)
+        sinks.write_text(here, _manifest(checkpoint, number), json.dumps({"batch": number, "read": n[0], "written": n[1], "all_read": before[0] + n[0], "all_written": before[1] + n[1]}))
+        own[number] = n
+
+    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).load(source)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return Progress(sum(n for n, _ in own.values()), sum(n for _, n in own.values()), *totals(spark, checkpoint))
 
 
 def sink_rows(spark: SparkSession, sink: str) -> int:
     """How many rows an output folder holds; 0 if it is not there yet."""
-    return spark.read.text(sink).count() if sinks._file(spark, sink)[0].exists(sinks._file(spark, sink)[1]) else 0
+    return spark.read.text(sink).count() if sinks.exists(spark, sink) else 0
 
 
 def run(spark: SparkSession, run_id: str, fingerprint: str, source: str, schema: str, transform, sink: str, folder: str, files_per_batch: int = 100, **options) -> str:
-    """One start of a run; returns its status."""
-    state = RunState(spark, f"{folder}/{run_id}.json")
+    """One start of a run; returns its status.
+
+    The document notes the samples that were taken in, ``processed_count`` and
+    ``next_index``, and apart from them the rows that came out, ``written_count``.
+    """
+    state, checkpoint = RunState(spark, f"{folder}/{run_id}.json"), f"{folder}/{run_id}.checkpoint"
     size = state.open(run_id, fingerprint, sink, files_per_batch)
-    done = state.reconcile(sink_rows(spark, sink))
-    state.save("ready", next_index=done)
-    state.save("running")
-    n = process_new(spark, source, schema, transform, sink, f"{folder}/{run_id}.checkpoint", files_per_batch=size, **options)
-    wrote = sink_rows(spark, sink)
-    status = ("completed" if wrote > done else "no_samples_processed") if n else "up_to_date" if done else "no_samples"
-    state.save(status, processed_count=done + n if wrote == done else max(done, wrote), next_index=max(done, wrote))
+    note = lambda status, read, written: state.save(status, processed_count=read, next_index=read, written_count=written)
+    before = totals(spark, checkpoint)
+    note("ready", *before)
+    note("running", *before)
+    done = process_new(spark, source, schema, transform, sink, checkpoint, files_per_batch=size, **options)
+    status = "completed" if done.written else "no_samples_processed" if done.read else "up_to_date" if done.all_read else "no_samples"
+    note(status, done.all_read, done.all_written)
     return status
 
 
@@ -126,7 +162,7 @@ def drained(results: DataFrame, start: int = 0) -> DataFrame:
 
     Adds ``processed``, the counter after the row, and ``emitted``.
     """
-    from quillon.operators.lookup import numbered
+    from quillon.operators.ordered import numbered
 
     placed = numbered(results, "sample_index", "_place")
     return placed.withColumn("processed", F.col("_place") + start + 1).withColumn("emitted", F.col("error").isNull()).drop("_place")
@@ -141,19 +177,6 @@ def joined_streams(left: DataFrame, right: DataFrame, key: str, left_ts: str, ri
     return left.join(right, (F.col(key) == F.col("_key")) & near).drop("_key")
 
 
-def evaluate_with_cache(spark: SparkSession, jobs: DataFrame, key: str, order: str, evaluate, cache_path: str, cache_schema: str) -> DataFrame:
-    """``lookup.dedup_eval`` against a cache table that grows with every call."""
-    from quillon.operators.lookup import dedup_eval
-
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    cache = spark.read.schema(cache_schema).parquet(cache_path) if known else None
-    wanted = jobs.select(key).distinct() if cache is None else jobs.select(key).distinct().join(cache.select(key), key, "left_anti")
-    fresh = evaluate(jobs.join(wanted, key, "left_semi").groupBy(key).agg(F.min(order).alias(order)))
-    fresh.write.mode("append").parquet(cache_path)
-    return dedup_eval(jobs, key, order, lambda df: spark.createDataFrame([], cache_schema), spark.read.schema(cache_schema).parquet(cache_path))
-
-
 def windowed_counts(events: DataFrame, ts: str, key: str, window: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts by event-time window and key, on a stream or a table; ``late`` is how late a stream's rows may come."""
     if late:

@@ -135,24 +135,63 @@ def test_resume(spark, tmp_path):
     assert (state.run_id, state.processed_count, state.next_index, state.chunk_size, state.jsonl_path) == ("r", 15, 15, 100, sink)
 
 
-def test_resume_counts_all_batches(spark, tmp_path):
-    """More micro-batches than a query keeps progress of by default; the first start's chunk size wins."""
+def test_resume_counts_read_and_written_rows(spark, tmp_path):
+    """Three starts of ten rows each: some kept, none kept, some kept; the first start's chunk size wins."""
     source, sink, folder = (str(tmp_path / n) for n in ("in", "out", "state"))
-    spark.range(0, 8, 1, 8).write.json(source)
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    few, none = (lambda df: df.filter("id % 10 < 6")), (lambda df: df.filter("id < 0"))
+    start = lambda n, f: resume.run(spark, "r", "f", source, "id long", f, sink, folder, files_per_batch=n)
+    state = lambda: {k: resume.RunState(spark, f"{folder}/r.json").data[k] for k in ("processed_count", "next_index", "written_count", "chunk_size")}
+    for i, (f, status, written) in enumerate(((few, "completed", 6), (none, "no_samples_processed", 6), (few, "completed", 12))):
+        spark.range(10 * i, 10 * i + 10, 1, 4).write.mode("append").json(source)
+        assert start(1 + i, f) == status
+        assert state() == {"processed_count": 10 * (i + 1), "next_index": 10 * (i + 1), "written_count": written, "chunk_size": 1}
+    assert start(1, few) == "up_to_date" and state()["written_count"] == 12
+    assert sorted(r.id for r in spark.read.schema("id long").json(sink).collect()) == [i for i in range(30) if i % 10 < 6 and i // 10 != 1]
+    nothing = str(tmp_path / "empty")
+    (tmp_path / "empty").mkdir()
+    assert resume.run(spark, "e", "f", nothing, "id long", few, f"{sink}-e", folder) == "no_samples"
+
+
+def test_a_batch_that_fails_is_done_again(spark, tmp_path):
+    """A start that dies behind its output, before its manifest and commit: the next one replaces what it wrote."""
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "c"))
+    spark.range(0, 8, 1, 4).write.json(source)
+    go = lambda: resume.process_new(spark, source, "id long", lambda df: df, sink, checkpoint, files_per_batch=1)
+    write, seen = sinks.write_text, []
+
+    def dies(*args):
+        seen.append(args[1])
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        write(*args)
+
+    sinks.write_text = dies
     try:
-        start = lambda n, f=lambda df: df: resume.run(spark, "r", "f", source, "id long", f, sink, folder, files_per_batch=n)
-        assert start(1) == "completed"
-        state = resume.RunState(spark, f"{folder}/r.json")
-        assert state.data["processed_count"] == 8 and state.open("r", "f", sink, 50) == 1
-        spark.range(8, 10).write.mode("append").json(source)
-        assert start(7, lambda df: df.filter("id < 0")) == "no_samples_processed"
-        with pytest.warns(UserWarning, match="notes 10 rows"):
-            assert start(7) == "up_to_date"
-        state.save("running", processed_count=3)  # a start that ended before it noted what it wrote
-        assert resume.RunState(spark, f"{folder}/r.json").reconcile(resume.sink_rows(spark, sink)) == 8
+        with pytest.raises(Exception, match="lost"):
+            go()
     finally:
-        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        sinks.write_text = write
+    assert resume.totals(spark, checkpoint) == (4, 4)
+    assert go() == (4, 4, 8, 8)
+    assert sorted(r.id for r in spark.read.schema("id long").json(sink).collect()) == list(range(8))
+    assert go() == (0, 0, 8, 8)
+
+
+def test_a_transform_that_sees_no_input(spark, tmp_path):
+    """The optimiser may drop the input of a join with nothing."""
+    spark.range(5).write.json(str(tmp_path / "in"))
+    nothing = spark.createDataFrame([], "id long")
+    done = resume.process_new(spark, str(tmp_path / "in"), "id long", lambda df: df.join(nothing, "id"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert done.written == 0 and done.all_written == 0
+
+
+def test_checkpoint_of_a_run_by_hand(spark, tmp_path):
+    state = resume.RunState(spark, str(tmp_path / "r.json"))
+    state.open("r", "f", "sink", 5)
+    state.save("running", processed_count=3)
+    assert resume.RunState(spark, str(tmp_path / "r.json")).reconcile(8) == 8
+    with pytest.warns(UserWarning, match="notes 3 rows"):
+        assert resume.RunState(spark, str(tmp_path / "r.json")).reconcile(2) == 3
 
 
 def test_resume_point(spark):
@@ -177,20 +216,6 @@ def test_streams_join(spark, tmp_path):
     assert len(expected) > 5 and sorted(map(tuple, spark.table("pairs").collect())) == sorted(map(tuple, expected))
 
 
-def test_cache_grows(spark, tmp_path):
-    asked = []
-
-    def evaluate(df):
-        asked.append(sorted(r.key for r in df.collect()))
-        return df.select("key", F.upper("key").alias("value"))
-
-    for keys in ("aab", "abc"):
-        jobs = spark.createDataFrame(list(enumerate(keys)), "n long, key string")
-        out = resume.evaluate_with_cache(spark, jobs, "key", "n", evaluate, str(tmp_path / "cache"), "key string, value string")
-        assert sorted(r.value for r in out.collect()) == sorted(keys.upper())
-    assert asked == [["a", "b"], ["c"]]
-
-
 def test_stream_windows_equal_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, "k%d" % (i % 2), i * 600) for i in range(30)], "i long, k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     events.write.parquet(str(tmp_path / "e"))
