@@ -75,15 +75,16 @@ def merge_details(existing: Column, details: Column) -> Column:
     return F.when(details.isNull(), existing).otherwise(F.map_concat(details, F.coalesce(extra, F.create_map().cast("map<string,string>"))))
 
 
-def dedup_eval(df: DataFrame, key: str, order: str, evaluate: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None) -> DataFrame:
+def dedup_eval(df: DataFrame, key: str, order: str, evaluate: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None, needed: list[str] | None = None) -> DataFrame:
     """Evaluates an expensive function once for each key, and fans its result out.
 
     ``evaluate`` maps the representatives (of each key the first row by ``order``,
     of equal ones any) to a frame with ``key`` and result columns; keys in
     ``cache`` (same columns, a row for each key) are not evaluated. A null key is a
-    key like any other. Adds ``cache_hit`` and ``duplicate``.
+    key like any other. ``needed`` names the further columns that ``evaluate``
+    uses (all by default); others are not moved. Adds ``cache_hit`` and ``duplicate``.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
+    rest = [c for c in (df.columns if needed is None else needed) if c not in (key, order)]
     # one aggregation gives a key's first place and its whole row; ties in the order fall to the least row
     first = df.groupBy(key).agg(F.min(order).alias("_first"), F.min_by(F.struct(*rest), order).alias("_row") if rest else F.lit(None).alias("_row"))
     if cache is not None:
@@ -92,7 +93,7 @@ def dedup_eval(df: DataFrame, key: str, order: str, evaluate: Callable[[DataFram
         fresh = met.filter("_known IS NULL")
     else:
         fresh = first
-    representatives = fresh.select(*[F.col(c) if c == key else F.col("_first").alias(c) if c == order else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    representatives = fresh.select(*[F.col(c) if c == key else F.col("_first").alias(c) if c == order else F.col(f"_row.{c}").alias(c) for c in [key, order, *rest]])
     results = evaluate(representatives).withColumn("cache_hit", F.lit(False))
     if cache is not None:
         results = results.unionByName(cache.withColumn("cache_hit", F.lit(True)))

@@ -107,9 +107,18 @@ def with_knowledge(samples: DataFrame, factory, site: str, most: int = 3, keep=w
     return samples.join(told, F.col("headline").eqNullSafe(F.col("_headline")), "left").drop("_headline")
 
 
-def run_baseline(samples: DataFrame, factory, keep=written) -> DataFrame:
+def with_images(samples: DataFrame, images: DataFrame) -> DataFrame:
+    """``samples(image_path, ...)`` with ``image_url`` from ``images(image_path, image_url)``, a row for each path; null where there is none."""
+    shown = images.select(F.col("image_path").alias("_path"), "image_url")
+    return samples.join(shown, F.col("image_path") == F.col("_path"), "left").drop("_path")
+
+
+def run_baseline(samples: DataFrame, factory, keep=written, images: DataFrame | None = None) -> DataFrame:
     """``samples(sample_index, headline[, knowledge])`` with three stage verdicts and the cascade's judgement.
 
+    With ``images(image_path, image_url)`` the stages about the image show it;
+    samples then have ``image_path``.
+
     A stage that objects decides, so later stages are asked only about what is
     left: the plan splits after each stage instead of asking all of them. ``keep``
     holds a stage's answers, so that no branch asks again; where answers are
@@ -121,8 +130,9 @@ def run_baseline(samples: DataFrame, factory, keep=written) -> DataFrame:
     passed = {k: F.struct(F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence")) for k in _STAGE_PROMPTS}
     for kind, objection in (("text", "REFUTES"), ("image", "REFUTES"), ("cross", "MISMATCH")):
         prompt = messages.fill(_STAGE_PROMPTS[kind], headline=F.col("headline"), knowledge=knowledge)
-        asked = ask_model(left.withColumn("_user", prompt), factory, "You check claims.", "_user", "_s").withColumn(kind, labels.stage_verdict(F.coalesce("_s_raw", F.lit("")), kind))
-        asked = keep(asked.drop("_user", "_s_raw", "_s_prompt", "_s_completion", "_s_error", "_s_logprobs"))
+        seen = with_images(left, images) if images is not None and kind != "text" else left
+        asked = ask_model(seen.withColumn("_user", prompt), factory, "You check claims.", "_user", "_s", "image_url" if seen is not left else None).withColumn(kind, labels.stage_verdict(F.coalesce("_s_raw", F.lit("")), kind))
+        asked = keep(asked.drop("image_url", "_user", "_s_raw", "_s_prompt", "_s_completion", "_s_error", "_s_logprobs"))
         stopped = asked.filter(F.col(f"{kind}.verdict") == objection)
         for later in list(_STAGE_PROMPTS)[list(_STAGE_PROMPTS).index(kind) + 1 :]:
             stopped = stopped.withColumn(later, passed[later])
@@ -151,12 +161,16 @@ def _items(raw: Column) -> Column:
     return F.coalesce(jsonx.strings(jsonx.extract_array(raw)), text.bullet_lines(raw))
 
 
-def _answers(asked: DataFrame, config: RunConfig, factory, search: DataFrame | None, keep) -> DataFrame:
+def _answers(asked: DataFrame, config: RunConfig, factory, search, keep) -> DataFrame:
     """(sample, pos, question, answer struct, tokens) of ``asked(sample, chain, pos, question)``: equal questions of all samples are answered once."""
 
     def evaluate(distinct: DataFrame) -> DataFrame:
         none = F.array().cast(_SOURCES)
-        with_sources = distinct.select("question").join(search, "question", "left") if search is not None else distinct.select("question").withColumn("sources", none)
+        with_sources = distinct.select("question")
+        if callable(search):
+            with_sources = keep(search_web(with_sources, search, "question", "sources", max_results=config.answer_max_sources).drop("sources_error"))
+        else:
+            with_sources = with_sources.join(search, "question", "left") if search is not None else with_sources.withColumn("sources", none)
         with_sources = with_sources.withColumn("_user", messages.answer_prompt(F.col("question"), F.coalesce("sources", none), config.answer_max_sources))
         found = ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a")
         return keep(found.select("question", F.when(F.col("_a_error").isNull(), answer(F.col("_a_raw"))).alias("found"), "_a_prompt", "_a_completion"))
@@ -166,9 +180,12 @@ def _answers(asked: DataFrame, config: RunConfig, factory, search: DataFrame | N
     return answered.select("sample", "pos", "question", "found", paid("_a_prompt"), paid("_a_completion"))
 
 
-def chains(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=written, choose: bool = True) -> DataFrame:
+def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=written, choose: bool = True) -> DataFrame:
     """``samples(sample, headline)`` with what the question chains found: asked, answered, best, _prompt and _completion.
 
+    ``search`` gives the answers' sources: a table (question, sources), or a factory
+    of a search client, which is asked once for each new question.
+
     Chains follow each other: a chain's prompt lists all earlier questions, the
     follow-ups that were proposed, and the last answers. Each chain is a few
     stages over all samples, whose outcome is written before the next. With
@@ -290,22 +307,42 @@ def judge(stages: DataFrame, factory, keep=written) -> DataFrame:
     return judged.drop("_user", *[f"_j_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
 
 
-def run_offline(samples: DataFrame, config: RunConfig, factory=None, search: DataFrame | None = None, keep=written, image_url: str | None = None) -> DataFrame:
+def signals(samples: DataFrame, name: str, prompt: str, parse, factory, keep=written, image_url: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """``samples`` with ``name``, what the model says about headline and image, and its cost added to _prompt and _completion.
+
+    Equal pairs of headline and image are asked once; the first sample pays. The
+    image is in the column ``image_url``, or in ``images(image_path, image_url)``,
+    which is joined to the different pairs only.
+    """
+    pair = F.struct(F.coalesce("headline", F.lit("")).alias("headline"), F.col("image_path").alias("image"))
+
+    def evaluate(distinct: DataFrame) -> DataFrame:
+        shown, column = (with_images(distinct, images), "image_url") if images is not None else (distinct, image_url)
+        found = ask_model(shown.withColumn("_user", F.col("_pair.headline")), factory, prompt, "_user", "_r", column)
+        return keep(found.select("_pair", parse(F.when(F.col("_r_error").isNull(), F.col("_r_raw"))).alias(name), "_r_prompt", "_r_completion"))
+
+    needed = ["image_path"] + ([image_url] if image_url and images is None else [])
+    out = lookup.dedup_eval(samples.withColumn("_pair", pair), "_pair", "sample_index", evaluate, needed=needed)
+    paid = lambda c: F.when(F.col("duplicate"), 0).otherwise(F.col(f"_r{c}")) + F.col(c)
+    return out.withColumns({c: paid(c) for c in ("_prompt", "_completion")}).drop("_pair", "_r_prompt", "_r_completion", "cache_hit", "duplicate")
+
+
+def run_offline(samples: DataFrame, config: RunConfig, factory=None, search=None, keep=written, image_url: str | None = None, images: DataFrame | None = None) -> DataFrame:
     """Output records of ``samples(sample_index, image_path, headline, ...)`` through the stages that ``config`` switches on.
 
     With ``factory`` a model client gives the signals, asks, answers and judges;
     without one signals are missing, there are no questions, and rules judge.
-    ``image_url`` names the column that holds what the client is shown; a
-    sample's index must be its own.
+    ``image_url`` names the column that holds what the client is shown, or
+    ``images(image_path, image_url)`` is a table of it; ``search`` is as in
+    ``chains``. A sample's index must be its own.
     """
     modules, out = config.modules, samples.withColumns({"_prompt": F.lit(0).cast("long"), "_completion": F.lit(0).cast("long")})
     for name, prompt, parse in (("relevancy", _RELEVANCY_PROMPT, relevancy), ("visual_veracity", _VERACITY_PROMPT, veracity)):
         if factory and modules[name]:
-            out = ask_model(out.withColumn("_user", F.coalesce("headline", F.lit(""))), factory, prompt, "_user", "_r", image_url)
-            out = out.withColumns({name: parse(F.when(F.col("_r_error").isNull(), F.col("_r_raw"))), "_prompt": F.col("_prompt") + F.col("_r_prompt"), "_completion": F.col("_completion") + F.col("_r_completion")})
-            out = out.drop("_user", *[f"_r_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
+            out = signals(out, name, prompt, parse, factory, keep, image_url, images)
         else:
             out = out.withColumn(name, parse(F.lit(None).cast("string")))
+    out = out.drop(image_url) if image_url else out
     if factory and modules["questions"]:
         out = keep(out)
         found = chains(out.select(F.col("sample_index").alias("sample"), F.coalesce("headline", F.lit("")).alias("headline")), config, factory, search, keep)

@@ -94,6 +94,31 @@ def _model(args, config):
     return lambda: LimitedClient(model_client(config.provider, config.base_url, key, config.model, **options), Limiter(**limits))
 
 
+def _search(args, config):
+    """The factory of the search client that the arguments name; None without one."""
+    import os
+
+    from quillon.sources.clients import EchoSearch, LimitedClient, Limiter, WebSearch
+
+    if args.echo:
+        return EchoSearch
+    if not args.search_url:
+        return None
+    token = os.environ.get("QUILLON_SEARCH_KEY", "")
+    return lambda: LimitedClient(WebSearch(args.search_url, token), Limiter(config.search_interval, config.search_jitter))
+
+
+def _images(spark, samples, root: str | None):
+    """(image_path, image_url) of the samples' images below a folder; None without one."""
+    from quillon.sources import records
+
+    if not root:
+        return None
+    files = records.scan_images(spark, root)
+    found, _ = records.existing(samples.select("dataset_index", "image_path").dropDuplicates(["image_path"]), files, root)
+    return found.join(files, "path").select("image_path", F.col("data_url").alias("image_url"))
+
+
 def _samples(spark, args, config):
     """The run's samples in its order: sample_index counts from 1."""
     from quillon.operators.ordered import numbered
@@ -135,30 +160,39 @@ def _pipeline(args) -> None:
         state.save("up_to_date" if total else "no_samples", processed_count=done, next_index=done)
         return
     state.save("running", next_index=done)
-    for start in range(done, total, size):
-        chunk = samples.filter((F.col("sample_index") > start) & (F.col("sample_index") <= start + size))
-        sinks.append_jsonl(run_offline(chunk, config, _model(args, config)), args.save_jsonl)
-        done = min(total, start + size)
+    each = size * spark.sparkContext.defaultParallelism  # the more tasks, the more samples between two notes
+    for start in range(done, total, each):
+        chunk = samples.filter((F.col("sample_index") > start) & (F.col("sample_index") <= start + each))
+        out = run_offline(chunk, config, _model(args, config), _search(args, config), images=_images(spark, chunk, args.image_root))
+        sinks.append_jsonl(out, args.save_jsonl)
+        done = min(total, start + each)
         state.save("running", processed_count=done, next_index=done)
     state.save("completed", processed_count=done, next_index=done)
 
 
 def _baseline(args) -> None:
-    """The three-stage baseline; what the output holds already is checked to be the first samples, and not asked again."""
+    """The three-stage baseline with the model and search that are given; what the output holds already is checked to be the first samples, and not asked again."""
+    from dataclasses import replace
+
     from quillon.plans.claims import run_baseline, with_knowledge
     from quillon.sources import records, sinks
-    from quillon.sources.clients import EchoModel, EchoSearch
+    from quillon.sources.config import RunConfig
     from quillon.streaming import resume
 
-    spark = session()
+    spark, config = session(), RunConfig.from_env()
+    config = replace(config, **{k: v for k, v in {"provider": args.provider, "model": args.model, "base_url": args.base_url}.items() if v is not None})
+    model, search = _model(args, config), _search(args, config)
+    if model is None:
+        raise SystemExit("give --base-url and --model of a model, or --echo")
     data = records.project_records(records.scan_dataset(spark, args.dataset_json))
     samples = data.select((F.col("dataset_index") + 1).alias("sample_index"), "image_path", F.col("text").alias("headline"))
     done = resume.check_resume(records.scan_jsonl(spark, args.save_jsonl), samples) if resume.sink_rows(spark, args.save_jsonl) else 0
     left = samples.filter(F.col("sample_index") > done)
-    if args.knowledge_site:
-        left = with_knowledge(left, EchoSearch, args.knowledge_site)
+    if args.knowledge_site and search:
+        left = with_knowledge(left, search, args.knowledge_site)
     if not left.isEmpty():
-        sinks.append_jsonl(run_baseline(left, EchoModel), args.save_jsonl)
+        images = _images(spark, left.withColumn("dataset_index", F.col("sample_index") - 1), args.image_root)
+        sinks.append_jsonl(run_baseline(left, model, images=images), args.save_jsonl)
 
 
 def _backfill(args) -> None:
@@ -201,8 +235,8 @@ def main(argv: list[str] | None = None) -> None:
     command("repair", _repair, "outputs", "dataset-json", "image-root", flags=("dry-run",), needed=("outputs", "dataset-json"))
     command("report", _report, "outputs", "html", "samples-html", "title", "tokens-csv", needed=("outputs",))
     settings = ("max-samples", "provider", "model", "base-url", "key-variable", "run-id")
-    command("pipeline", _pipeline, "dataset-json", "image", "headline", "save-jsonl", *settings, flags=("echo", "resume", "no-questions", "no-judge"), needed=("save-jsonl",))
-    command("baseline", _baseline, "dataset-json", "save-jsonl", "knowledge-site", needed=("dataset-json", "save-jsonl"))
+    command("pipeline", _pipeline, "dataset-json", "image", "headline", "save-jsonl", "image-root", "search-url", *settings, flags=("echo", "resume", "no-questions", "no-judge"), needed=("save-jsonl",))
+    command("baseline", _baseline, "dataset-json", "save-jsonl", "knowledge-site", "image-root", "search-url", "provider", "model", "base-url", "key-variable", flags=("echo",), needed=("dataset-json", "save-jsonl"))
     command("backfill", _backfill, "results-dir", "dataset-json", "image-root", flags=("force", "skip-existing"), needed=("results-dir", "dataset-json", "image-root"))
     command("unpack", _unpack, "zip", "dest", needed=("zip", "dest"))
     args = parser.parse_args(argv)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import labels, text
 from quillon.operators import lookup
+from quillon.operators.ordered import numbered
 from quillon.operators.sampling import uniform
 from quillon.plans import claims
 from quillon.plans.queries_metrics import u_sql
@@ -26,14 +27,22 @@ def _folder(spark, name: str) -> str:
 # ---- datasets and JSON lines ---------------------------------------------------
 
 
-@query("""
-SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS dataset_index, url AS text, 'p' || CAST(page_id AS VARCHAR) AS image_path FROM pages""")
+#: Records of one JSON document.
+_DOCUMENT = 500
+
+
+@query(f"""
+SELECT CAST((row_number() OVER (ORDER BY page_id) - 1) % {_DOCUMENT} AS BIGINT) AS dataset_index, url AS text, 'p}}{{"' || CAST(page_id AS VARCHAR) AS image_path FROM pages""")
 def dataset_scan(spark, sf_dir):
-    """Pages as one JSON document of the kind that holds its records under a key, with elements between them that are no records."""
-    row = F.to_json(F.struct(F.col("url").alias("text"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("image_path")))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("page_id", row.alias("row")))), lambda r: r["row"])
+    """Pages as JSON documents of the kind that holds its records under a key, with elements between them that are no records; read by byte ranges."""
+    row = F.to_json(F.struct(F.col("url").alias("text"), F.concat(F.lit('p}{"'), F.col("page_id").cast("string")).alias("image_path"), F.struct(F.array(F.lit(1)).alias("b")).alias("a")))
+    placed = numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "place")
+    rows = placed.select(F.floor(F.col("place") / _DOCUMENT).alias("document"), (F.col("place") % _DOCUMENT + 1).alias("line"), F.concat(F.lit(', 7, [{"no": 1}], '), row).alias("value"))
+    documents = rows.select("document").distinct()
+    frame = lambda line, text: documents.select("document", F.lit(line).cast("long").alias("line"), F.lit(text).alias("value"))
+    lines = rows.unionByName(frame(0, '{"name": "pages", "tags": [1], "items": ["stray"')).unionByName(frame(_DOCUMENT + 1, '], "more": {"items": [{}]}}'))
     folder = _folder(spark, "dataset")
-    table(spark, sf_dir, "pages").agg(F.concat(F.lit('{"name": "pages", "items": ["stray", '), F.array_join(rows, ', 7, '), F.lit("]}")).alias("value")).coalesce(1).write.text(folder)
+    lines.repartition("document").sortWithinPartitions("document", "line").select("document", "value").write.partitionBy("document").text(folder)
     return records.project_records(records.scan_dataset(spark, folder)).select("dataset_index", "text", "image_path")
 
 
@@ -357,32 +366,63 @@ def model_judge(spark, sf_dir):
     return judged.select("sample_index", "judgement.label", F.col("judgement.confidence").alias("confidence"), "judgement.rationale", F.col("judgement.key_factors")[0].alias("factor"))
 
 
+_IMAGES = "SELECT 'i' || page_id % 7 || '.png' AS image_path, min('data:,' || md5(coalesce(html, ''))) AS url FROM pages WHERE page_id % 7 <> 3 GROUP BY 1"
+
+
+def _images(spark, sf_dir):
+    """Images of seven paths, one of them missing, whose content is made of whole pages."""
+    path = F.concat(F.lit("i"), (F.col("page_id") % 7).cast("string"), F.lit(".png"))
+    pages = table(spark, sf_dir, "pages").filter("page_id % 7 <> 3")
+    return pages.groupBy(path.alias("image_path")).agg(F.min(F.concat(F.lit("data:,"), F.md5(F.coalesce("html", F.lit(""))))).alias("image_url"))
+
+
+def _shown(system: str) -> str:
+    return _NUMBER.format(h=_DIGEST.format(system=system, user="headline || coalesce(chr(10) || url, '')"))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id + 1 AS sample_index, trim(coalesce(text, '')) AS headline, 'i' || doc_id % 7 || '.png' AS image_path FROM documents),
+n AS (SELECT s.*, {_shown(claims._RELEVANCY_PROMPT)} % 3 AS r, {_shown(claims._VERACITY_PROMPT)} % 3 AS v, sample_index = min(sample_index) OVER (PARTITION BY headline, s.image_path) AS first
+      FROM s LEFT JOIN ({_IMAGES}) i USING (image_path))
+SELECT sample_index, ['true', 'partial', 'false'][r + 1] AS aligned, [false, NULL, true][v + 1] AS ai_generated,
+       CAST(CASE WHEN first THEN 2 * len(list_filter(regexp_split_to_array(headline, '\\s+'), lambda w: w <> '')) ELSE 0 END AS BIGINT) AS prompt FROM n""")
+def image_signals(spark, sf_dir):
+    """Relevancy and veracity of all documents as headlines, each with an image that the model is shown; equal pairs are asked once, and the first pays."""
+    path = F.concat(F.lit("i"), (F.col("doc_id") % 7).cast("string"), F.lit(".png"))
+    samples = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("sample_index"), path.alias("image_path"), F.coalesce(F.trim("text"), F.lit("")).alias("headline"))
+    out = claims.run_offline(samples, RunConfig(disable_questions=True, disable_judge=True), EchoModel, images=_images(spark, sf_dir))
+    return out.select("sample_index", "relevancy.aligned", "visual_veracity.ai_generated", "token_usage.prompt")
+
+
 _BASELINE = {k: v.replace("{knowledge}", "") for k, v in claims._STAGE_PROMPTS.items()}
 
 
 def _stage_number(kind: str) -> str:
     before, after = _BASELINE[kind].split("{headline}")
-    return _NUMBER.format(h=_DIGEST.format(system="You check claims.", user=f"'{before}' || headline || '{after}'")) + " % 3"
+    shown = "" if kind == "text" else " || coalesce(chr(10) || url, '')"
+    return _NUMBER.format(h=_DIGEST.format(system="You check claims.", user=f"'{before}' || headline || '{after}'{shown}")) + " % 3"
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, trim(coalesce(text, '')) AS headline FROM documents),
+WITH h AS (SELECT doc_id, trim(coalesce(text, '')) AS headline, url FROM documents LEFT JOIN ({_IMAGES}) ON image_path = 'i' || doc_id % 7 || '.png'),
 n AS (SELECT doc_id, {_stage_number("text")} AS t, {_stage_number("image")} AS i, {_stage_number("cross")} AS c FROM h)
 SELECT doc_id AS sample_index, CASE WHEN t = 1 OR i = 1 OR c = 1 THEN 'Misinformation' ELSE 'Not Misinformation' END AS label,
        CASE WHEN t = 1 THEN 'textual_veracity_distortion' WHEN i = 1 THEN 'visual_veracity_distortion' WHEN c = 1 THEN 'mismatch' ELSE 'original' END AS fake_cls,
        CASE WHEN t = 1 THEN NULL WHEN i = 1 THEN 'REFUTES' ELSE 'SUPPORTS' END AS image_verdict FROM n""")
 def baseline_run(spark, sf_dir):
-    """The three-stage baseline over all documents' whole texts as headlines; a stage is asked only about what earlier ones let pass."""
-    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_index"), F.coalesce(F.trim("text"), F.lit("")).alias("headline"))
-    out = claims.run_baseline(samples, EchoModel)
+    """The three-stage baseline over all documents' whole texts as headlines; a stage is asked only about what earlier ones let pass, and those about the image are shown it."""
+    path = F.concat(F.lit("i"), (F.col("doc_id") % 7).cast("string"), F.lit(".png"))
+    samples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_index"), path.alias("image_path"), F.coalesce(F.trim("text"), F.lit("")).alias("headline"))
+    out = claims.run_baseline(samples, EchoModel, images=_images(spark, sf_dir))
     return out.select("sample_index", "judgement.label", "judgement.fake_cls", F.col("image.verdict").alias("image_verdict"))
 
 
 @query(None)
 def question_rounds(spark, sf_dir):
-    """Question chains over the first turns of all conversations: asked, answered, chosen, with follow-ups between them."""
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("sample"), F.col("text").alias("headline"))
-    state = claims.chains(first, RunConfig(), EchoModel)
+    """Question chains over all conversations, whole: asked, searched, answered, chosen, with follow-ups between them."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n")
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("headline")).withColumnRenamed("conv_id", "sample")  # the turns of one conversation
+    state = claims.chains(whole, RunConfig(), EchoModel, EchoSearch)
     return state.select(F.col("sample").alias("conv_id"), F.size("asked").alias("asked"), F.size("answered").alias("answered"), F.explode("best").alias("b"), (F.col("_prompt") + F.col("_completion")).alias("tokens")).select(
         "conv_id", "asked", "answered", "tokens", "b.chain", "b.question", "b.answer", "b.confidence"
     )
@@ -412,15 +452,24 @@ def slim_pairs(spark, sf_dir):
 # ---- resumption ----------------------------------------------------------------------
 
 
-@query("SELECT 'run' AS run_id, count(*) AS processed_count, count(*) AS next_index, CAST(7 AS BIGINT) AS chunk_size FROM orders")
+@query("""
+WITH o AS (SELECT o_orderkey % 3 AS part, o_orderkey FROM orders),
+n AS (SELECT p.i AS start, count(*) FILTER (WHERE part <= p.i) AS processed_count, count(*) FILTER (WHERE part <= p.i AND part <> 1 AND o_orderkey % 10 < 6) AS written_count FROM o, range(3) p(i) GROUP BY p.i)
+SELECT start, 'run' AS run_id, CASE start WHEN 1 THEN 'no_samples_processed' ELSE 'completed' END AS status, processed_count, processed_count AS next_index, written_count, CAST(7 AS BIGINT) AS chunk_size FROM n
+UNION ALL SELECT 3, 'run', 'up_to_date', processed_count, processed_count, written_count, 7 FROM n WHERE start = 2""")
 def checkpoint_state(spark, sf_dir):
-    """A run over all orders, started twice, as its document tells; the second start asks for another chunk size in vain."""
-    folder = _folder(spark, "state")
-    source = f"{folder}/in"
-    table(spark, sf_dir, "orders").select("o_orderkey").write.parquet(source)
-    for size in (7, 50):
-        resume.run(spark, "run", "settings", source, "o_orderkey long", lambda df: df, f"{folder}/out", folder, files_per_batch=size, fmt="parquet", glob="*.parquet")
-    return resume.read_state(spark, f"{folder}/run.json").select("run_id", "processed_count", "next_index", "chunk_size")
+    """A run over all orders that come in three parts, of the second of which no row is kept, and a start with nothing new; its document after each."""
+    folder, out = _folder(spark, "state"), None
+    source, orders = f"{folder}/in", table(spark, sf_dir, "orders").select("o_orderkey")
+    for start in range(4):
+        if start < 3:
+            orders.filter(F.col("o_orderkey") % 3 == start).write.mode("append").parquet(source)
+        keep = lambda df, wanted=start != 1: df.filter((F.col("o_orderkey") % 10 < 6) & F.lit(wanted))
+        resume.run(spark, "run", "settings", source, "o_orderkey long", keep, f"{folder}/out", folder, files_per_batch=7 + start, fmt="parquet", glob="*.parquet")
+        state = resume.read_state(spark, f"{folder}/run.json").select(F.lit(start).cast("long").alias("start"), "run_id", "status", "processed_count", "next_index", "written_count", "chunk_size")
+        state = sinks.written(state, "state")
+        out = state if out is None else out.unionByName(state)
+    return out
 
 
 @query("""

@@ -200,17 +200,18 @@ def ordered_distinct(spark, sf_dir):
 # ---- dedup-evaluation ---------------------------------------------------------
 
 _JOBS = """
-WITH j AS (SELECT event_id, props AS key, value FROM events),
+WITH j AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN props END AS key, value FROM events),
 f AS (SELECT key, min(event_id) AS first FROM j GROUP BY key),
 c AS (SELECT DISTINCT key FROM j WHERE key LIKE '%5}'),
-r AS (SELECT j.*, event_id <> first AS duplicate, c.key IS NOT NULL AS cache_hit, length(j.key) % 3 + 1 AS attempts, CAST(length(j.key) AS DOUBLE) AS duration_ms, j.key LIKE '%7}' AS failed
-      FROM j JOIN f USING (key) LEFT JOIN c ON c.key = j.key)"""
+r AS (SELECT j.event_id, j.key, j.value, event_id <> first AS duplicate, c.key IS NOT NULL AS cache_hit, length(coalesce(j.key, '')) % 3 + 1 AS attempts, CAST(length(coalesce(j.key, '')) AS DOUBLE) AS duration_ms, coalesce(j.key, '') LIKE '%7}' AS failed
+      FROM j JOIN f ON j.key IS NOT DISTINCT FROM f.key LEFT JOIN c ON c.key = j.key)"""
 
 
 def _jobs(spark, sf_dir):
-    """Events as jobs keyed by their properties; keys that end in 5 are in the cache."""
-    jobs = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("key"))
-    cost = lambda df: df.select("key", (F.length("key") % 3 + 1).alias("attempts"), F.length("key").cast("double").alias("duration_ms"), F.col("key").endswith("7}").alias("failed"))
+    """Events as jobs keyed by their properties, some without a key; keys that end in 5 are in the cache."""
+    jobs = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 17 != 0, F.col("props")).alias("key"))
+    text = F.coalesce("key", F.lit(""))
+    cost = lambda df: df.select("key", (F.length(text) % 3 + 1).alias("attempts"), F.length(text).cast("double").alias("duration_ms"), text.endswith("7}").alias("failed"))
     cache = cost(jobs.filter(F.col("key").endswith("5}")).select("key").distinct())
     return lookup.dedup_eval(jobs, "key", "event_id", cost, cache)
 

@@ -31,7 +31,24 @@ GROUP BY e.event_id, e.user_id""")
 def asof_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     signups = table(spark, sf_dir, "events").filter("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_signup"))
-    return relational.as_of_join(events, signups, "user_id", "ts", "ts", "last_signup").drop("ts")
+    return relational.as_of_join(events, signups, "user_id", "ts", "ts", "last_signup", "event_id").drop("ts")
+
+
+#: How long a customer's range is: up to 2048, a few of them a billion.
+_SPAN = "CASE WHEN c_custkey % 1000 = 0 THEN 1000000000 ELSE CAST(pow(2, c_custkey % 12) AS BIGINT) END"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderkey AS a, o_orderkey + CAST(pow(2, o_orderkey % 12) AS BIGINT) AS b FROM orders),
+c AS (SELECT c_custkey, c_custkey * 40 AS lo, c_custkey * 40 + {_SPAN} AS hi FROM customer)
+SELECT c_custkey, CAST(count(*) AS BIGINT) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o JOIN c ON a < hi AND lo < b GROUP BY c_custkey""")
+def interval_overlap(spark, sf_dir):
+    """Ranges from 1 to a billion long that overlap."""
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", o.alias("a"), (o + F.pow(F.lit(2), o % 12).cast("long")).alias("b"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (c * 40).alias("lo"), (c * 40 + F.when(c % 1000 == 0, 1_000_000_000).otherwise(F.pow(F.lit(2), c % 12).cast("long"))).alias("hi"))
+    pairs = relational.overlap_join(orders, customers, ("a", "b"), ("lo", "hi"), 16.0)
+    return pairs.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("SELECT p_partkey, CAST(b AS BIGINT) AS band FROM part JOIN (SELECT i AS b, 900 + i * 100.0 AS lo, 900 + i * 100.0 + 150 AS hi FROM range(12) t(i)) ON p_retailprice >= lo AND p_retailprice < hi")

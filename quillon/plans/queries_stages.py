@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.functions import labels, text
 from quillon.operators.sampling import uniform
@@ -14,7 +16,7 @@ from quillon.plans.registry import query, table
 from quillon.sources.clients import EchoModel
 from quillon.sources.config import RunConfig
 from quillon.sources.sinks import shared_folder
-from quillon.streaming import resume
+from quillon.streaming import resume, stateful
 
 _SIGNALS = f"""
 WITH s AS (
@@ -140,3 +142,36 @@ def stream_append_resume(spark, sf_dir):
     for _ in range(2):
         resume.process_new(spark, sf_dir, schema, keep, f"{folder}/out", f"{folder}/checkpoint", fmt="parquet", glob="events.parquet")
     return spark.read.schema("event_id long, event_type string, value double").json(f"{folder}/out")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type IN ('click', 'view') AS early FROM events),
+f AS (SELECT user_id, min(CASE WHEN early THEN event_id END) AS first_early, min(event_id) AS first FROM e GROUP BY user_id)
+SELECT event_id, user_id, CAST(user_id * 7 % 101 AS BIGINT) AS score, NOT early AND first_early IS NOT NULL AS cache_hit,
+       CASE WHEN early THEN event_id <> first_early ELSE first_early IS NULL AND event_id <> first END AS duplicate FROM e JOIN f USING (user_id)""")
+def stream_cache(spark, sf_dir):
+    """Events through a stream that keeps a result for each user: some kinds of events in a first start, the others in a second."""
+    folder, early = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", F.col("event_type").isin("click", "view")
+    events = table(spark, sf_dir, "events")
+    evaluate = lambda user: (user * 7 % 101,)
+    for part in (early, ~early):
+        events.filter(part).select("event_id", "user_id").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("event_id long, user_id long").parquet(f"{folder}/in")
+        kept = stateful.cached_evaluation(stream, "user_id", "event_id", evaluate, StructType([StructField("score", LongType())]))
+        stateful.run_to_end(kept, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("""
+SELECT 'r' || c_nationkey AS run, CAST(row_number() OVER w - 1 AS BIGINT) AS sample_index, c_custkey, CASE WHEN c_custkey % 10 = 3 THEN 'failed' END AS error, CAST(row_number() OVER w AS BIGINT) AS processed, c_custkey % 10 <> 3 AS emitted
+FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""")
+def stream_drain(spark, sf_dir):
+    """Results of many runs that come in any order, in two starts, and are taken in by their index."""
+    folder, key = f"{shared_folder(spark)}/drain-{uuid.uuid4().hex}", F.col("c_custkey")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    results = table(spark, sf_dir, "customer").select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("run"), place.cast("long").alias("sample_index"), "c_custkey", F.when(key % 10 == 3, "failed").alias("error"))
+    for part in (0, 1):
+        results.filter(F.pmod(F.xxhash64("c_custkey"), F.lit(2)) == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(results.schema).parquet(f"{folder}/in")
+        stateful.run_to_end(stateful.drained_stream(stream, "run"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")

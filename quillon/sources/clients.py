@@ -12,6 +12,7 @@ import hashlib
 import json
 import random
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections import deque
@@ -74,14 +75,14 @@ class Limiter:
         self.interval, self.jitter, self.per_minute, self.daily = max(interval, 60.0 / per_minute if per_minute else 0.0), jitter, per_minute, daily
         self.clock, self.sleep, self.random = clock, sleep, random.Random(seed)
         self.calls: deque[float] = deque()
-        self.ready, self.day, self.today = 0.0, None, 0
+        self.ready, self.day, self.today, self.closed = 0.0, None, 0, None
 
     def wait(self) -> float:
         """Seconds until the next call may start; raises where the day's quota is used up."""
         now = self.clock()
         if self.day != int(now // 86400):
             self.day, self.today = int(now // 86400), 0
-        if self.daily is not None and self.today >= self.daily:
+        if self.closed == self.day or (self.daily is not None and self.today >= self.daily):
             raise RuntimeError("the daily quota of calls is used up")
         while self.calls and self.calls[0] <= now - 60.0:
             self.calls.popleft()
@@ -109,12 +110,20 @@ class Limiter:
             self.per_minute = min(limit, self.per_minute or limit)
             self.interval = max(self.interval, 60.0 / self.per_minute)
         elif limit:
-            self.daily = self.today
+            self.closed = int(now // 86400)  # the next day has its quota again
         self.ready = max(self.ready, reset_ms / 1000.0 if reset_ms else now + (self.interval or 5.0))
 
 
+class Refused(RuntimeError):
+    """A server's answer that there were too many calls, with its limit and the end of the wait, if it tells them."""
+
+    def __init__(self, limit: int | None = None, reset_ms: int | None = None):
+        super().__init__("too many calls")
+        self.limit, self.reset_ms = limit, reset_ms
+
+
 class LimitedClient:
-    """Calls ``inner`` when ``limiter`` lets it; a failed call is given back."""
+    """Calls ``inner`` when ``limiter`` lets it. A call that fails is given back, but one that was refused counts, and the limiter heeds what the server says."""
 
     def __init__(self, inner, limiter: Limiter):
         self.inner, self.limiter = inner, limiter
@@ -126,6 +135,9 @@ class LimitedClient:
             self.limiter.acquire()
             try:
                 return call(*args, **kwargs)
+            except Refused as refused:
+                self.limiter.back_off(refused.limit, refused.reset_ms)
+                raise
             except Exception:
                 self.limiter.give_back()
                 raise
@@ -137,8 +149,14 @@ def http_json(url: str, headers: dict[str, str], body: dict | None = None, timeo
     """The JSON that a server answers with; POST if there is a body."""
     data = None if body is None else json.dumps(body).encode()
     request = urllib.request.Request(url, data, {"Content-Type": "application/json", "Accept": "application/json"} | headers)
-    with urllib.request.urlopen(request, timeout=timeout) as answer:
-        return json.loads(answer.read())
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.loads(answer.read())
+    except urllib.error.HTTPError as error:
+        if error.code != 429:
+            raise
+        told = [error.headers.get(f"X-RateLimit-{n}") for n in ("Limit", "Reset")]
+        raise Refused(*[int(v) if v and v.isdigit() else None for v in told]) from error
 
 
 class ChatClient:
@@ -237,10 +255,11 @@ _LABELS = ("Misinformation", "Not Misinformation", "Uncertain")
 
 
 class EchoModel:
-    """Offline stand-in: answers follow from the MD5 of what it is asked, in the form that the prompt wants."""
+    """Offline stand-in: answers follow from the MD5 of what it is asked and shown, in the form that the prompt wants."""
 
     def ask(self, system: str, user: str, image_url: str | None = None) -> tuple[str, int, int]:
-        h = hashlib.md5(f"{system}\n{user}".encode()).hexdigest()
+        shown = "" if image_url is None else f"\n{image_url}"
+        h = hashlib.md5(f"{system}\n{user}{shown}".encode()).hexdigest()
         n = int(h[:8], 16)
         if "JSON array of strings" in user:
             answer = json.dumps([f"{h[:6]} who?", f"{h[6:12]} when?", f"{h[12:18]} where?", f"{h[:6]} WHO?"])

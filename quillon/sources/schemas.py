@@ -26,5 +26,5 @@ judgement struct<label: string, confidence: double, logprob_confidence: double,
 
 CHECKPOINT = """
 run_id string, processed_count bigint, next_index bigint, chunk_size bigint, jsonl_path string, html_report_path string, created_at string,
-args_snapshot map<string, string>, args_fingerprint string
+args_snapshot map<string, string>, args_fingerprint string, status string, written_count bigint
 """

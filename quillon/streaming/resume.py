@@ -17,6 +17,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,14 @@ def totals(spark: SparkSession, checkpoint: str, upto: int | None = None) -> tup
     return known.get("all_read", 0), known.get("all_written", 0)
 
 
+def _observed(seen: Observation, rows: DataFrame) -> int:
+    """The number of rows that were seen; counted anew where the optimiser dropped them with what looked at them."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return rows.count()
+
+
 def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, files_per_batch: int = 100, fmt: str = "json", glob: str = "*") -> Progress:
     """Runs ``transform`` over files of the folder ``source`` that no earlier start has seen.
 
@@ -100,7 +109,7 @@ def process_new(spark: SparkSession, source: str, schema: str, transform: Callab
         read, written = Observation(), Observation()
         rows = transform(batch.observe(read, F.count(F.lit(1)).alias("rows"))).observe(written, F.count(F.lit(1)).alias("rows"))
         sinks.replace_part(rows, sink, f"batch-{number:012d}")
-        n = (read.get.get("rows", 0), written.get.get("rows", 0))
+        n = (_observed(read, batch), _observed(written, rows))
         before = totals(here, checkpoint, number - 1)
         sinks.write_text(here, _manifest(checkpoint, number), json.dumps({"batch": number, "read": n[0], "written": n[1], "all_read": before[0] + n[0], "all_written": before[1] + n[1]}))
         own[number] = n

@@ -79,15 +79,25 @@ class _Drain(StatefulProcessor):
         if rows:
             yield pd.DataFrame(rows, columns=[*self.names, "processed", "emitted"])
 
-    def _release(self) -> tuple[list, int]:
+    def _release(self, fresh: dict) -> tuple[list, int]:
+        """Rows that are due, of this batch or kept from earlier ones; the rest of the batch is kept."""
         import pickle
 
-        at, rows = self.next.get()[0], []
-        while self.early.containsKey((at,)):
-            row = pickle.loads(bytes.fromhex(self.early.getValue((at,))[0]))
-            self.early.removeKey((at,))
+        at, rows, failed = self.next.get()[0], [], self.names.index("error")
+        waiting = next(iter(self.early.keys()), None) is not None
+        while True:
+            if at in fresh:
+                row = fresh.pop(at)
+            elif waiting and self.early.containsKey((at,)):
+                row = pickle.loads(bytes.fromhex(self.early.getValue((at,))[0]))
+            else:
+                break
+            if waiting:
+                self.early.removeKey((at,))
             at += 1
-            rows.append((*row, at, row[self.names.index("error")] is None))
+            rows.append((*row, at, row[failed] is None))
+        for i, row in fresh.items():
+            self.early.updateValue((i,), (pickle.dumps(tuple(row)).hex(),))
         return rows, at
 
     def _watch(self, now: int) -> None:
@@ -98,20 +108,18 @@ class _Drain(StatefulProcessor):
             self.handle.registerTimer(now + self.wait_ms)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pickle
-
         import pandas as pd
 
         if not self.next.exists():
             self.next.update((0,))
-        at = self.next.get()[0]
+        at, fresh = self.next.get()[0], {}
         for batch in rows:
             clean = batch.astype(object).where(pd.notna(batch), None)
             for row in clean[self.names].itertuples(index=False, name=None):
                 i = int(row[self.names.index(self.index)])
                 if i >= at:
-                    self.early.updateValue((i,), (pickle.dumps(tuple(row)).hex(),))
-        found, upto = self._release()
+                    fresh[i] = row
+        found, upto = self._release(fresh)
         yield from self._released(found, upto)
         if self.wait_ms is not None and (found or not list(self.handle.listTimers())):
             self._watch(timerValues.getCurrentProcessingTimeInMs())
@@ -124,7 +132,7 @@ class _Drain(StatefulProcessor):
             value[self.run] = key[0]
             lost = [(*[value[n] for n in self.names], at + 1, False)]
             self.next.update((at + 1,))
-            found, upto = self._release()
+            found, upto = self._release({})
             yield from self._released(lost + found, upto)
             self._watch(timerValues.getCurrentProcessingTimeInMs())
 

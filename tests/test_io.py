@@ -334,8 +334,10 @@ def test_backfill_and_baseline_commands(spark, tmp_path):
     assert "judge_metrics" in report.read_text()
     out = str(tmp_path / "base")
     for _ in range(2):  # the second start finds nothing left
-        cli.main(["baseline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out])
+        cli.main(["baseline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out, "--echo"])
     assert spark.read.json(out).count() == 6
+    with pytest.raises(SystemExit):
+        cli.main(["baseline", "--dataset-json", str(tmp_path / "d.json"), "--save-jsonl", out])
 
 
 def _plain_pipeline(model, headline, config):
