@@ -72,6 +72,47 @@ def areas(df: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of a sketch; even, so that a threshold of one half is a bin's edge.
+SKETCH_BINS = 1000
+
+
+def score_sketch(df: DataFrame, bins: int = SKETCH_BINS, run: str = "run", score: str = "score", truth: str = "truth") -> DataFrame:
+    """(run, bin, p, n): positives and negatives in each of ``bins`` bins of scores in [0, 1]; rows without score or truth go.
+
+    Sketches merge by adding: those of a run's parts, appended to a table, are
+    that of the run, and a run has ``bins`` rows for each part at most.
+    """
+    known = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    binned = known.withColumn("bin", F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int"))
+    return score_counts(binned, run, "bin", truth).withColumnRenamed("score", "bin")
+
+
+def merged(sketches: DataFrame) -> DataFrame:
+    return sketches.groupBy("run", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
+def sketch_areas(sketches: DataFrame, bins: int = SKETCH_BINS) -> DataFrame:
+    """A row for each run of stored sketches: auroc, auroc_error, balanced_accuracy, n, positives; outputs are not read.
+
+    The order of a positive and a negative in one bin is not known; such pairs
+    count half, so the true area is at most ``auroc_error``, half their share of
+    all pairs, away. The balanced accuracy at one half is exact.
+    """
+    points = cumulated(merged(sketches).withColumn("score", F.col("bin") / F.lit(bins)).drop("bin"))
+    p, n = F.sum("p"), F.sum("n")
+    pairs = (p * n).cast("double")
+    both = (p > 0) & (n > 0)
+    wins = F.sum(F.col("p") * ((F.col("tot_n") - F.col("fp")) + F.col("n") / 2.0))
+    hits = F.sum(F.when(F.col("score") >= 0.5, F.col("p")).otherwise(0)) / p.cast("double") + F.sum(F.when(F.col("score") < 0.5, F.col("n")).otherwise(0)) / n.cast("double")
+    return points.groupBy("run").agg(
+        F.when(both, wins / pairs).otherwise(0.5).alias("auroc"),
+        F.when(both, F.sum(F.col("p") * F.col("n")) / 2.0 / pairs).otherwise(0.0).alias("auroc_error"),
+        F.when(both, hits / 2).alias("balanced_accuracy"),
+        (p + n).alias("n"),
+        p.alias("positives"),
+    )
+
+
 def latex_rows(table: DataFrame) -> DataFrame:
     """A table row for each run, as LaTeX."""
     return table.select("run", F.format_string("%s & %.4f & %.4f & %.4f \\\\", F.col("run").cast("string"), "balanced_accuracy", "auroc", "pr_auc").alias("row"))

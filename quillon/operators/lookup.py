@@ -10,16 +10,44 @@ from pyspark.sql import functions as F
 from quillon.operators.ordered import numbered
 
 
+#: Bits of a key in the filter, and words of 64 bits that are broadcast (about 40 bytes each) at most.
+BLOOM_BITS, BLOOM_WORDS = 16, 1 << 20
+
+
+def _bloom(key: str, words: int) -> tuple[Column, Column]:
+    """A key's word of the filter, and its three bits in it."""
+    h = F.xxhash64(key)
+    bit = lambda by: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}), {by}) & 63 as int))")
+    return F.pmod(h, F.lit(words)).alias("_word"), bit(32).bitwiseOR(bit(41)).bitwiseOR(bit(50)).alias("_bits")
+
+
+def maybe_known(probes: DataFrame, known: DataFrame, key: str, most_words: int = BLOOM_WORDS) -> DataFrame:
+    """``probes`` whose ``key`` may be among that of ``known``: all that are, and about one in a hundred of the others.
+
+    A blocked Bloom filter of the known keys is broadcast, so that probes without
+    a match are dropped where they are and not shuffled. Its size is checked: for
+    more keys than ``most_words`` words hold, the probes come back as they are.
+    """
+    n = known.agg(F.approx_count_distinct(key)).first()[0]
+    words = 1 << max(4, (max(1, n) * BLOOM_BITS // 64).bit_length())
+    if words > most_words:
+        return probes
+    found = known.select(*_bloom(key, words)).groupBy("_word").agg(F.bit_or("_bits").alias("_set"))
+    asked = probes.select("*", *_bloom(key, words)).join(F.broadcast(found), "_word")
+    return asked.filter(F.col("_bits").bitwiseAND(F.col("_set")) == F.col("_bits")).drop("_word", "_bits", "_set")
+
+
 def candidate_join(left: DataFrame, right: DataFrame, left_id: str, left_keys: Column, right_keys: Column, right_order: str, value: Column) -> DataFrame:
     """``left`` with ``match``: the right row under the first of the left row's keys that is known.
 
     Both sides list their spellings, best first. Of right rows under one key the
     last by ``right_order`` counts. ``match`` is null where no key is known.
+    Spellings that are unknown go before the shuffle.
     """
     spellings = right.select(F.explode(right_keys).alias("_key"), F.col(right_order).alias("_at"), value.alias("_value"))
     known = spellings.groupBy("_key").agg(F.max_by("_value", "_at").alias("_value"))
     probes = left.select(F.col(left_id).alias("_id"), F.posexplode(left_keys).alias("_pos", "_key"))
-    best = probes.join(known, "_key").groupBy("_id").agg(F.min_by("_value", "_pos").alias("match"))
+    best = maybe_known(probes, spellings, "_key").join(known, "_key").groupBy("_id").agg(F.min_by("_value", "_pos").alias("match"))
     return left.join(best, left[left_id] == best["_id"], "left").drop("_id")
 
 

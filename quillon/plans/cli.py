@@ -196,20 +196,21 @@ def _baseline(args) -> None:
 
 
 def _backfill(args) -> None:
-    from pathlib import Path
-
+    """Reports, JSON and HTML with the calibrations, for runs of a folder that have none yet, wherever Spark can read it."""
     from quillon.functions.jsonx import has_precision
     from quillon.plans.evaluation import evaluate
+    from quillon.sources import sinks
 
-    spark = session()
-    for run in sorted(Path(args.results_dir).glob("*.jsonl")):
-        report = run.with_suffix(".metrics.json")
-        if report.exists() and not args.force:
-            known = spark.createDataFrame([(report.read_text(encoding="utf-8"),)], "t string").select(has_precision(F.try_parse_json("t"))).first()[0]
+    spark, folder = session(), args.results_dir.rstrip("/")
+    for name in sorted(n for n in sinks.file_names(spark, folder) if n.endswith(".jsonl")):
+        stem = f"{folder}/{name.removesuffix('.jsonl')}"
+        report = sinks.read_text(spark, f"{stem}.metrics.json")
+        if report is not None and not args.force:
+            known = spark.createDataFrame([(report,)], "t string").select(has_precision(F.try_parse_json("t"))).first()[0]
             if known or args.skip_existing:
                 continue
-        evaluate(spark, str(run), args.dataset_json, args.image_root, report=str(report))
-        print(report)
+        evaluate(spark, f"{stem}.jsonl", args.dataset_json, args.image_root, report=f"{stem}.metrics.json", html=f"{stem}.metrics.html")
+        print(f"{stem}.metrics.json")
 
 
 def _unpack(args) -> None:

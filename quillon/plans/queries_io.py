@@ -366,6 +366,48 @@ def model_judge(spark, sf_dir):
     return judged.select("sample_index", "judgement.label", F.col("judgement.confidence").alias("confidence"), "judgement.rationale", F.col("judgement.key_factors")[0].alias("factor"))
 
 
+def _grey_jpeg(values: bytes) -> bytes:
+    """16 grey squares of 8 x 8 pixels as a sequential JPEG of 32 x 32; each differs from the one before by its first coefficient only."""
+    segment = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    bits, before = "", 128
+    for v in values:
+        size = abs(v - before).bit_length()
+        low = v - before if v > before else v - before + (1 << size) - 1
+        bits += format(size, "04b") + (format(low, f"0{size}b") if size else "") + "0"
+        before = v
+    bits += "1" * (-len(bits) % 8)
+    coded = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    codes = segment(0xC4, bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12)])) + segment(0xC4, bytes([0x10, 1, *[0] * 15, 0]))  # 12 sizes in four bits each; a block's end in one
+    frame = segment(0xC0, bytes([8, 0, 32, 0, 32, 1, 1, 0x11, 0]))
+    return b"\xff\xd8" + segment(0xDB, bytes([0, *[8] * 64])) + frame + codes + segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + coded + b"\xff\xd9"
+
+
+@query("""
+WITH h AS (SELECT page_id, md5(coalesce(html, '')) AS h FROM pages),
+v AS (SELECT page_id, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) AS v FROM h, range(16) t(i))
+SELECT page_id, CAST(sum(v) * 64 * 3 AS BIGINT) AS total, CAST(max(CASE WHEN i = 0 THEN v END) AS BIGINT) AS first, CAST(max(CASE WHEN i = 15 THEN v END) AS BIGINT) AS last FROM v GROUP BY page_id""")
+def jpeg_decode(spark, sf_dir):
+    """Digests of whole pages drawn as JPEG images, decoded to pixels."""
+    digests = table(spark, sf_dir, "pages").select("page_id", F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_grey_jpeg(d.as_py()) for d in batch.column(1)], pa.binary())], names=["page_id", "content"])
+
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pixels = [np.frombuffer(b.as_py(), np.uint8) for b in batch.column(1)]
+            found = [pa.array([int(f(p)) for p in pixels], pa.int64()) for f in (lambda p: p.sum(dtype=np.int64), lambda p: p[0], lambda p: p[-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["page_id", "total", "first", "last"])
+
+    drawn = images.with_rgb(digests.mapInArrow(draw, "page_id long, content binary"), "content")
+    return drawn.select("page_id", "rgb").mapInArrow(look, "page_id long, total long, first long, last long")
+
+
 _IMAGES = "SELECT 'i' || page_id % 7 || '.png' AS image_path, min('data:,' || md5(coalesce(html, ''))) AS url FROM pages WHERE page_id % 7 <> 3 GROUP BY 1"
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import labels
 from quillon.operators import calibration, curves, metrics, sampling, usage
 from quillon.plans.registry import query, table
+from quillon.sources import sinks
 
 
 def judged(spark, sf_dir: str) -> DataFrame:
@@ -176,6 +179,22 @@ def curves_by_run(spark, sf_dir):
     return curves.areas(scored(spark, sf_dir, F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string"))))
 
 
+@query(_points_sql("'run' || CAST(user_id % 3 AS VARCHAR)") + """
+, bins AS (SELECT run, least(CAST(floor(score * 1000) AS INTEGER), 999) AS bin, sum(p) AS p, sum(n) AS n FROM c GROUP BY ALL),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY run ORDER BY bin) - n AS below FROM bins)
+SELECT run, round(sum(p * (below + n / 2.0)) / CAST(sum(p) * sum(n) AS DOUBLE), 6) AS auroc, round(sum(p * n) / 2.0 / CAST(sum(p) * sum(n) AS DOUBLE), 6) AS auroc_error,
+       round((sum(CASE WHEN bin >= 500 THEN p ELSE 0 END) / CAST(sum(p) AS DOUBLE) + sum(CASE WHEN bin < 500 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE)) / 2, 6) AS balanced_accuracy,
+       CAST(sum(p) + sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives FROM sums GROUP BY run""")
+def sketch_curves(spark, sf_dir):
+    """Areas of runs from sketches that each part of the outputs has appended to one table."""
+    rows = scored(spark, sf_dir, F.concat(F.lit("run"), (F.col("user_id") % 3).cast("string")))
+    path = f"{sinks.shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        curves.score_sketch(rows.filter(F.pmod(F.xxhash64("score"), F.lit(2)) == part)).write.mode("append").parquet(path)
+    found = curves.sketch_areas(spark.read.parquet(path))
+    return found.select("run", "n", "positives", *[F.round(c, 6).alias(c) for c in ("auroc", "auroc_error", "balanced_accuracy")])
+
+
 @query(_points_sql("'run' || CAST(user_id % 3 AS VARCHAR)") + f"""
 SELECT run, printf('%s & %.4f & %.4f & %.4f %s', run, balanced_accuracy, auroc, pr_auc, chr(92) || chr(92)) AS row FROM ({_AREAS})""")
 def latex_rows(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Images of records: decoding to RGB, and numbered batches of records.
 
-PNG (8 bits a sample, not interlaced) and binary PPM are decoded in numpy;
-other formats need a decoder of the caller's own.
+PNG (8 bits a sample, not interlaced), sequential JPEG and binary PPM are decoded
+in numpy; other formats need a decoder of the caller's own.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ordered import numbered
+from quillon.sources.jpeg import decode_jpeg
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by PNG colour type: grey, RGB, palette, grey with alpha, RGB with alpha.
@@ -96,6 +97,8 @@ def decode_rgb(data: bytes) -> np.ndarray:
     try:
         if data.startswith(_SIGNATURE):
             return decode_png(data)
+        if data.startswith(b"\xff\xd8"):
+            return decode_jpeg(data)
         if data.startswith(b"P6"):
             return decode_ppm(data)
     except (struct.error, zlib.error, IndexError, TypeError) as e:

@@ -328,7 +328,7 @@ def test_backfill_and_baseline_commands(spark, tmp_path):
     arguments = ["backfill", "--results-dir", str(tmp_path / "runs"), "--dataset-json", str(tmp_path / "d.json"), "--image-root", "/data"]
     cli.main(arguments)
     report = tmp_path / "runs/run.metrics.json"
-    assert json.loads(report.read_text())["judge_by_class"]
+    assert json.loads(report.read_text())["judge_by_class"] and "calibration_bins" in (tmp_path / "runs/run.metrics.html").read_text()
     report.write_text('{"judge_metrics": {"metrics": {"precision": 1}}}')
     cli.main(arguments)
     assert "judge_metrics" in report.read_text()
@@ -475,3 +475,61 @@ def test_limiter():
     for _ in range(3):
         with pytest.raises(OSError):
             limited.ask()
+
+
+def test_quota_comes_back_the_next_day():
+    """A refusal closes the day, not the days after it."""
+    now = [86400.0 * 10]
+    limiter = clients.Limiter(daily=5, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+
+    class Server:
+        def __init__(self):
+            self.refuse = True
+
+        def ask(self):
+            if self.refuse:
+                raise clients.Refused(500, None)
+            return "yes"
+
+    server = Server()
+    client = clients.LimitedClient(server, limiter)
+    with pytest.raises(clients.Refused):
+        client.ask()
+    assert limiter.today == 1  # the refused call counts
+    server.refuse = False
+    with pytest.raises(RuntimeError, match="quota"):
+        client.ask()
+    now[0] += 86400
+    assert [client.ask() for _ in range(5)] == ["yes"] * 5
+    with pytest.raises(RuntimeError, match="quota"):
+        client.ask()
+
+
+def test_equal_pairs_are_asked_once_and_see_the_image(spark):
+    samples = spark.createDataFrame([(1, "h", "a.png"), (2, "h", "a.png"), (3, "h", "b.png"), (4, None, "a.png"), (5, "", "a.png"), (6, "h", None)], "sample_index long, headline string, image_path string")
+    images = spark.createDataFrame([("a.png", "data:A"), ("b.png", "data:B")], "image_path string, image_url string")
+
+    class Sees:
+        def ask(self, system, user, image_url=None):
+            if "label" in system:
+                raise RuntimeError("none")
+            return json.dumps({"aligned": "true", "ai_generated": "false", "confidence": 0.5, "explanation": f"{user}|{image_url}"}), 1, 0
+
+    out = claims.run_offline(samples, RunConfig(disable_questions=True), Sees, images=images).collect()
+    assert {r.sample_index: (r.relevancy.explanation, r.token_usage.prompt) for r in out} == {1: ("h|data:A", 2), 2: ("h|data:A", 0), 3: ("h|data:B", 2), 4: ("|data:A", 2), 5: ("|data:A", 0), 6: ("h|None", 2)}
+
+
+def test_answers_are_searched(spark):
+    class Asks:
+        def ask(self, system, user, image_url=None):
+            if "JSON array" in user:
+                return '["who?"]', 1, 1
+            return json.dumps({"answer": "searched" if "d 1" in user else "not", "confidence": 0.5}), 1, 1
+
+    class Finds:
+        def search(self, query, **parameters):
+            return [{"title": "t", "url": "u", "description": f"d {parameters['max_results'] // parameters['max_results']}"}]
+
+    samples = spark.createDataFrame([(1, "h")], "sample long, headline string")
+    assert [b.answer for b in claims.chains(samples, RunConfig(q_chains=1), Asks, Finds).first().best] == ["searched"]
+    assert [b.answer for b in claims.chains(samples, RunConfig(q_chains=1), Asks).first().best] == ["not"]

@@ -116,3 +116,20 @@ class TestRelational:
         right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("b", 9, "z")], "k string, u long, v string")
         got = relational.as_of_join(left, right, "k", "t", "u", "v")
         assert {(r.k, r.t): r.v for r in got.collect()} == {("a", 5): "y", ("a", 1): None, ("b", 3): None}
+
+
+class TestSketches:
+    def test_areas_lie_within_the_bound(self, spark):
+        rng = random.Random(9)
+        rows = [(f"r{i % 3}", min(1.0, max(0.0, rng.gauss(0.4 + 0.2 * t, 0.2))), t) for i in range(4000) for t in [rng.random() < 0.4]]
+        rows += [("r0", None, True), ("r1", 0.5, None), ("one class", 0.3, True)]
+        df = spark.createDataFrame(rows, "run string, score double, truth boolean")
+        exact = {r.run: r for r in curves.areas(df.filter("score IS NOT NULL AND truth IS NOT NULL")).collect()}
+        for bins in (10, 1000):
+            parts = [curves.score_sketch(df.filter(F.pmod(F.xxhash64("score"), F.lit(3)) == i), bins) for i in range(3)]
+            found = {r.run: r for r in curves.sketch_areas(parts[0].unionByName(parts[1]).unionByName(parts[2]), bins).collect()}
+            for run in ("r0", "r1", "r2"):
+                assert abs(found[run].auroc - exact[run].auroc) <= found[run].auroc_error + 1e-6
+                assert abs(found[run].balanced_accuracy - exact[run].balanced_accuracy) < 1e-6 and found[run].n == exact[run].n
+            assert (found["one class"].auroc, found["one class"].balanced_accuracy) == (0.5, None)
+        assert found["r0"].auroc_error < 0.002

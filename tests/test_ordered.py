@@ -129,3 +129,27 @@ class TestDedupEval:
         seen = []
         lookup.dedup_eval(jobs, "k", "n", lambda df: seen.append(df.count()) or df.select("k", F.lit(1).alias("r"))).collect()
         assert seen == [102]
+
+
+class TestBloom:
+    def test_keeps_all_known_and_drops_most_others(self, spark):
+        known = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("_key"))
+        probes = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("_key"), "id")
+        kept = [r.id for r in lookup.maybe_known(probes, known, "_key").collect()]
+        assert set(range(5000)) <= set(kept) and len(kept) == len(set(kept)) < 5000 + 35_000 * 0.03
+        assert lookup.maybe_known(probes, known, "_key", most_words=8).count() == 40_000
+        assert lookup.maybe_known(probes, known.filter("false"), "_key").count() == 0
+
+    def test_null_keys_do_not_harm(self, spark):
+        rows = spark.createDataFrame([(1, None), (2, "a")], "id long, _key string")
+        assert {r.id for r in lookup.maybe_known(rows, rows, "_key").collect()} >= {2}
+
+    def test_same_matches(self, spark):
+        left = spark.createDataFrame([(i, [f"x{i}", f"/x{i % 50}", None]) for i in range(300)], "id long, keys array<string>")
+        right = spark.createDataFrame([(i, [f"/x{i}", f"x{i * 7}"]) for i in range(60)], "n long, keys array<string>")
+        got = {r.id: r.match for r in lookup.candidate_join(left, right, "id", F.col("keys"), F.col("keys"), "n", F.col("n")).collect()}
+        known = {}
+        for i in range(60):
+            for key in (f"/x{i}", f"x{i * 7}"):
+                known[key] = max(known.get(key, -1), i)
+        assert got == {i: known.get(f"x{i}", known.get(f"/x{i % 50}")) for i in range(300)}
