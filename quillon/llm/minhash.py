@@ -14,7 +14,9 @@ would lose links between two leaves, so no bucket is left before it is settled:
 * A bucket whose sets are all in one component has nothing to lose.
 * The sets of the other buckets are bucketed anew by their rarest shingles. Two
   sets that link share one of the ``n - ceil(0.8 n) + 1`` rarest of either (prefix
-  filtering, exact); sets that only share boilerplate no longer meet.
+  filtering, exact), and behind the rarest that they share both have enough left
+  to link (positional filtering, exact); sets that only share boilerplate no
+  longer meet.
 * In these buckets the members of the smallest components are centres of further
   stars, ``GROWTH`` times as many each round, until each bucket is one component or
   has had all of its pairs across components tested. Candidates of sets whose sizes
@@ -139,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefix_members(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, node, size): the rarest shingles of the ``nodes(node)``, those that two of them have."""
+    """(key, node, size, rank): the rarest shingles of the ``nodes(node)``, those that two of them have, with their rank in the set."""
     p, q = SIMILARITY
     each = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("key"))
     common = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "common-shingles")
@@ -147,7 +149,15 @@ def _prefix_members(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     # shingles of one set only are the rarest, but no key; a set's others follow them by their count, then by their hash
     before = Window.partitionBy("node").orderBy("_count", "key")
     ranked = shared.withColumn("_rank", F.row_number().over(before)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    return ranked.filter(F.col("_rank") + F.col("size") - F.col("_all") <= F.col("size") - F.ceil(F.lit(p) * F.col("size") / q) + 1).select("key", "node", "size")
+    ranked = ranked.withColumn("rank", F.col("_rank") + F.col("size") - F.col("_all"))
+    return ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.lit(p) * F.col("size") / q) + 1).select("key", "node", "size", "rank")
+
+
+def _in_reach(size: str, rank: str, other_size: str, other_rank: str):
+    """Whether two sets can link if this key, at these ranks, is the rarest shingle they share: enough must follow it in both."""
+    p, q = SIMILARITY
+    least = F.ceil(F.lit(p) * (F.col(size) + F.col(other_size)) / (p + q))
+    return (F.col(rank) <= F.col(size) + 1 - least) & (F.col(other_rank) <= F.col(other_size) + 1 - least)
 
 
 class _Links:
@@ -174,14 +184,14 @@ class _Links:
             self.component = materialize(components(self.links), "node-components")
 
     def unsettled(self, members: DataFrame) -> DataFrame:
-        """Members (key, node, size, component, _n) of keys that hold several components; _n members have that component."""
-        placed = members.join(self.component, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        """``members(key, node, ...)`` with component and _n, how many of the key's have it; of keys that hold several components."""
+        placed = members.join(self.component, "node", "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
         counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
         several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-        return placed.join(counts.join(several, "key", "left_semi"), ["key", "component"]).select("key", "node", "size", "component", "_n")
+        return placed.join(counts.join(several, "key", "left_semi"), ["key", "component"]).select(*members.columns, "component", "_n")
 
     def settle(self, members: DataFrame) -> None:
-        """Test further stars until no key of ``members(key, node, size)`` has an untested pair across components."""
+        """Test further stars until no key of ``members(key, node, size, rank)`` has an untested pair across components that could link by it."""
         centres = CENTRES
         for _ in range(MAX_ROUNDS):
             members = materialize(self.unsettled(members), "unsettled")
@@ -189,10 +199,11 @@ class _Links:
                 return
             first = Window.partitionBy("key").orderBy("_n", "component", "node")
             chosen = materialize(members.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= centres).drop("_rank", "_n"), "centres")
-            several = chosen.select("key", F.col("node").alias("u"), F.col("size").alias("_size"), F.col("component").alias("_component"))
-            stars = members.join(several, "key").filter((F.col("component") != F.col("_component")) & _alike("size", "_size")).select("u", F.col("node").alias("v"))
+            several = chosen.select("key", F.col("node").alias("u"), F.col("size").alias("_size"), F.col("rank").alias("_rank"), F.col("component").alias("_component"))
+            fits = (F.col("component") != F.col("_component")) & _alike("size", "_size") & _in_reach("size", "rank", "_size", "_rank")
+            stars = members.join(several, "key").filter(fits).select("u", F.col("node").alias("v"))
             self.test(stars)
-            members = members.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "size")  # all pairs of a centre are tested
+            members = members.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "size", "rank")  # all pairs of a centre are tested
             centres *= GROWTH
         raise RuntimeError(f"buckets did not settle in {MAX_ROUNDS} rounds")
 
