@@ -53,7 +53,7 @@ def _repair(args) -> None:
     from quillon.sources import records, sinks
 
     spark = session()
-    data = records.project_records(records.scan_dataset(spark, args.dataset_json))
+    data = sinks.written(records.project_records(records.scan_dataset(spark, args.dataset_json)), "dataset")
     known = data.select(F.col("dataset_index").alias("idx"), record_path(F.col("image_path"), args.image_root).alias("path"), F.col("text").alias("headline"))
     outputs = records.scan_jsonl(spark, args.outputs)
     keyed = outputs.withColumn("path", record_path(F.col("image_path"), args.image_root)).withColumn("details_index", F.col("sample_details.dataset_index"))
@@ -123,12 +123,12 @@ def _samples(spark, args, config):
     """The run's samples in its order: sample_index counts from 1."""
     from quillon.operators.ordered import numbered
     from quillon.operators.sampling import shuffled, stratified_order
-    from quillon.sources import records
+    from quillon.sources import records, sinks
 
     if args.image and args.headline:
         data = records.single_pair(spark, args.image, args.headline)
     else:
-        data = records.project_records(records.scan_dataset(spark, args.dataset_json))
+        data = sinks.written(records.project_records(records.scan_dataset(spark, args.dataset_json)), "dataset")
     ordered = stratified_order(data, list(config.stratify_by), config.seed, "dataset_index") if config.stratify_by else shuffled(data, config.seed, "dataset_index").withColumnRenamed("shuffle_key", "order_score")
     placed = numbered(ordered, "order_score", "iteration_index").withColumn("sample_index", F.col("iteration_index") + 1).withColumnRenamed("text", "headline")
     placed = placed.filter(F.col("sample_index") <= config.max_samples) if config.max_samples is not None else placed
@@ -184,7 +184,7 @@ def _baseline(args) -> None:
     model, search = _model(args, config), _search(args, config)
     if model is None:
         raise SystemExit("give --base-url and --model of a model, or --echo")
-    data = records.project_records(records.scan_dataset(spark, args.dataset_json))
+    data = sinks.written(records.project_records(records.scan_dataset(spark, args.dataset_json)), "dataset")
     samples = data.select((F.col("dataset_index") + 1).alias("sample_index"), "image_path", F.col("text").alias("headline"))
     done = resume.check_resume(records.scan_jsonl(spark, args.save_jsonl), samples) if resume.sink_rows(spark, args.save_jsonl) else 0
     left = samples.filter(F.col("sample_index") > done)

@@ -68,7 +68,7 @@ def figures(tables: dict[str, DataFrame]) -> dict[str, str]:
 
 def evaluate(spark: SparkSession, outputs_path: str, dataset_json: str, root: str, report: str | None = None, csv: str | None = None, html: str | None = None, figure_dir: str | None = None) -> dict[str, DataFrame]:
     """Scores a JSONL run, writes the reports that are asked for, and returns the tables."""
-    truth = records.project_records(records.scan_dataset(spark, dataset_json))
+    truth = sinks.written(records.project_records(records.scan_dataset(spark, dataset_json)), "dataset")
     scored = sinks.written(score_outputs(records.scan_jsonl(spark, outputs_path), truth, root), "scored")
     tables = metric_tables(scored)
     if report:
