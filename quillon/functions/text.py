@@ -56,12 +56,13 @@ def mime_type(path: Column, default: str = "image/png") -> Column:
 
 
 def data_url(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """On one line: Spark breaks base64 every 76 characters."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def parse_data_url(url: Column) -> Column:
-    """struct(mime, content) of a data url; null for other text."""
-    pattern = r"^data:([^;,]*);base64,(.*)$"
+    """struct(mime, content) of a data url, with or without line breaks in its base64; null for other text."""
+    pattern = r"(?s)^data:([^;,]*);base64,(.*)$"
     parsed = F.struct(F.regexp_extract(url, pattern, 1).alias("mime"), F.unbase64(F.regexp_extract(url, pattern, 2)).alias("content"))
     return F.when(url.rlike(pattern), parsed)
 

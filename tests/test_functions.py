@@ -2,12 +2,13 @@
 
 import base64
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import jsonx, labels, text
 from quillon.operators import calibration, metrics
-from quillon.plans import claims
+from quillon.plans import catalogue, claims
 
 
 def one(spark, *columns):
@@ -31,6 +32,22 @@ class TestMedia:
         assert (back.mime, bytes(back.content)) == ("image/gif", b"\x00\xffabc")
         assert one(spark, text.parse_data_url(F.lit("http://x"))) is None
 
+    @pytest.mark.parametrize("n", [56, 57, 58, 115, 1000])
+    def test_data_url_has_no_line_breaks(self, spark, n):
+        content = bytes(i % 256 for i in range(n))
+        url = one(spark, text.data_url(F.lit(content), F.lit("image/png")))
+        assert url == "data:image/png;base64," + base64.b64encode(content).decode()
+        broken = "data:image/png;base64," + base64.encodebytes(content).decode().replace("\n", "\r\n")
+        assert [bytes(one(spark, text.parse_data_url(F.lit(u))).content) for u in (url, broken)] == [content] * 2
+
+    def test_data_url_of_long_and_missing_urls(self, spark, tmp_path):
+        urls = ["http://x/" + "a" * 60, "", None, "http://ä/" + "漢" * 40]
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+        with duckdb.connect() as con:
+            con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+            expected = con.execute(catalogue.oracle_sql()["data_url"]).fetchall()
+        assert sorted(map(tuple, catalogue.queries()["data_url"](spark, str(tmp_path)).collect())) == sorted(expected)
+
 
 class TestJson:
     def test_object(self, spark):
