@@ -1,5 +1,8 @@
 """The claim pipeline: stages over (headline, image) records, each a plan of its own.
 
+What stages find is kept in narrow tables beside the samples, by ``_id``; texts
+are joined in where a prompt needs them, and never written with an answer.
+
 A stage that is switched off is not in the plan. Stages with a model ask it
 through ``sources.clients.ask_model`` and parse its answer with column
 expressions; without a model the deterministic judge decides from the signals
@@ -16,7 +19,7 @@ from quillon.operators import lookup, qa
 from quillon.operators.calibration import logprob_summary
 from quillon.sources.clients import ask_model, search_web
 from quillon.sources.config import RunConfig
-from quillon.sources.sinks import written
+from quillon.sources.sinks import dealt, written
 
 _RELEVANCY_PROMPT = "You judge whether an image fits a headline. Answer with one JSON object with aligned, confidence and explanation."
 _VERACITY_PROMPT = "You judge whether an image is authentic. Answer with one JSON object with ai_generated, confidence, explanation and anomalies."
@@ -162,7 +165,7 @@ def _items(raw: Column) -> Column:
 
 
 def _answers(asked: DataFrame, config: RunConfig, factory, search, keep) -> DataFrame:
-    """(sample, pos, question, answer struct, tokens) of ``asked(sample, chain, pos, question)``: equal questions of all samples are answered once."""
+    """(_id, pos, question, answer struct, tokens) of ``asked(_id, sample, chain, pos, question)``: equal questions of all samples are answered once."""
 
     def evaluate(distinct: DataFrame) -> DataFrame:
         none = F.array().cast(_SOURCES)
@@ -175,9 +178,9 @@ def _answers(asked: DataFrame, config: RunConfig, factory, search, keep) -> Data
         found = ask_model(with_sources.select("question", "_user"), factory, _ANSWER_PROMPT, "_user", "_a")
         return keep(found.select("question", F.when(F.col("_a_error").isNull(), answer(F.col("_a_raw"))).alias("found"), "_a_prompt", "_a_completion"))
 
-    answered = lookup.dedup_eval(asked.withColumn("_order", F.struct("sample", "chain", "pos")), "question", "_order", evaluate)
+    answered = lookup.dedup_eval(asked.withColumn("_order", F.struct("sample", "_id", "chain", "pos")), "question", "_order", evaluate)
     paid = lambda c: F.when(F.col("duplicate"), 0).otherwise(F.col(c)).cast("long").alias(c)  # noqa: E731  # the first that asked pays
-    return answered.select("sample", "pos", "question", "found", paid("_a_prompt"), paid("_a_completion"))
+    return answered.select("_id", "pos", "question", "found", paid("_a_prompt"), paid("_a_completion"))
 
 
 def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=written, choose: bool = True) -> DataFrame:
@@ -188,19 +191,24 @@ def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=wri
 
     Chains follow each other: a chain's prompt lists all earlier questions, the
     follow-ups that were proposed, and the last answers. Each chain is a few
-    stages over all samples, whose outcome is written before the next. With
-    ``choose`` the model picks the best pair of a chain and proposes follow-ups;
-    where it fails, and without ``choose``, the most confident answer counts.
+    stages over all samples, whose outcome is written before the next, without
+    the headlines: these are written once, dealt by ``_id``. Samples that have an
+    ``_id``, one each, are taken as dealt. With ``choose`` the model picks the
+    best pair of a chain and proposes follow-ups; where it fails, and without
+    ``choose``, the most confident answer counts.
     """
+    if "_id" not in samples.columns:
+        samples = dealt(samples.select(F.to_json(F.struct("sample")).alias("_id"), "sample", "headline"), "_id", "headlines")  # a null has an id too
+    told = samples.select("_id", "headline")
     state = samples.select(
-        "sample", "headline", F.array().cast(_ASKED).alias("prior"), F.array().cast(_ASKED).alias("asked"), F.array().cast(_ANSWERED).alias("answered"), F.array().cast(_BEST).alias("best"),
+        "_id", "sample", F.array().cast(_ASKED).alias("prior"), F.array().cast(_ASKED).alias("asked"), F.array().cast(_ANSWERED).alias("answered"), F.array().cast(_BEST).alias("best"),
         F.lit(0).cast("long").alias("_prompt"), F.lit(0).cast("long").alias("_completion"),
     )
     cost = lambda name: (F.coalesce(F.col(f"{name}_prompt"), F.lit(0)), F.coalesce(F.col(f"{name}_completion"), F.lit(0)))
-    base = ["sample", "headline", "prior", "asked", "answered", "best"]
+    base = ["_id", "sample", "prior", "asked", "answered", "best"]
     for chain in range(config.q_chains):
         prompt = F.concat(messages.question_prompt(F.col("headline"), config.q_per_chain, F.col("prior"), F.col("answered")), F.lit(f" Chain {chain}"))
-        state = ask_model(state.withColumn("_user", prompt), factory, _QUESTION_PROMPT, "_user", "_q")
+        state = ask_model(told.join(state, "_id").withColumn("_user", prompt).drop("headline"), factory, _QUESTION_PROMPT, "_user", "_q")
         p, c = cost("_q")
         new = _fresh(_items(F.col("_q_raw")), F.col("prior"), config.q_per_chain)
         state = keep(state.select(*base, new.alias("new"), (F.col("_prompt") + p).alias("_prompt"), (F.col("_completion") + c).alias("_completion")))
@@ -208,13 +216,13 @@ def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=wri
         if not config.modules["question_answering"]:
             state = state.withColumns(grown).drop("new")
             continue
-        single = state.select("sample", F.lit(chain).alias("chain"), F.posexplode("new").alias("pos", "question"))
+        single = state.select("_id", "sample", F.lit(chain).alias("chain"), F.posexplode("new").alias("pos", "question"))
         found = _answers(single, config, factory, search, keep)
-        pairs = found.groupBy("sample").agg(
+        pairs = found.groupBy("_id").agg(
             F.array_sort(F.collect_list(F.struct("pos", "question", F.col("found.answer").alias("answer"), F.col("found.confidence").alias("confidence"), F.col("found.citations").alias("citations")))).alias("items"),
             F.sum("_a_prompt").alias("_a_prompt"), F.sum("_a_completion").alias("_a_completion"),
         )  # a chain's questions
-        state = state.join(pairs, "sample", "left").withColumn("items", F.coalesce("items", F.array()))
+        state = state.join(pairs, "_id", "left").withColumn("items", F.coalesce("items", F.array()))
         p, c = cost("_a")
         answered = F.concat("answered", F.transform(F.filter("items", lambda q: q["answer"].isNotNull()), lambda q: F.struct(q["question"].alias("question"), q["answer"].alias("answer"))))
         state = state.withColumns(grown | {"answered": answered, "_prompt": F.col("_prompt") + p, "_completion": F.col("_completion") + c}).drop("new", "_a_prompt", "_a_completion")
@@ -222,9 +230,10 @@ def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=wri
         at = F.filter(F.transform("items", lambda q, i: F.when(F.coalesce(q["confidence"], F.lit(0.0)) == top, i + 1)), lambda i: i.isNotNull())[0]
         more = F.array().cast(_ASKED)
         if choose:
-            state = ask_model(state.withColumn("_user", messages.selection_prompt(F.col("headline"), F.col("items"))), factory, _ANSWER_PROMPT, "_user", "_s")
+            state = told.join(state, "_id").withColumn("_user", messages.selection_prompt(F.col("headline"), F.col("items")))
+            state = ask_model(state, factory, _ANSWER_PROMPT, "_user", "_s")
             follow = messages.question_prompt(F.col("headline"), config.followups_per_chain, F.col("prior"), F.array().cast(_ANSWERED))
-            state = ask_model(state.withColumn("_user", F.concat(follow, F.lit(f" Follow-ups {chain}"))), factory, _QUESTION_PROMPT, "_user", "_f")
+            state = ask_model(state.withColumn("_user", F.concat(follow, F.lit(f" Follow-ups {chain}"))).drop("headline"), factory, _QUESTION_PROMPT, "_user", "_f")
             at = F.when(F.col("_s_error").isNull(), jsonx.selection_index(F.col("_s_raw"), F.size("items"))).otherwise(at)
             more = _fresh(_items(F.col("_f_raw")), F.col("prior"), config.followups_per_chain)
             (p, c), (q, d) = cost("_s"), cost("_f")
@@ -232,8 +241,8 @@ def chains(samples: DataFrame, config: RunConfig, factory, search=None, keep=wri
         pick = F.get("items", at.cast("int") - 1)
         chosen = F.struct(F.lit(chain).alias("chain"), *[pick[n].alias(n) for n in ("pos", "question", "answer", "confidence", "citations")])
         best = F.when(F.size("items") > 0, F.concat("best", F.array(chosen).cast(_BEST))).otherwise(F.col("best"))
-        state = keep(state.select("sample", "headline", F.concat("prior", more).alias("prior"), "asked", "answered", best.alias("best"), "_prompt", "_completion"))
-    return state.drop("prior")
+        state = keep(state.select("_id", "sample", F.concat("prior", more).alias("prior"), "asked", "answered", best.alias("best"), "_prompt", "_completion"))
+    return told.join(state.drop("prior"), "_id")
 
 
 def investigate(samples: DataFrame, config: RunConfig, factory, search: DataFrame | None = None, keep=written, choose: bool = False) -> DataFrame:
@@ -299,32 +308,47 @@ def judge(stages: DataFrame, factory, keep=written) -> DataFrame:
     if factory is None:
         return stages.withColumn("judgement", by_rules)
     record = {"headline": F.col("headline"), "relevancy": F.col("relevancy"), "veracity": F.col("visual_veracity"), "best_qa": F.col("best_qa")}
-    asked = keep(ask_model(stages.withColumn("_user", compact_payload(record)), factory, _JUDGE_PROMPT, "_user", "_j"))
+    asked = keep(ask_model(stages.withColumn("_user", compact_payload(record)), factory, _JUDGE_PROMPT, "_user", "_j").drop("_user"))
     said = judgement(F.col("_j_raw"))
     by_model = row(said, said["rationale"], F.col("_j_raw"), logprob_summary(F.col("_j_logprobs")).cast(stats_kind))
     judged = asked.withColumn("judgement", F.when(F.col("_j_error").isNull() & F.col("_j_raw").isNotNull(), by_model).otherwise(by_rules))
     judged = judged.withColumns({"_prompt": F.col("_prompt") + F.col("_j_prompt"), "_completion": F.col("_completion") + F.col("_j_completion")})
-    return judged.drop("_user", *[f"_j_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
+    return judged.drop(*[f"_j_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
 
 
-def signals(samples: DataFrame, name: str, prompt: str, parse, factory, keep=written, image_url: str | None = None, images: DataFrame | None = None) -> DataFrame:
-    """``samples`` with ``name``, what the model says about headline and image, and its cost added to _prompt and _completion.
+#: So many pairs that occur more than once are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_PAIRS = 250_000
 
-    Equal pairs of headline and image are asked once; the first sample pays. The
-    image is in the column ``image_url``, or in ``images(image_path, image_url)``,
-    which is joined to the different pairs only.
-    """
-    pair = F.struct(F.coalesce("headline", F.lit("")).alias("headline"), F.col("image_path").alias("image"))
 
-    def evaluate(distinct: DataFrame) -> DataFrame:
-        shown, column = (with_images(distinct, images), "image_url") if images is not None else (distinct, image_url)
-        found = ask_model(shown.withColumn("_user", F.col("_pair.headline")), factory, prompt, "_user", "_r", column)
-        return keep(found.select("_pair", parse(F.when(F.col("_r_error").isNull(), F.col("_r_raw"))).alias(name), "_r_prompt", "_r_completion"))
+def identified(samples: DataFrame) -> DataFrame:
+    """``samples`` with ``_pair``, a digest of headline and image, and ``_id``, the pair with the sample's index."""
+    image = F.coalesce(F.concat(F.lit("="), "image_path"), F.lit(""))
+    paired = samples.withColumn("_pair", F.sha2(F.concat(F.sha2(F.coalesce("headline", F.lit("")), 256), image), 256))
+    return paired.withColumn("_id", F.concat_ws(" ", F.col("sample_index").cast("string"), F.col("_pair")))
+
 
-    needed = ["image_path"] + ([image_url] if image_url and images is None else [])
-    out = lookup.dedup_eval(samples.withColumn("_pair", pair), "_pair", "sample_index", evaluate, needed=needed)
-    paid = lambda c: F.when(F.col("duplicate"), 0).otherwise(F.col(f"_r{c}")) + F.col(c)
-    return out.withColumns({c: paid(c) for c in ("_prompt", "_completion")}).drop("_pair", "_r_prompt", "_r_completion", "cache_hit", "duplicate")
+def signals(samples: DataFrame, asks: list[tuple], factory, keep=written, image_url: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(_id, a column for each of ``asks``, _prompt, _completion) of identified ``samples``: what the model says about headline and image, and its cost.
+
+    ``asks`` are (name, prompt, parse). Equal pairs of headline and image are
+    asked once; the first sample pays. The image is in the column ``image_url``,
+    or in ``images(image_path, image_url)``, which is joined to the different pairs only.
+    """
+    places = samples.select("_pair", "sample_index").groupBy("_pair").agg(F.min("sample_index").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    copies = keep(places.filter("_n > 1").drop("_n"))
+    known = F.broadcast(copies) if copies.count() <= BROADCAST_PAIRS else copies
+    first = samples.join(known, "_pair", "left").filter("_first IS NULL OR sample_index = _first")
+    shown, column = (with_images(first, images), "image_url") if images is not None else (first, image_url)
+    asked = shown.select("_pair", F.coalesce("headline", F.lit("")).alias("_user"), *([column] if column else []), F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_c"))
+    names = [name for name, _, _ in asks]
+    for name, prompt, parse in asks:
+        asked = ask_model(asked, factory, prompt, "_user", "_r", column)
+        asked = asked.withColumns({name: parse(F.when(F.col("_r_error").isNull(), F.col("_r_raw"))), "_p": F.col("_p") + F.col("_r_prompt"), "_c": F.col("_c") + F.col("_r_completion")})
+        asked = asked.drop(*[f"_r_{n}" for n in ("raw", "prompt", "completion", "error", "logprobs")])
+    answers = keep(asked.select("_pair", *names, "_p", "_c")).dropDuplicates(["_pair"])  # rows that repeat an index with its pair are both asked
+    each = samples.select("_id", "_pair", "sample_index").distinct().join(known, "_pair", "left").join(answers, "_pair")
+    paid = lambda c: F.when(F.col("sample_index") != F.col("_first"), 0).otherwise(F.col(c)).cast("long")
+    return each.select("_id", *names, paid("_p").alias("_prompt"), paid("_c").alias("_completion"))
 
 
 def run_offline(samples: DataFrame, config: RunConfig, factory=None, search=None, keep=written, image_url: str | None = None, images: DataFrame | None = None) -> DataFrame:
@@ -336,22 +360,27 @@ def run_offline(samples: DataFrame, config: RunConfig, factory=None, search=None
     ``images(image_path, image_url)`` is a table of it; ``search`` is as in
     ``chains``. A sample's index must be its own.
     """
-    modules, out = config.modules, samples.withColumns({"_prompt": F.lit(0).cast("long"), "_completion": F.lit(0).cast("long")})
-    for name, prompt, parse in (("relevancy", _RELEVANCY_PROMPT, relevancy), ("visual_veracity", _VERACITY_PROMPT, veracity)):
-        if factory and modules[name]:
-            out = signals(out, name, prompt, parse, factory, keep, image_url, images)
-        else:
-            out = out.withColumn(name, parse(F.lit(None).cast("string")))
-    out = out.drop(image_url) if image_url else out
+    modules, samples = config.modules, identified(samples)
+    stages = (("relevancy", _RELEVANCY_PROMPT, relevancy), ("visual_veracity", _VERACITY_PROMPT, veracity))
+    asks = [s for s in stages if factory and modules[s[0]]]
+    if asks:
+        state = signals(samples, asks, factory, keep, image_url, images)
+    else:
+        state = samples.select("_id", *[F.lit(0).cast("long").alias(c) for c in ("_prompt", "_completion")]).distinct()
+    state = state.withColumns({name: parse(F.lit(None).cast("string")) for name, _, parse in stages if name not in [a[0] for a in asks]})
+    texts = samples.select("_id", F.col("sample_index").alias("sample"), "headline")
+    if factory and (modules["questions"] or modules["judge"]) and not samples.groupBy("_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["_id"])
     if factory and modules["questions"]:
-        out = keep(out)
-        found = chains(out.select(F.col("sample_index").alias("sample"), F.coalesce("headline", F.lit("")).alias("headline")), config, factory, search, keep)
-        found = found.select(F.col("sample").alias("sample_index"), F.col("best").alias("best_qa"), F.col("_prompt").alias("_qp"), F.col("_completion").alias("_qc"))
-        out = out.join(found, "sample_index", "left")
-        out = out.withColumns({"_prompt": F.col("_prompt") + F.coalesce("_qp", F.lit(0)), "_completion": F.col("_completion") + F.coalesce("_qc", F.lit(0)), "best_qa": F.coalesce("best_qa", F.array().cast(_BEST))}).drop("_qp", "_qc")
+        state, texts = keep(state), dealt(texts, "_id", "headlines")
+        found = chains(texts.withColumn("headline", F.coalesce("headline", F.lit(""))), config, factory, search, keep)
+        found = found.select("_id", F.col("best").alias("best_qa"), F.col("_prompt").alias("_qp"), F.col("_completion").alias("_qc"))
+        state = state.join(found, "_id").withColumns({"_prompt": F.col("_prompt") + F.col("_qp"), "_completion": F.col("_completion") + F.col("_qc")}).drop("_qp", "_qc")
     else:
-        out = out.withColumn("best_qa", F.array().cast(_BEST))
-    if modules["judge"]:
-        out = judge(out, factory, keep)
+        state = state.withColumn("best_qa", F.array().cast(_BEST))
+    if modules["judge"] and factory:
+        state = judge(texts.drop("sample").join(state, "_id"), factory, lambda df: keep(df.drop("headline")))
+    elif modules["judge"]:
+        state = judge(state, None)
     usage = F.struct(F.col("_prompt").alias("prompt"), F.col("_completion").alias("completion"), (F.col("_prompt") + F.col("_completion")).alias("total"))
-    return assemble(out.withColumn("token_usage", usage), config)
+    return assemble(samples.drop("_pair").join(state, "_id").withColumn("token_usage", usage), config)

@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str = "written") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, name: str = "dealt") -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``key``: joins by it leave these rows where they are and move only the other side."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def _file(spark: SparkSession, path: str):
     """The cluster's file system and a path on it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

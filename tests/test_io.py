@@ -533,3 +533,19 @@ def test_answers_are_searched(spark):
     samples = spark.createDataFrame([(1, "h")], "sample long, headline string")
     assert [b.answer for b in claims.chains(samples, RunConfig(q_chains=1), Asks, Finds).first().best] == ["searched"]
     assert [b.answer for b in claims.chains(samples, RunConfig(q_chains=1), Asks).first().best] == ["not"]
+
+
+@pytest.mark.parametrize("questions", [False, True])
+def test_texts_are_not_kept_with_what_is_found(spark, questions):
+    """Only digests and answers are written; rows that repeat an index or have none stay rows."""
+    rows = [(1, "a", "one claim"), (2, "a", "one claim"), (3, "b", "one claim"), (4, "a", None), (5, None, ""), (6, "a", "other"), (6, "a", "other"), (None, "c", "no index")]
+    samples, kept = spark.createDataFrame(rows, "sample_index long, image_path string, headline string"), []
+
+    def keep(df):
+        kept.append(df.schema.simpleString())
+        return sinks.written(df)
+
+    out = claims.run_offline(samples, RunConfig(disable_questions=not questions, q_chains=1), clients.EchoModel, keep=keep)
+    got = sorted(((r.sample_index, r.image_path, r.headline) for r in out.collect()), key=repr)
+    assert got == sorted(rows, key=repr)
+    assert kept and not [k for k in kept if "headline" in k or "_user:" in k]
