@@ -6,6 +6,9 @@ Equal sets meet by a digest before anything else. Candidates share one of
 missed with probability (1 - 0.8^4)^24 = 3e-6, one at 0.9 with 3e-12. Every
 link is verified on the sets themselves.
 
+* Links may be sought by an index of fingerprints first (``simhash.keep_one``):
+  its candidates are verified, and pairs of small buckets that these links
+  connect already are not looked at again.
 * A bucket of up to ``SMALL`` members gives its pairs (a bounded number for each
   member), which are joined with the sets.
 * Larger buckets are joined into families by their members. A family's sets go
@@ -26,7 +29,7 @@ texts; an empty table gives no rows; further columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -89,22 +92,27 @@ def buckets_of(shingles: np.ndarray) -> list[int]:
     return np.array(hashes, np.uint64).view(np.int64).tolist()
 
 
-def _signatures(df: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, digest of the set, its size, and the buckets."""
+def _signatures(df: DataFrame, shingle_words: int, fingerprint: Callable | None = None) -> DataFrame:
+    """doc_id, digest of the set, its size, the buckets, and the text's fingerprint (null without such a function)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", shingle_words) for t in batch.column(1).cast(pa.binary())]
+            texts = batch.column(1).cast(pa.binary())
+            sets = [shingle_set(t.as_py() or b"", shingle_words) for t in texts]
+            if fingerprint is None:
+                prints = pa.nulls(len(sets), pa.int64())
+            else:
+                prints = pa.array(np.array([fingerprint(t.as_py() or b"", shingle_words)[0] for t in texts], np.uint64).view(np.int64))
             columns = [
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets_of(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets_of(s) for s in sets], pa.list_(pa.int64())), prints,
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "buckets"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "buckets", "fp"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, buckets array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, buckets array<long>, fp long")
 
 
 def _sets(df: DataFrame, shingle_words: int) -> DataFrame:
@@ -217,23 +225,38 @@ def _some(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def later_documents(df: DataFrame, shingle_words: int = SHINGLE_WORDS, small: int = SMALL, family_limit: int = FAMILY) -> DataFrame:
-    """(doc_id) of all but the least document of each group."""
-    signed = materialize(_signatures(df.filter("doc_id IS NOT NULL"), shingle_words), "minhash")
-    sets_of = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+def later_documents(df: DataFrame, shingle_words: int = SHINGLE_WORDS, small: int = SMALL, family_limit: int = FAMILY, index: tuple[Callable, Callable] | None = None) -> DataFrame:
+    """(doc_id) of all but the least document of each group.
+
+    ``index`` is a fingerprint of a text and a function that gives candidates (u, v) of nodes (node, fp).
+    """
+    fingerprint, candidates = index or (None, None)
+    signed = materialize(_signatures(df.filter("doc_id IS NOT NULL"), shingle_words, fingerprint), "minhash")
+    sets_of = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.min_by("fp", "doc_id").alias("fp"))
     nodes = materialize(sets_of, "nodes")
     copies = materialize(signed.select("doc_id", "digest").join(nodes.filter("_n > 1").select("digest", "node"), "digest").filter("doc_id != node").select("doc_id", "node"), "copies")
     members = nodes.select(F.explode("buckets").alias("key"), "node", "size")
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = materialize(members.join(buckets, "key"), "buckets")
-    wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    wanted = members.select(F.col("node").alias("doc_id"))
+    if candidates:
+        near = materialize(candidates(nodes.filter("size > 0").select("node", "fp")).filter("u != v").distinct(), "candidates")
+        wanted = wanted.union(near.select("u")).union(near.select("v"))
+    wanted = materialize(wanted.distinct(), "wanted")
     sets = materialize(_sets(_some(df, wanted, "left_semi"), shingle_words).distinct(), "shingles")
-    few = members.filter(F.col("_n") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "size"))).alias("_m"))  # at most ``small`` members
+    grouped = members.filter(F.col("_n") <= small).withColumn("group", F.col("node"))
+    if candidates:
+        indexed = materialize(_verified(near, sets).distinct(), "indexed")
+        found = materialize(components(indexed), "found").toDF("node", "_group")
+        grouped = grouped.join(found, "node", "left").withColumn("group", F.coalesce("_group", "node"))
+    few = grouped.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "size", "group"))).alias("_m"))  # at most ``small`` members
     p, q = SIMILARITY
     each = few.select("_m", F.posexplode("_m").alias("_i", "_a")).select("_a", F.explode(F.slice("_m", F.col("_i") + 2, F.size("_m"))).alias("_b"))
-    alike = (F.col("_a.node") != F.col("_b.node")) & (q * F.least("_a.size", "_b.size") >= p * F.greatest("_a.size", "_b.size"))
+    alike = (F.col("_a.group") != F.col("_b.group")) & (q * F.least("_a.size", "_b.size") >= p * F.greatest("_a.size", "_b.size"))
     links = _verified(each.filter(alike).select(F.col("_a.node").alias("u"), F.col("_b.node").alias("v")).distinct(), sets)
     links = links.union(_family_links(members.filter(F.col("_n") > small).select("key", "node"), nodes, sets, family_limit))
+    if candidates:
+        links = links.union(indexed)
     # a document with several texts connects their groups
     several = signed.groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b")).filter("_a != _b").select("doc_id")
     links = links.union(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
@@ -241,6 +264,6 @@ def later_documents(df: DataFrame, shingle_words: int = SHINGLE_WORDS, small: in
     return copies.select("doc_id").union(roots.filter("node != component").select(F.col("node").alias("doc_id"))).distinct()
 
 
-def keep_one(df: DataFrame, shingle_words: int = SHINGLE_WORDS, small: int = SMALL, family_limit: int = FAMILY) -> DataFrame:
+def keep_one(df: DataFrame, shingle_words: int = SHINGLE_WORDS, small: int = SMALL, family_limit: int = FAMILY, index: tuple[Callable, Callable] | None = None) -> DataFrame:
     """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id stay."""
-    return _some(df, materialize(later_documents(df, shingle_words, small, family_limit), "later"), "left_anti")
+    return _some(df, materialize(later_documents(df, shingle_words, small, family_limit, index), "later"), "left_anti")

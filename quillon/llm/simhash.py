@@ -211,10 +211,19 @@ def near_duplicates(df: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dista
     return join_counted(fps, named, _names(prints), "_count").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): what connects those of ``nodes(node, fp)`` whose fingerprints link, from the index; nodes of one fingerprint are paired with its first."""
+    links, distinct = _links(nodes, "fp", MAX_DISTANCE, LIST_LIMIT)
+    same = nodes.join(distinct, "fp").filter("node != rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return links.union(same)
+
+
 def keep_one(df: DataFrame, shingle_words: int = jaccard_dedup.SHINGLE_WORDS) -> DataFrame:
     """``df``'s rows without all but the least doc_id of each near-duplicate group; rows without doc_id stay.
 
-    Fingerprints lose most pairs of similarity 0.8, at any number of prints that
-    is worth its cost, so groups are found by ``jaccard_dedup``.
+    The index of fingerprints gives candidates first, and ``jaccard_dedup``
+    verifies each on its sets. Fingerprints lose most pairs of similarity 0.8, at
+    any number of prints that is worth its cost: links that the index did not
+    give are then sought there by MinHash bands.
     """
-    return jaccard_dedup.keep_one(df, shingle_words)
+    return jaccard_dedup.keep_one(df, shingle_words, index=(fingerprint, candidates))

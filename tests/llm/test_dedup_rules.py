@@ -194,6 +194,29 @@ class TestSimHash:
         kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
         assert all(3 * g in kept and 3 * g + 2 in kept for g in range(25)) and sum(3 * g + 1 in kept for g in range(25)) <= 2
 
+    def test_pipeline_links_by_the_index(self, spark, documents, monkeypatch):
+        """Near-dedup asks the index, whose links are verified; MinHash finds the rest."""
+        rng, rows, given = random.Random(9), [], []
+        for g in range(12):
+            w = prose(rng, 400).split()
+            rows.append((2 * g, " ".join(w), "a"))
+            for k in rng.sample(range(400), g):
+                w[k] = "changed"
+            rows.append((2 * g + 1, " ".join(w), "a"))
+        seek = simhash._links
+
+        def spy(*args):
+            found = seek(*args)
+            given.extend(map(tuple, found[0].collect()))
+            return found
+
+        monkeypatch.setattr(simhash, "_links", spy)
+        kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()}
+        fps = {d: simhash.fingerprint(t.encode(), corpus_pipeline.SHINGLE_WORDS)[0] for d, t, _ in rows}
+        assert given and all((fps[u] ^ fps[v]).bit_count() <= 4 for u, v in given)
+        least, _ = groups_by_all_pairs([r[:2] for r in rows])
+        assert kept == {d for d, _, _ in rows if least[d] == d} and len(kept) < len(rows)
+
     def test_hot_keys_are_joined_like_others(self, spark):
         rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)], "k string, i long")
         side = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
